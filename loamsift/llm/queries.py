@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, secret_scan
+from . import langid, minhash, mixing, packing, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_spans(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_secret_scan, op7_language_id, op9_vector_packing, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_secret_scan, op7_language_id, op9_vector_packing, op10_source_mixing)}
 
-SQL: dict[str, str] = {"op3_secret_scan": secret_scan.SQL, "op10_source_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op3_secret_scan": secret_scan.SQL, "op10_source_mixing": mixing.SQL}
