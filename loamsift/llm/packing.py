@@ -90,6 +90,7 @@ def pack_vectors(demand: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 
 def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """examples: (example_id, turns array<struct<n:long,loss:boolean>>), one row for each example. The columns are BINS."""
+    spark = examples.sparkSession
     own = examples.where("example_id is not null")
     total = own.agg(F.sum(F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["n"]))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
@@ -110,7 +111,9 @@ def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int =
         kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("example_id", "start", "tokens", "loss_tokens")]))
         return pa.table({k: pa.array(v, kind if k == "members" else pa.int64()) for k, v in out.items()})
 
-    sharded = own.select("example_id", "turns", F.pmod(F.xxhash64("example_id"), F.lit(shards)).alias("shard"))
+    spread = min(shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a number of its own: a shard is few bytes but much work, so tasks aren't to be joined by their size
+    sharded = own.select("example_id", "turns", F.pmod(F.xxhash64("example_id"), F.lit(shards)).alias("shard")).repartition(spread, "shard")
     return sharded.groupBy("shard").applyInArrow(run, BINS)
 
 

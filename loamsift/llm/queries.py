@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, packing, secret_scan, substring_dedup
+from . import ann, crf_pii, langid, media, minhash, mixing, packing, quality, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,27 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_posting_list_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.all_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.find_pii(_table(spark, sf_dir, "documents"), crf_pii.fit(crf_pii.labelled_table(spark)))
+
+
+def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return media.interleaved(pages, media.inline_payloads(pages))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -37,6 +54,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_secret_scan, op7_language_id, op9_vector_packing, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_secret_scan, op4_posting_list_ann, op5_crf_pii, op6_interleaved_media, op7_language_id, op8_quality_scores, op9_vector_packing, op10_source_mixing)}
 
 SQL: dict[str, str] = {"op1_substring_dedup": substring_dedup.SQL, "op3_secret_scan": secret_scan.SQL, "op10_source_mixing": mixing.SQL}
