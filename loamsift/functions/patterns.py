@@ -1,7 +1,6 @@
 """Regular expressions and word lists as data, put together from named pieces.
 
-Java's classes \\w \\d \\s \\b are ASCII unless (?U) is set, and its dot and dollar know more line ends than (?d) allows; so
-`java()` puts both flags before a pattern that was meant for Unicode text with line feeds.
+They are in Python's syntax; `java()` says the same to Java's engine.
 """
 
 from __future__ import annotations
@@ -74,5 +73,24 @@ _EXTENSIONS = {
 LANGUAGES = {"." + e: language for language, own in _EXTENSIONS.items() for e in own.split()}
 
 
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x1c-\x1f"
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?Udiu)" if ignore_case else "(?Ud)") + pattern
+    """A pattern in Python's syntax for Java's engine: Unicode classes, line feed alone as line end, and Python's notion of word
+    characters (any numeral, no combining marks) and of white space."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(c)
+        if c == "[" and not inside:
+            inside = True
+        elif c == "]" and inside:
+            inside = False
+        elif c in (r"\w", r"\s"):
+            chars = _WORD if c == r"\w" else _SPACE
+            c = chars if inside else f"[{chars}]"
+        elif c == r"\b":
+            c = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+        out.append(c)
+    return ("(?Udiu)" if ignore_case else "(?Ud)") + "".join(out)

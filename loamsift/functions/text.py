@@ -58,7 +58,7 @@ def normalize_line_endings(t: Column) -> Column:
 
 
 def count_words(t: Column) -> Column:
-    return F.regexp_count(t, F.lit(java(WORD)))
+    return F.regexp_count(t, F.lit(java(r"\w+")))
 
 
 def count_characters(t: Column) -> Column:
@@ -74,7 +74,7 @@ def all_matches(t: Column, pattern: str, group: int = 0) -> Column:
 
 
 def extract_words(t: Column) -> Column:
-    return all_matches(t, java(WORD))
+    return all_matches(t, java(r"\w+"))  # whole runs, so no boundaries need be looked for
 
 
 def extract_sentences(t: Column) -> Column:
