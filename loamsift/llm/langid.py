@@ -78,12 +78,13 @@ def grams_of(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), np.concatenate([[0], np.cumsum(inside)])[np.minimum(at, len(h))]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, n: int = 4, least_share: float = 1e-5, k: int = 4, slots_per_gram: int = 16) -> LanguageFilter:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, n: int = 4, least_share: float = 1e-5, least_relative: float = 0.1, k: int = 4, slots_per_gram: int = 16) -> LanguageFilter:
     """Learn the profiles from at most `per_lang` labelled documents of each language (the bound of the training sample; they are
     those of lowest hashed id, so any partitioning gives the same). A profile holds the n-grams that make up at least
-    `least_share` of the language's n-grams."""
+    `least_share` of the language's n-grams, and `least_relative` of what they make up in the language where they are
+    commonest, so that a few wrong labels don't mix the profiles."""
     lang, key = col(docs, lang_col).cast("string"), col(docs, id_col).cast("string")
-    labelled = docs.select(lang.alias("lang"), key.alias("id"), F.xxhash64(key).alias("h"), F.octet_length(col(docs, text_col)).alias("size")).where("lang is not null and size > 0")
+    labelled = docs.select(lang.alias("lang"), key.alias("id"), F.xxhash64(key).alias("h")).where("lang is not null")
     chosen = labelled.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= per_lang).select("lang", "id")
     ids = [tuple(r) for r in chosen.distinct().collect()]  # at most per_lang for each language
     spark = docs.sparkSession
@@ -103,7 +104,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = text.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     share = F.col("c") / F.sum("c").over(W.partitionBy("lang"))
-    profile = counts.withColumn("share", share).where(F.col("share") >= least_share).select("lang", "g").toArrow()
+    shares = counts.withColumn("share", share).withColumn("most", F.max("share").over(W.partitionBy("g")))
+    profile = shares.where((F.col("share") >= least_share) & (F.col("share") >= F.col("most") * least_relative)).select("lang", "g").toArrow()
     if not profile.num_rows:
         return LanguageFilter((), np.zeros((1, 1), np.uint64), np.zeros(0), n, k)
     names = np.array(profile["lang"].to_pylist(), object)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, exploded_id, hashed_words, materialize, mix, range_hashes, slices
+from .common import col, exploded_id, fresh, hashed_words, materialize, mix, range_hashes, slices
 from .components import connected_components
 
 N_HASHES, BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 4, 42, 3, 3, 0.4
@@ -179,5 +179,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns; of each group only the document of least doc_id. Rows without a doc_id stay."""
-    gone = near_duplicate_groups(docs, id_col, text_col, **options).where("not keep").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone.hint("shuffle_hash"), col(docs, id_col).cast("long") == F.col("__gone_id"), "left_anti")
+    gone_id = fresh(docs, "__gone_id")
+    gone = near_duplicate_groups(docs, id_col, text_col, **options).where("not keep").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone.hint("shuffle_hash"), col(docs, id_col).cast("long") == F.col(gone_id), "left_anti")
