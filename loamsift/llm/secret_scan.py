@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, materialize
 
 EXAMPLE_OWNERS, LEAST_DISTINCT = 3, 6
 _KEYS = [k for w in ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key") for k in (w, w.upper(), w.capitalize())]
@@ -58,7 +58,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repo = F.concat_ws("/", *[F.coalesce(col(docs, c).cast("string"), F.lit("")) for c in repo_cols])
     own = docs.select(col(docs, id_col).alias("doc_id"), owner.alias("owner"), repo.alias("repo"), F.explode(candidates(col(docs, text_col).cast("string"))).alias("c"))
     hit = own.groupBy("doc_id", "owner", "repo", "c.kind", "c.secret").agg(F.count("*").alias("occurrences"))
-    hit = hit.select("doc_id", "owner", "repo", "kind", "secret", F.sha2("secret", 256).alias("secret_hash"), "occurrences")
+    # written down: both aggregates below read the few findings, and the texts are scanned once
+    hit = materialize(hit.select("doc_id", "owner", "repo", "kind", "secret", F.sha2("secret", 256).alias("secret_hash"), "occurrences"), "findings")
     per = hit.groupBy("kind", "secret_hash").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
     doc = hit.groupBy("doc_id", "kind", "secret_hash").agg(F.first("secret").alias("secret"), F.sum("occurrences").alias("occurrences"))
     plain = F.size(F.array_distinct(F.split("secret", ""))) < least_distinct
