@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, fresh, materialize
 
 OTHER = "__other__"
 SOURCES = {f"src{i}": 1.0 for i in range(20)} | {OTHER: 0.2}
@@ -84,34 +84,37 @@ def probabilities(cells: list[tuple[str, str, str, int]], targets: list[dict[str
     return [(*c[:3], float(x)) for c, x in zip(cells, p)]
 
 
-def _prepared(docs: DataFrame, id_col, text_col, source_col, lang_col, targets):
+def _prepared(docs: DataFrame, id_col, text_col, source_col, lang_col, targets, slim):
     text = col(docs, text_col).cast("string")
     names = [fresh(docs, n) for n in ("_source", "_lang", "_topic", "_tokens", "_p")]
     tokens = n_tokens(text)
     kept = docs.withColumns({names[3]: tokens, names[0]: _group(col(docs, source_col).cast("string"), targets[0]), names[1]: _group(col(docs, lang_col).cast("string"), targets[1])})
     kept = kept.withColumn(names[2], _group(topic_of(text, F.col(names[3])), targets[2]))
+    if slim:
+        kept = materialize(kept.select(col(kept, id_col), *names[:4]), "mixture")
     cells = kept.where(F.col(names[3]) > 0).groupBy(*names[:3]).agg(F.sum(names[3])).collect()  # at most one for each combination of targets
     return kept, names, [tuple(c) for c in cells]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", source_targets: dict[str, float] = SOURCES, lang_targets: dict[str, float] = LANGUAGES, topic_targets: dict[str, float] = TOPICS, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED) -> tuple[DataFrame, list[str], Column]:
-    """The input with working columns (source, language and topic group, tokens, probability), their names, and the decision."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", source_targets: dict[str, float] = SOURCES, lang_targets: dict[str, float] = LANGUAGES, topic_targets: dict[str, float] = TOPICS, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED, slim: bool = False) -> tuple[DataFrame, list[str], Column]:
+    """The input with working columns (source, language and topic group, tokens, probability), their names, and the decision.
+    slim: only the id and the working columns, from a written table."""
     targets = [source_targets, lang_targets, topic_targets]
-    kept, names, cells = _prepared(docs, id_col, text_col, source_col, lang_col, targets)
+    kept, names, cells = _prepared(docs, id_col, text_col, source_col, lang_col, targets, slim)
     p = docs.sparkSession.createDataFrame(probabilities(cells, targets, budget, rounds), ", ".join(f"c{i} string" for i in range(3)) + ", p double")
     p = F.broadcast(p.select(*[F.col(f"c{i}").alias(fresh(kept, f"_c{i}")) for i in range(3)], F.col("p").alias(names[4])))
     match = [F.col(names[i]) == F.col(p.columns[i]) for i in range(3)]
     out = kept.join(p, match[0] & match[1] & match[2], "left").drop(*p.columns[:3])
     out = out.withColumn(names[4], F.when(F.col(names[3]) > 0, F.col(names[4])).otherwise(0.0))
-    key = F.concat(F.coalesce(col(docs, id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    key = F.concat(F.coalesce(col(out, id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
     return out, names, draw < F.col(names[4])
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source_group, lang_group, topic_group, tokens, probability, kept of every row."""
-    out, n, kept = mix(docs, **options)
-    return out.select(col(docs, options.get("id_col", "doc_id")).alias("doc_id"), F.col(n[0]).alias("source_group"), F.col(n[1]).alias("lang_group"), F.col(n[2]).alias("topic_group"), F.col(n[3]).alias("tokens"), F.round(n[4], 6).alias("probability"), kept.alias("kept"))
+def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """doc_id, source_group, lang_group, topic_group, tokens, probability, kept of every row. The texts are read once."""
+    out, n, kept = mix(docs, id_col, slim=True, **options)
+    return out.select(col(out, id_col).alias("doc_id"), F.col(n[0]).alias("source_group"), F.col(n[1]).alias("lang_group"), F.col(n[2]).alias("topic_group"), F.col(n[3]).alias("tokens"), F.round(n[4], 6).alias("probability"), kept.alias("kept"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
