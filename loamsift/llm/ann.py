@@ -27,7 +27,7 @@ from .common import col, materialize
 
 K, LIST_SIZE, MAX_CENTROIDS, ROUNDS = 10, 100, 1 << 20, 5
 REPLICAS, REPLICA_RATIO, LISTS, LIST_RATIO, BEAM = 6, 1.15, 64, 1.6, 96
-DEGREE, LISTS_PER_SHARD = 32, 16
+DEGREE, LISTS_PER_SHARD, LEAST_LISTS = 32, 16, 8
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -176,7 +176,8 @@ def cluster(vectors: DataFrame, dim: int, n_lists: int, rounds: int = ROUNDS) ->
                 order = np.argsort(own, kind="stable")
                 ids, at = np.unique(own[order], return_index=True)
                 total = np.add.reduceat(v[order].astype(np.float64), at, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(np.append(at, len(own)))), pa.array([x.tobytes() for x in total], pa.binary())], ["i", "n", "s"])
+                square = np.add.reduceat((v[order].astype(np.float64) ** 2).sum(1), at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(np.append(at, len(own)))), pa.array([np.append(x, q).tobytes() for x, q in zip(total, square)], pa.binary())], ["i", "n", "s"])
 
         def add(batches):
             n: dict[int, int] = {}
@@ -188,18 +189,19 @@ def cluster(vectors: DataFrame, dim: int, n_lists: int, rounds: int = ROUNDS) ->
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values())), pa.array([s[i].tobytes() for i in n], pa.binary())], ["i", "n", "s"])
 
-        size = np.zeros(len(c), np.int64)
+        size, spread = np.zeros(len(c), np.int64), np.zeros(len(c))
         for r in vectors.mapInArrow(run, "i long, n long, s binary").repartition("i").mapInArrow(add, "i long, n long, s binary").toLocalIterator():
-            size[r["i"]] = r["n"]
-            c[r["i"]] = (np.frombuffer(r["s"]) / r["n"]).astype(np.float32)
+            mean = np.frombuffer(r["s"]) / r["n"]
+            size[r["i"]], c[r["i"]] = r["n"], mean[:-1]
+            spread[r["i"]] = np.sqrt(max(0.0, mean[-1] - (mean[:-1] ** 2).sum()) / dim)
         if k < rounds - 1:
-            poor = np.flatnonzero(size < 0.3 * size.mean())
-            rich = np.argsort(-size)[: len(poor)]
-            rich = rich[size[rich] > 1.5 * size.mean()]
-            scale = c.std(0) * 0.1
+            # a list of so many times the mean is split as often, at the cost of the smallest lists
+            share = size / size.mean()
+            order = np.argsort(-size, kind="stable")
+            rich = np.repeat(order, np.maximum(0, np.floor(share[order] / 1.25).astype(int) - 1 + (share[order] > 1.5).astype(int)))
+            poor = np.argsort(size, kind="stable")[: min(len(rich), int((share < 0.4).sum()))]
             for a, b in zip(poor, rich):
-                shift = rng.normal(size=dim) * scale
-                c[a], c[b] = c[b] + shift, c[b] - shift
+                c[a] = c[b] + rng.normal(size=dim) * spread[b] * 0.5
     return c
 
 
@@ -218,10 +220,12 @@ def replicas(g: Graph, v: np.ndarray, most: int = REPLICAS, ratio: float = REPLI
     return (lambda r, k: (r, ids[r, k]))(*np.nonzero(chosen))
 
 
-def probes(g: Graph, q: np.ndarray, most: int = LISTS, ratio: float = LIST_RATIO) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, list) pairs after pruning by the distance ratio."""
+def probes(g: Graph, q: np.ndarray, most: int = LISTS, ratio: float = LIST_RATIO, least: int = LEAST_LISTS) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, list) pairs after pruning by the distance ratio; the `least` nearest lists stay, for queries on a centroid."""
     ids, d = g.search(q, most)
-    return (lambda r, k: (r, ids[r, k]))(*np.nonzero((ids >= 0) & (d <= d[:, :1] * ratio + 1e-12)))
+    near = d <= d[:, :1] * ratio + 1e-12
+    near[:, :least] = True
+    return (lambda r, k: (r, ids[r, k]))(*np.nonzero((ids >= 0) & near))
 
 
 def shards_of(c: np.ndarray, per_shard: int = LISTS_PER_SHARD) -> np.ndarray:
@@ -263,12 +267,15 @@ def _search_shard(k: int, dim: int):
             top = min(k + 1, len(members))  # one more, for the query itself
             for i in range(0, len(asks), 2048):
                 part = asks[i : i + 2048]
-                near = np.argpartition(_squared(v[part], v[members]), top - 1, 1)[:, :top]
-                a, b = np.repeat(part, top), members[near.ravel()]
+                near = _squared(v[part], v[members])
+                last = np.partition(near, top - 1, 1)[:, top - 1 : top]
+                # all that tie with the last, as far as single precision tells
+                a, b = np.nonzero(near <= last * 1.0001 + 1e-5 * (v[part] ** 2).sum(1)[:, None])
+                a, b = part[a], members[b]
                 d = ((v[a].astype(np.float64) - v[b]) ** 2).sum(1)
                 keep = ids[a] != ids[b]
                 found.append((ids[a][keep], ids[b][keep], np.sqrt(d[keep])))
-        if not found:
+        if not sum(len(f[0]) for f in found):
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         a, b, d = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((b, d, a))

@@ -174,7 +174,7 @@ def labelled_sentences(n: int = 900, seed: int = 5) -> list[tuple[int, int, str,
             form = pick([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], ["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(3), digits(4)], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(11)}"], [f"+1-{digits(3)}-{digits(3)}-{digits(4)}"]])
             return [(w, "B-PHONE" if i == 0 else "I-PHONE") for i, w in enumerate(form)]
         if u < 7:
-            return [(".".join(str(x) for x in r.integers(1, 256, 4)), "B-IP")]
+            return [(".".join(str(x) for x in r.integers(0, int(pick([12, 120, 256, 256])), 4)), "B-IP")]
         if u < 9:
             form = pick([[digits(16)], [digits(16)], [digits(15)], [digits(4) for _ in range(4)], ["-".join(digits(4) for _ in range(4))]])
             return [(w, "B-CARD" if i == 0 else "I-CARD") for i, w in enumerate(form)]
