@@ -2,7 +2,8 @@
 
 Vectors are clustered to lists of about `list_size`; a vector on a boundary is replicated to several of them. The centroids
 are searched by a graph in memory. A query takes the lists whose centroids are nearly as near as the nearest one, by the
-ratio of distances, and is compared with all their members.
+ratio of distances, and is compared with all their members. How many lists that takes depends on the data (near vectors of
+clustered data share a few lists, those of evenly spread data many), so it is measured, for a wanted recall.
 
 Lists whose centroids lie near each other form a shard, and a query travels once to each shard that holds one of its lists,
 not once for each list. The broadcast is the centroids and their graph: at most `max_centroids`, beyond which lists grow.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import col, materialize
 
 K, LIST_SIZE, MAX_CENTROIDS, ROUNDS = 10, 100, 1 << 20, 5
-REPLICAS, REPLICA_RATIO, LISTS, LIST_RATIO, BEAM = 6, 1.15, 64, 1.6, 96
+REPLICAS, REPLICA_RATIO, BEAM = 8, 1.3, 96
+RECALL, SAMPLE = 0.95, 256
 DEGREE, LISTS_PER_SHARD, LEAST_LISTS = 32, 16, 8
 
 
@@ -48,7 +50,7 @@ class Graph:
 
     def search(self, q: np.ndarray, m: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """For each query the m nearest centroids found, nearest first, and their distances (infinite where there are fewer)."""
-        step = max(16, (1 << 25) // max(1, len(self.c)))
+        step = max(16, min(1024, (1 << 25) // max(1, len(self.c))))  # bounds the memory of a step
         parts = [self._search(q[i : i + step], m, beam) for i in range(0, len(q), step)]
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, m), int), np.zeros((0, m)))
 
@@ -206,28 +208,71 @@ def cluster(vectors: DataFrame, dim: int, n_lists: int, rounds: int = ROUNDS) ->
 
 
 def replicas(g: Graph, v: np.ndarray, most: int = REPLICAS, ratio: float = REPLICA_RATIO) -> tuple[np.ndarray, np.ndarray]:
-    """(vector row, list) pairs: the nearest list, and those within the ratio that no chosen centroid makes redundant."""
-    ids, d = g.search(v, most * 2)
-    ok = (ids >= 0) & (d <= d[:, :1] * ratio + 1e-12)
-    chosen = np.zeros_like(ok)
-    chosen[:, 0] = ok[:, 0]
-    for j in range(1, ids.shape[1]):
-        want = np.flatnonzero(ok[:, j] & (chosen.sum(1) < most))
-        if len(want):
-            gap = np.linalg.norm(g.c[ids[want, j]][:, None] - g.c[ids[want, :j]], axis=2)
-            blocked = (chosen[want, :j] & (gap < d[want, j : j + 1] * 0.7)).any(1)
-            chosen[want[~blocked], j] = True
-    return (lambda r, k: (r, ids[r, k]))(*np.nonzero(chosen))
-
-
-def probes(g: Graph, q: np.ndarray, most: int = LISTS, ratio: float = LIST_RATIO, least: int = LEAST_LISTS) -> tuple[np.ndarray, np.ndarray]:
+    """(vector row, list) pairs: the nearest list, and up to `most` whose centroids are within the ratio of its distance."""
+    ids, d = g.search(v, most)
+    return (lambda r, k: (r, ids[r, k]))(*np.nonzero((ids >= 0) & (d <= d[:, :1] * ratio + 1e-12)))
+
+
+def probes(g: Graph, q: np.ndarray, most: int, ratio: float, least: int = LEAST_LISTS) -> tuple[np.ndarray, np.ndarray]:
     """(query row, list) pairs after pruning by the distance ratio; the `least` nearest lists stay, for queries on a centroid."""
-    ids, d = g.search(q, most)
+    ids, d = g.search(q, most, max(BEAM, most + most // 4))
     near = d <= d[:, :1] * ratio + 1e-12
     near[:, :least] = True
     return (lambda r, k: (r, ids[r, k]))(*np.nonzero((ids >= 0) & near))
 
 
+def nearest_of_sample(vectors: DataFrame, dim: int, k: int, n_queries: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(query, its k nearest others) of n_queries vectors compared with all vectors. They are drawn by another hash than
+    the first centroids, near which the lists would look better than they are."""
+    rows = vectors.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(n_queries).collect()
+    ids, q = np.array([r["id"] for r in rows]), np.stack([np.frombuffer(r["v"], np.float32) for r in rows])
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches):
+        ids, q = shared.value
+        kept: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            own, v = b["id"].to_numpy(), _vectors(b, dim)
+            d = _squared(q, v)
+            d[ids[:, None] == own[None]] = np.inf
+            near = np.argpartition(d, k - 1, 1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (len(q), 1))
+            kept.append((np.repeat(np.arange(len(q)), near.shape[1]), own[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+        if kept:
+            i, o, d = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((d, i))
+            i, o, d = i[order], o[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            ok = (place < k) & np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(o[ok]), pa.array(d[ok].astype(np.float64))], ["q", "o", "d"])
+
+    best = vectors.mapInArrow(run, "q long, o long, d double").withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "o"))).where(F.col("r") <= k)
+    found = vectors.join(F.broadcast(best.select("q", "o")), F.col("id") == F.col("o")).select("q", "v").collect()  # n_queries * k rows at most
+    by: dict[int, list[np.ndarray]] = {}
+    for r in found:
+        by.setdefault(r["q"], []).append(np.frombuffer(r["v"], np.float32))
+    return [(q[i], np.stack(v)) for i, v in by.items()]
+
+
+def calibrate(g: Graph, sample: list[tuple[np.ndarray, np.ndarray]], recall: float, most_replicas: int, replica_ratio: float) -> tuple[int, float]:
+    """How many lists, and within what ratio of distances, reach the wanted recall on the sample's true neighbours."""
+    places, ratios = [], []
+    for q, v in sample:
+        d = np.sqrt(_squared(q[None], g.c)[0])
+        order = np.argsort(d, kind="stable")
+        place = np.empty(len(d), np.int64)
+        place[order] = np.arange(len(d))
+        rows, lists = replicas(g, v, most_replicas, replica_ratio)
+        best = np.full(len(v), len(d))
+        np.minimum.at(best, rows, place[lists])
+        places.append(best)
+        ratios.append(d[order[best]] / max(1e-12, d[order[0]]))
+    if not places:
+        return LEAST_LISTS, 1.0
+    share = 1 - (1 - recall) / 2  # what either limit may lose
+    at = lambda x: float(np.quantile(np.concatenate(x), share, method="higher"))
+    return max(LEAST_LISTS, int(at(places)) + 1), at(ratios)
+
+
 def shards_of(c: np.ndarray, per_shard: int = LISTS_PER_SHARD) -> np.ndarray:
     """Each list's shard: centroids are halved along their widest direction until few are left together."""
     out, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
@@ -289,8 +334,12 @@ def _search_shard(k: int, dim: int):
     return run
 
 
-def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_size: int = LIST_SIZE, max_centroids: int = MAX_CENTROIDS, rounds: int = ROUNDS, lists: int = LISTS, list_ratio: float = LIST_RATIO, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO) -> DataFrame:
-    """id, neighbour_id, rank, distance: the k nearest others of every vector, by Euclidean distance."""
+def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_size: int = LIST_SIZE, max_centroids: int = MAX_CENTROIDS, rounds: int = ROUNDS, recall: float = RECALL, sample: int = SAMPLE, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO) -> DataFrame:
+    """id, neighbour_id, rank, distance: the k nearest others of every vector, by Euclidean distance.
+
+    recall: what share of the true neighbours the search is set to find. The number of lists and the pruning ratio follow from
+    it: `sample` queries are compared with all vectors, and the lists that hold their true neighbours tell.
+    """
     vectors, dim = _clean(df, id_col, vec_col)
     n = vectors.count()
     spark = df.sparkSession
@@ -298,6 +347,7 @@ def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         return spark.createDataFrame([], "id long, neighbour_id long, rank int, distance double")
     c = cluster(vectors, dim, max(1, min(max_centroids, -(-n // list_size))), rounds)
     g = build_graph(vectors, c)
+    lists, list_ratio = calibrate(g, nearest_of_sample(vectors, dim, k, sample), recall, most_replicas, replica_ratio)
     shared = spark.sparkContext.broadcast((g, shards_of(c)))
 
     def place(batches):
