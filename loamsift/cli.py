@@ -30,7 +30,7 @@ def _parser() -> argparse.ArgumentParser:
     def group(name: str):
         return top.add_parser(name).add_subparsers(dest="command", required=True)
 
-    def command(to, name: str, *names: str, **options):
+    def command(to, name: str, /, *names: str, **options):
         c = to.add_parser(name)
         for n in names:
             c.add_argument(n)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from pathlib import Path
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,8 +81,8 @@ def scan(spark: SparkSession, root: str, extraction: Extraction = Extraction())
     uri = root if "://" in root or root.startswith("file:") else Path(root).resolve().as_uri()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
     base = uri.replace("file:///", "file:/").rstrip("/") + "/"
-    shown = F.url_decode(F.replace(F.replace("path", F.lit("file:///"), F.lit("file:/")), F.lit("+"), F.lit("%2B")))
-    relative = F.regexp_replace(shown, "^" + re.escape(re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), base)), "")
+    shown = F.replace("path", F.lit("file:///"), F.lit("file:/"))
+    relative = F.regexp_replace(shown, "^" + re.escape(unquote(base)), "")
     own = raw.where(F.col("length") <= extraction.max_file_size).withColumn("relative", relative).where(wanted_path(F.col("relative"), extraction))
     name = F.element_at(F.split("relative", "/"), -1)
     extension = F.when(name.rlike(r"^.+\.[^.]+$"), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
