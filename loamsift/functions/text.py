@@ -107,7 +107,7 @@ def extract_mentions(t: Column) -> Column:
 
 def clean_text(t: Column) -> Column:
     """Without control characters, white space folded."""
-    return normalize_line_endings(remove_trailing_whitespace(normalize_whitespace(F.regexp_replace(t, "[\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\\x00]", ""))))
+    return normalize_line_endings(remove_trailing_whitespace(normalize_whitespace(F.regexp_replace(t, r"[\p{Cc}&&[^\t\n\r]]", ""))))
 
 
 def truncate_text(t: Column, most: int, suffix: str = "...") -> Column:

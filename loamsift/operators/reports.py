@@ -18,6 +18,7 @@ SECTIONS: list[tuple[str, str, list[tuple[str, str]]]] = [
     ("Readability", "metrics", [("avg_readability_score", "Mean score"), ("highly_readable_files", "Readable files"), ("difficult_to_read_files", "Files hard to read")]),
     ("Tests", "test_coverage", [("test_files", "Test files"), ("source_files", "Source files"), ("test_ratio", "Tests per source file"), ("test_coverage_estimate", "Coverage, estimated")]),
 ]
+KINDS = ("json", "csv", "html", "markdown")
 ADVICE = ["Split files that many rules complain about.", "Bring down the most complex functions first.", "Write tests where there are fewest.", "Keep lines short and names plain."]
 
 
@@ -72,8 +73,8 @@ def to_html(analysis: dict) -> str:
 
 def write(analysis: dict, kind: str, folder: str | Path, stamp: str | None = None) -> list[str]:
     """Write one kind of report, or all for `comprehensive`; returns the paths."""
-    kinds = ["json", "csv", "html", "markdown"] if kind == "comprehensive" else [kind]
-    folder, stamp, out = Path(folder), stamp or datetime.now().strftime("%Y%m%d_%H%M%S"), []
+    kinds = list(KINDS) if kind == "comprehensive" else [kind]
+    folder, stamp, out = Path(folder), stamp or f"{datetime.now():%Y%m%dT%H%M%S}", []
     folder.mkdir(parents=True, exist_ok=True)
     for k in kinds:
         path = folder / f"analysis_report_{stamp}.{'md' if k == 'markdown' else k}"

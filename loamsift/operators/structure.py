@@ -15,7 +15,7 @@ from ..functions.text import lines, not_blank
 from ..schema import STRUCTURE
 
 _FIELDS = ("name", "line", "type")
-_BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith)
+_BRANCHES = tuple(getattr(ast, n) for n in "AsyncFor AsyncWith ExceptHandler For If While With".split())
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -41,9 +41,10 @@ def python_structure(text: str, with_async: bool = True) -> dict | None:
         elif isinstance(node, ast.BoolOp):
             out["complexity"] += len(node.values) - 1
         if isinstance(node, ast.ClassDef):
-            out["classes"].append({"name": node.name, "line": node.lineno, "type": "class", "bases": [_name(b) for b in node.bases], "methods": [x.name for x in node.body if isinstance(x, kinds)], "docstring": ast.get_docstring(node)})
+            methods = [x.name for x in node.body if isinstance(x, kinds)]
+            out["classes"].append({"docstring": ast.get_docstring(node), "name": node.name, "line": node.lineno, "type": "class", "bases": [_name(b) for b in node.bases], "methods": methods})
         elif isinstance(node, kinds):
-            out["functions"].append({"name": node.name, "line": node.lineno, "type": "function", "args": [a.arg for a in node.args.args], "returns": node.returns and _name(node.returns), "docstring": ast.get_docstring(node), "is_async": isinstance(node, ast.AsyncFunctionDef)})
+            out["functions"].append({"name": node.name, "line": node.lineno, "args": [a.arg for a in node.args.args], "returns": node.returns and _name(node.returns), "docstring": ast.get_docstring(node), "is_async": isinstance(node, ast.AsyncFunctionDef), "type": "function"})
         elif isinstance(node, ast.Import):
             out["imports"] += [{"module": a.name, "alias": a.asname, "type": "import"} for a in node.names]
         elif isinstance(node, ast.ImportFrom):

@@ -17,7 +17,7 @@ try:
 except ImportError:  # YAML files need the library; JSON files don't
     yaml = None
 
-REPORTS = ("json", "csv", "html", "markdown", "comprehensive")
+REPORTS = tuple("comprehensive csv html json markdown".split())
 STEP_METHODS = {"extractor": ("",), "cleaner": ("deduplication", "content_cleaning", "jsonl_cleaning", "file_metrics_cleaning"), "analyzer": ("duplicate_analysis", "metrics_analysis", "code_analysis")}
 
 

@@ -99,5 +99,5 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def safe_filename(name: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"^[ .]+|[ .]+$", "")
+    s = F.regexp_replace(F.regexp_replace(name, r'[*?|<>:"/\\]', "_"), r"^[ .]+|[ .]+$", "")
     return F.when(s == "", "unnamed").otherwise(s)

@@ -47,7 +47,7 @@ class Registry:
         else:
             subprocess.run(["git", "clone", "--branch", branch, url, str(target)], check=True, capture_output=True, timeout=3600)
             kind, path = "remote", target
-        self.entries[name] = {"url": url, "path": str(path), "branch": branch, "type": kind, "last_updated": datetime.now().isoformat(), "commit_hash": self._git(path, "rev-parse", "HEAD")}
+        self.entries[name] = {"type": kind, "path": str(path), "url": url, "branch": branch, "commit_hash": self._git(path, "rev-parse", "HEAD"), "last_updated": datetime.now().isoformat()}
         self._save()
         return self.entries[name]
 

@@ -33,7 +33,7 @@ CASES = {
     "no_spaces": (text.count_characters_no_spaces, lambda t: len(t.replace(" ", ""))),
     "sentences": (text.extract_sentences, lambda t: [s.strip() for s in re.split(r"[.!?]+", t) if s.strip()]),
     "paragraphs": (text.extract_paragraphs, lambda t: [s.strip() for s in t.split("\n\n") if s.strip()]),
-    "numbers": (text.extract_numbers, lambda t: re.findall(r"\b\d+(?:\.\d+)?\b", t)),
+    "numbers": (text.extract_numbers, lambda t: re.findall(r"\b" r"\d+(?:\.\d+)?" r"\b", t)),
     "truncate": (lambda t: text.truncate_text(t, 6), lambda t: t if len(t) <= 6 else t[:3] + "..."),
     "checksum": (hashing.checksum, lambda t: sum(map(ord, t)) % 65536),
     "fingerprint": (hashing.content_fingerprint, lambda t: hashlib.sha256("".join(t.split()).lower().encode()).hexdigest()),
