@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
+HERE = Path(__file__).parent
+sys.path.insert(0, str(HERE))
 
 CLASHING = ["h", "sig", "key", "a", "b", "u", "v", "doc", "kept", "kind", "verdict", "secret", "_lid", "_candidates", "_lives", "_p", "_tokens", "_source", "r", "x", "y", "probability", "rank", "id", "group_id", "__gone_id", "_c0", "shard", "items", "digest"]
 BASE = "doc_id long, text string, lang string, source string, n_chars long"
