@@ -9,7 +9,8 @@ windows whose anchor is estimated to occur twice or more; they are grouped exact
 that the sketch overestimates is dropped here and none that repeats is lost. Runs of repeated windows then make the spans.
 
 Scale: the broadcast is the sketch, of the fixed size depth * width / 8 bytes whatever the corpus. Where a corpus outgrows
-it, more unique windows pass to the exact grouping: about 5 bytes a word at worst, and the result stays the same.
+it, more unique windows pass to the exact grouping: about 5 bytes a word at worst, and the result stays the same. Anchors
+that occur HOT times or more don't meet in one task: their windows are counted and joined one by one.
 
 Defined results. Rows with a null doc_id or text, and texts of fewer than WINDOW words: no span. Rows that share a doc_id
 are one document: a window that only they hold is not shared. Windows that overlap or touch make one span. Empty tables give
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import exploded_id, hashed_words, mix, range_hashes, slices
+from .common import exploded_id, hashed_words, materialize, mix, range_hashes, slices
 
 WINDOW, GRAM = 50, 26
 DEPTH, WIDTH, BLOCK = 2, 1 << 27, 1 << 18
+#: An anchor that occurs so often is grouped by window instead; a partition reports those it holds LOCALLY_MANY times.
+HOT, LOCALLY_MANY, HEAVY = 100_000, 256, -1
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
 
@@ -67,14 +70,18 @@ def cells(anchors: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
 def _partial(depth: int, width: int, window: int, gram: int):
     def run(batches):
         def flush(found):
-            c, n = np.unique(np.concatenate(cells(np.concatenate(found), depth, width)), return_counts=True)
+            every = np.concatenate(found)
+            own, times = np.unique(every, return_counts=True)
+            many = times >= LOCALLY_MANY
+            heavy = (own[many].tobytes(), times[many].astype(np.int64).tobytes())
+            c, n = np.unique(np.concatenate(cells(every, depth, width)), return_counts=True)
             blocks, at = np.unique(c // BLOCK, return_index=True)
-            once, twice = [], []
+            once, twice = [heavy[0]], [heavy[1]]
             for lo, hi in zip(at, np.append(at[1:], len(c))):
-                own, many = (c[lo:hi] % BLOCK).astype(np.int32), n[lo:hi] > 1
-                once.append(_zip(own[~many]))
-                twice.append(_zip(own[many]))
-            return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int64)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
+                at_, more = (c[lo:hi] % BLOCK).astype(np.int32), n[lo:hi] > 1
+                once.append(_zip(at_[~more]))
+                twice.append(_zip(at_[more]))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(HEAVY, blocks)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
 
         found, n = [], 0
         for b in batches:
@@ -98,34 +105,50 @@ def _unzip(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.int32))
 
 
-def _merge(batches):
-    """Rows sorted by block: adds the partitions' counters, which stay at 2 once there."""
-    block, seen = None, None
+def _merge(hot: int):
+    """Rows sorted by block: adds the partitions' counters, which stay at 2 once there, and the counts of frequent anchors."""
 
-    def close():
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(seen >= 2, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+    def run(batches):
+        block, seen, total = None, None, {}
 
-    for b in batches:
-        for k, once, twice in zip(b["block"].to_pylist(), b["once"].to_pylist(), b["twice"].to_pylist()):
-            if k != block:
-                if block is not None:
-                    yield close()
-                block, seen = k, np.zeros(BLOCK, np.uint8)
-            c = _unzip(once)
-            seen[c] = np.minimum(2, seen[c] + 1)
-            seen[_unzip(twice)] = 2
-    if block is not None:
-        yield close()
-
-
-def sketch(texts: DataFrame, depth: int = DEPTH, width: int = WIDTH, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """One bit a cell: whether its merged count is 2 or more. texts: (doc_id, text)."""
+        def close():
+            if block == HEAVY:
+                bits = np.array([a for a, n in total.items() if n >= hot], np.uint64).tobytes()
+            else:
+                bits = np.packbits(seen >= 2, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits], pa.binary())], ["block", "bits"])
+
+        for b in batches:
+            for k, once, twice in zip(b["block"].to_pylist(), b["once"].to_pylist(), b["twice"].to_pylist()):
+                if k != block:
+                    if block is not None:
+                        yield close()
+                    block, seen = k, np.zeros(BLOCK, np.uint8)
+                if k == HEAVY:
+                    for a, n in zip(np.frombuffer(once, np.uint64).tolist(), np.frombuffer(twice, np.int64).tolist()):
+                        total[a] = total.get(a, 0) + n
+                    continue
+                c = _unzip(once)
+                seen[c] = np.minimum(2, seen[c] + 1)
+                seen[_unzip(twice)] = 2
+        if block is not None:
+            yield close()
+
+    return run
+
+
+def sketch(texts: DataFrame, depth: int = DEPTH, width: int = WIDTH, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """One bit a cell, whether its merged count is 2 or more, and the anchors that occur `hot` times or more (sorted).
+    texts: (doc_id, text)."""
     parts = texts.mapInArrow(_partial(depth, width, window, gram), "block long, once binary, twice binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits binary")
-    bits = np.zeros(depth * width // 8, np.uint8)
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(hot), "block long, bits binary")
+    bits, heavy = np.zeros(depth * width // 8, np.uint8), np.zeros(0, np.uint64)
     for r in merged.toLocalIterator():  # depth * width bits in all, a fixed number
-        bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+        if r["block"] == HEAVY:
+            heavy = np.sort(np.frombuffer(r["bits"], np.uint64))
+        else:
+            bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits, heavy
 
 
 def estimated_repeated(bits: np.ndarray, anchors: np.ndarray, depth: int, width: int) -> np.ndarray:
@@ -135,11 +158,16 @@ def estimated_repeated(bits: np.ndarray, anchors: np.ndarray, depth: int, width:
     return ok
 
 
-def repeated_runs(h: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, ...]:
-    """From whole anchor groups the runs of windows that two documents or more hold: (doc, first start, last start, copies, first doc)."""
+def window_keys(h: np.ndarray, off: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, place within the row) of each window."""
     row = np.repeat(np.arange(len(h)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    key = mix(h[row] ^ (sig.astype(np.uint64) | ((off[row] - j).astype(np.uint64) << np.uint64(32))))
+    return mix(h[row] ^ (sig.astype(np.uint64) | ((off[row] - j).astype(np.uint64) << np.uint64(32)))), row, j
+
+
+def repeated_runs(h: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, ...]:
+    """From whole anchor groups the runs of windows that two documents or more hold: (doc, first start, last start, copies, first doc)."""
+    key, row, j = window_keys(h, off, n, sig)
     d = doc[row]
     order = np.lexsort((d, key))
     k, o = key[order], d[order]
@@ -158,16 +186,36 @@ def repeated_runs(h: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.nda
     return d[many[cut]], start[many[cut]], start[many[last]], np.maximum.reduceat(copies[many], cut), np.minimum.reduceat(least[many], cut)
 
 
+def _arrays(t: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """h, doc_id, first, off, windows, all windows' 32 bits."""
+    h, doc, first, off = (t[c].to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t[c].to_numpy() for c in ("h", "doc_id", "first", "off"))
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32)
+    n = np.asarray(pa.compute.binary_length(t["sig"])).astype(np.int64) // 4
+    return [h.view(np.uint64), doc, first.astype(np.int64), off.astype(np.int64), n, sig]
+
+
+def _single(batches):
+    """Each window as a row of its own."""
+    for b in batches:
+        h, doc, first, off, n, sig = _arrays(b)
+        key, row, j = window_keys(h, off, n, sig)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(first[row] + j)], ["key", "doc_id", "s"])
+
+
+def _hot_runs(rows: DataFrame) -> DataFrame:
+    """repeated_runs() for frequent anchors, by window: counts combine before the shuffle, and a join that is skewed can be split."""
+    w = rows.mapInArrow(_single, "key long, doc_id long, s long")
+    held = w.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+    return w.join(held, "key").select("doc_id", "s", F.col("s").alias("e"), "copies", "first_doc")
+
+
 def _exact(batches):
     """Rows sorted by anchor: works through whole groups, as many at a time as fill a chunk."""
     kept: list[pa.Table] = []
     rows = 0
 
     def work(t: pa.Table):
-        sig = b"".join(t["sig"].to_pylist())
-        cols = [t[c].to_numpy() for c in ("h", "doc_id", "first", "off")]
-        n = pa.compute.binary_length(t["sig"]).to_numpy() // 4
-        out = repeated_runs(cols[0].view(np.uint64), cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), n.astype(np.int64), np.frombuffer(sig, np.uint32))
+        out = repeated_runs(*_arrays(t))
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["doc_id", "s", "e", "copies", "first_doc"])
 
     for b in batches:
@@ -184,11 +232,12 @@ def _exact(batches):
         yield work(pa.concat_tables(kept))
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, copies (most documents that share one of the span's windows) and
     first_doc (the least doc_id that holds one): a row for each maximal span of windows shared between documents."""
     texts = exploded_id(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, depth, width, window, gram))
+    counted, heavy = sketch(texts, depth, width, window, gram, hot)
+    bits = docs.sparkSession.sparkContext.broadcast(counted)
 
     def candidates(batches):
         seen = bits.value
@@ -203,7 +252,15 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(ids[at + text[ok]].astype(np.int64)), pa.array(first[ok].astype(np.int32)), pa.array(off[ok].astype(np.int32)), blob], ["h", "doc_id", "first", "off", "sig"])
 
     found = texts.mapInArrow(candidates, "h long, doc_id long, first int, off int, sig binary")
+    frequent = None
+    if len(heavy):  # at most one for each `hot` anchors of the corpus
+        spark = docs.sparkSession
+        these = F.broadcast(spark.createDataFrame([(x,) for x in heavy.view(np.int64).tolist()], "h long"))
+        found = materialize(found, "windows")
+        frequent, found = _hot_runs(found.join(these, "h", "left_semi")), found.join(these, "h", "left_anti")
     runs = found.repartition("h").sortWithinPartitions("h").mapInArrow(_exact, "doc_id long, s long, e long, copies long, first_doc long")
+    if frequent is not None:
+        runs = runs.unionByName(frequent)
     by_doc = W.partitionBy("doc_id").orderBy("s", "e")
     before = F.max(F.col("e") + window).over(by_doc.rowsBetween(W.unboundedPreceding, -1))
     marked = runs.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1))

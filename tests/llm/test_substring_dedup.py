@@ -55,6 +55,16 @@ def test_nothing_is_lost_when_the_sketch_is_full(docs):
     assert rows(S.shared_spans(docs(texts), width=S.BLOCK)) == rows(S.shared_spans(docs(texts), depth=1, width=S.BLOCK)) == brute(enumerate(texts))
 
 
+def test_frequent_anchors_by_window(docs, monkeypatch):
+    monkeypatch.setattr(S, "LOCALLY_MANY", 2)
+    passage = words(1, 70)
+    texts = [" ".join(words(50 + i, i % 9) + passage[: 55 + i % 16] + words(90 + i, 30)) for i in range(60)] + [" ".join(["same"] * 120)] * 2 + [" ".join(words(5, 80))] * 2
+    d = docs(texts)
+    heavy = S.sketch(d.select("doc_id", "text"), width=S.BLOCK, hot=20)[1]
+    assert len(heavy) >= 1
+    assert rows(S.shared_spans(d, width=S.BLOCK, hot=20)) == rows(S.shared_spans(d, width=S.BLOCK)) == brute(enumerate(texts))
+
+
 def test_awkward_rows(docs):
     p = " ".join(words(1, 60))
     long = " ".join(words(5, 60_000))
@@ -69,7 +79,7 @@ def test_awkward_rows(docs):
 
 def test_sketch_never_underestimates(spark, docs):
     texts = [" ".join(words(i % 5, 90)) for i in range(20)]
-    bits = S.sketch(docs(texts, extra=False).select("doc_id", "text"), width=S.BLOCK)
+    bits, _ = S.sketch(docs(texts, extra=False).select("doc_id", "text"), width=S.BLOCK)
     text, first, n, off, h, sig = S.anchored_windows(texts)
     counts = dict(zip(*np.unique(h, return_counts=True)))
     repeated = np.array([counts[x] > 1 for x in h])
