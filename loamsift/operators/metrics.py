@@ -166,6 +166,11 @@ def with_metrics(records: DataFrame, thresholds: Thresholds = Thresholds(), metr
     return out.withColumns({"all_violations": F.concat("clean_rules", "remove_rules"), "action": F.when(F.col("metrics").isNotNull(), action).otherwise("ignore")})
 
 
+def with_file_metrics(records: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """with_metrics() for scanned files: sizes in bytes, and comments by the signs of each file's extension."""
+    return with_metrics(records, thresholds, file_metrics(F.col("content"), F.col("extension")))
+
+
 def wrap_long_line(line: str, most: int) -> list[str]:
     """Cut after the last blank or sign within the 50 characters before `most`, or else at `most`."""
     out = []

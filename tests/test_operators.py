@@ -113,6 +113,20 @@ def test_rules_and_actions(spark):
     assert {r["ord"] for r in metrics.clean_by_metrics(df, keep_ignored=True).collect()} == {2, 3, 4, 5}
 
 
+def test_file_metrics_by_extension(spark):
+    rows = [rec(0, "/* é\n*/\nx", "javascript", ".js"), rec(1, "# a\n\nx # b", "python", ".py"), rec(2, "x" * 700, extension=".md")]
+    got = {r["ord"]: r for r in metrics.with_file_metrics(records(spark, rows)).collect()}
+    assert (got[0]["metrics"]["comment_lines"], got[0]["metrics"]["file_size"]) == (2, 10)
+    assert got[1]["metrics"]["comment_percentage_by_effective"] == 100 and got[1]["metrics"]["comment_percentage_by_line"] == pytest.approx(200 / 3)
+    assert [v["rule"] for v in got[2]["all_violations"]] == ["max_line_length", "max_average_line_length"] and got[2]["action"] == "remove"
+
+
+def test_same_path_and_tied_times_keep_one(spark):
+    body = "y" * 100
+    rows = [rec(0, body, path="p", mtime=1), rec(1, body, path="p", mtime=1), rec(2, "z" * 99, path="p"), rec(3, "z" * 99, path="p")]
+    assert sorted(r["ord"] for r in dedup.deduplicate(records(spark, rows)).collect()) == [0, 2, 3]
+
+
 def test_dedup_strategies(spark):
     body = "content " * 20
     rows = [rec(0, body, mtime=2), rec(1, body, mtime=9), rec(2, body, mtime=9), rec(3, body, mtime=1), rec(4, "short"), rec(5, "short"), rec(6, body, extension=".exe"), rec(7, None), rec(8, body, binary=True)]
