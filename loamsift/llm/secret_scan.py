@@ -25,15 +25,19 @@ from .common import col, fresh, materialize
 EXAMPLE_OWNERS, LEAST_DISTINCT = 3, 6
 _KEYS = [k for w in ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key") for k in (w, w.upper(), w.capitalize())]
 
-#: kind -> (pattern whose group 1 is the secret, strings of which a text with a match holds one). Only syntax that Java and RE2 read alike.
-KINDS: dict[str, tuple[str, list[str]]] = {
-    "aws_access_key": (r"(?:^|[^A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})", ["AKIA", "ASIA"]),
-    "forge_token": (r"(?:^|[^A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36})", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]),
-    "chat_token": (r"(?:^|[^A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,})", ["xox"]),
-    "maps_key": (r"(?:^|[^A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})", ["AIza"]),
-    "web_token": (r"(?:^|[^A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", ["eyJ"]),
-    "private_key": (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*)", ["PRIVATE KEY-----"]),
-    "assignment": (r"(?:" + "|".join(_KEYS) + r")[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_-]{12,})", _KEYS),
+#: In whatever spelling of _KEYS, one of these is part of the key.
+_KEY_PARTS = [x for p in ("assw", "ecret", "oken", "_key", "pikey") for x in (p, p.upper())]
+
+#: kind -> (pattern whose group 1 is the secret, groups of strings: a text with a match holds one of each group). Only syntax
+#: that Java and RE2 read alike.
+KINDS: dict[str, tuple[str, list[list[str]]]] = {
+    "aws_access_key": (r"(?:^|[^A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})", [["AKIA", "ASIA"]]),
+    "forge_token": (r"(?:^|[^A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36})", [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]]),
+    "chat_token": (r"(?:^|[^A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,})", [["xox"]]),
+    "maps_key": (r"(?:^|[^A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})", [["AIza"]]),
+    "web_token": (r"(?:^|[^A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", [["eyJ"]]),
+    "private_key": (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*)", [["PRIVATE KEY-----"]]),
+    "assignment": (r"(?:" + "|".join(_KEYS) + r")[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_-]{12,})", [["=", ":"], _KEY_PARTS]),
 }
 
 
@@ -46,7 +50,7 @@ def candidates(text: Column) -> Column:
     none = F.array().cast("array<string>")
     found = []
     for kind, (pattern, hints) in KINDS.items():
-        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in hints])
+        hit = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in own]) for own in hints])
         secrets = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none)
         found.append(F.transform(secrets, _named(kind)))
     return F.concat(*found)

@@ -48,3 +48,13 @@ def test_secret_within_another(docs):
     t = f"password={AWS}xyz and {AWS}"
     (r,) = S.redact_live(docs([t], extra=False)).collect()
     assert AWS not in r["text"] and r["text"].startswith("password=<SECRET:assignment>")
+
+
+def test_hints_spare_no_match(one):
+    import re
+
+    texts = [f"x {k}{q} {sign} '{HEX}' y" for k in S._KEYS for q in ("", '"') for sign in "=:"]
+    p = re.compile(S.KINDS["assignment"][0])
+    assert all(p.search(t) for t in texts)
+    got = one(lambda t: S.candidates(t), texts)
+    assert all([(c["kind"], c["secret"]) for c in g] == [("assignment", HEX)] for g in got)
