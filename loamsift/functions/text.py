@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -16,6 +17,16 @@ _NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 _BREAK = r"\R|[\x1c-\x1e]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it, also within functions of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """The value, marked so that no optimizer rule copies it to each place that reads it, such as a filter pushed below it."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def lines(t: Column) -> Column:
     """str.splitlines()"""
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, rf"(?:{_BREAK})\z", ""), _BREAK))
@@ -139,8 +150,8 @@ def wrap_text(t: Column, width: int) -> Column:
 def syllables(word: Column) -> Column:
     """Runs of vowels, without a silent ending, at least 1."""
     w = F.regexp_replace(F.lower(word), r"(?:e[sd]|ing)\z", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.greatest(F.lit(1), n - F.when(F.endswith(w, F.lit("e")) & (n > 1), 1).otherwise(0))
+    runs = lambda x: F.regexp_count(x, F.lit("[aeiouy]+"))
+    return let(w, lambda x: F.greatest(F.lit(1), runs(x) - F.when(F.endswith(x, F.lit("e")) & (runs(x) > 1), 1).otherwise(0)))
 
 
 def syllable_total(t: Column) -> Column:
@@ -149,7 +160,11 @@ def syllable_total(t: Column) -> Column:
 
 def readability(t: Column) -> Column:
     """struct<sentences,words,syllables,words_per_sentence,syllables_per_word,flesch,fk>; zeros where there are no words or sentences."""
-    s, w, y = F.size(extract_sentences(t)).cast("double"), count_words(t).cast("double"), syllable_total(t).cast("double")
+    parts = F.struct(F.size(extract_sentences(t)).cast("double").alias("s"), count_words(t).cast("double").alias("w"), syllable_total(t).cast("double").alias("y"))
+    return F.when(t.isNotNull(), let(parts, lambda p: _readability(p["s"], p["w"], p["y"])))
+
+
+def _readability(s: Column, w: Column, y: Column) -> Column:
     some = (s > 0) & (w > 0)
     wps, spw = F.try_divide(w, s), F.try_divide(y, w)
     flesch = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(206.835) - wps * 1.015 - spw * 84.6))
@@ -210,10 +225,13 @@ def detect_language(t: Column) -> Column:
 
 
 def basic_stats(t: Column) -> Column:
-    ls = lines(t)
+    return let(F.struct(lines(t).alias("lines"), extract_words(t).alias("words"), t.alias("t")), lambda p: _basic_stats(p["lines"], p["words"], p["t"]))
+
+
+def _basic_stats(ls: Column, words: Column, t: Column) -> Column:
     widths = F.transform(ls, F.length)
-    n, w, c = F.size(ls), count_words(t), F.length(t)
-    word_chars = F.aggregate(F.transform(extract_words(t), F.length), F.lit(0).cast("long"), lambda a, x: a + x)
+    n, w, c = F.size(ls), F.size(words), F.length(t)
+    word_chars = F.aggregate(F.transform(words, F.length), F.lit(0).cast("long"), lambda a, x: a + x)
     total = F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
     return F.struct(
         n.alias("total_lines"), F.size(F.filter(ls, not_blank)).alias("non_empty_lines"), w.alias("total_words"), c.alias("total_characters"), count_characters_no_spaces(t).alias("characters_no_spaces"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, lines, not_blank, readability, strip
+from ..functions.text import SPACE, let, lines, not_blank, once, readability, strip
 from .structure import code_structure
 
 LONG_LINE, LARGE_FILE, MOST_LISTED, TOP_IMPORTS = 120, 1_024_000, 100, 10
@@ -24,7 +24,7 @@ def with_features(records: DataFrame) -> DataFrame:
     """Records with `code_structure` and `readability`, which the rollups read."""
     use = _not_binary(records)
     t = F.when(use, F.col("content"))
-    return records.withColumns({"code_structure": code_structure(t, F.col("language")), "readability": readability(t)})
+    return records.withColumns({"code_structure": code_structure(t, F.col("language")), "readability": once(readability(t))})
 
 
 def _issue(kind: str, line: Column) -> Column:
@@ -41,7 +41,10 @@ def _starts(x: Column, words: list[str]) -> Column:
 
 def issues(t: Column, language: Column, size: Column) -> Column:
     """array<struct<type,file,line,message>>: long lines, blank runs, size, then the language's own check."""
-    ls = lines(t)
+    return let(lines(t), lambda ls: _issues(t, ls, language, size))
+
+
+def _issues(t: Column, ls: Column, language: Column, size: Column) -> Column:
 
     def blank(i: Column) -> Column:
         return (i >= 0) & ~not_blank(F.coalesce(F.get(ls, i), F.lit("")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
-from ..functions.text import lines, normalize_whitespace, not_blank, remove_empty_lines, strip
+from ..functions.text import let, lines, normalize_whitespace, not_blank, remove_empty_lines, strip
 
 C_FAMILY = ("javascript", "typescript", "java", "cpp", "c", "cangjie")
 _LINE_COMMENT, _BLOCK_COMMENT, _MARKUP_COMMENT = "(?md)//" + ".*$", r"(?s)/\*" + ".*?" + r"\*/", "(?s)<!--" + ".*?" + "-->"
@@ -85,13 +85,15 @@ def remove_imports(t: Column, language: Column) -> Column:
 
 def keep_structure(t: Column, opener: str) -> Column:
     """Only blank lines right after a line that ends with the opener stay, as empty lines."""
-    ls = lines(t)
 
-    def stays(x: Column, i: Column) -> Column:
-        before = F.get(ls, i - 1)
-        return not_blank(x) | (F.coalesce(not_blank(before), F.lit(False)) & F.endswith(strip(before), F.lit(opener)))
+    def kept(ls: Column) -> Column:
+        def stays(x: Column, i: Column) -> Column:
+            before = F.get(ls, i - 1)
+            return not_blank(x) | (F.coalesce(not_blank(before), F.lit(False)) & F.endswith(strip(before), F.lit(opener)))
 
-    return F.array_join(F.transform(F.filter(ls, stays), lambda x: F.when(not_blank(x), x).otherwise("")), "\n")
+        return F.transform(F.filter(ls, stays), lambda x: F.when(not_blank(x), x).otherwise(""))
+
+    return F.array_join(let(lines(t), kept), "\n")
 
 
 def preserve_structure(t: Column, language: Column) -> Column:

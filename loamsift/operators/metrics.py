@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
 from ..functions.patterns import HEX
-from ..functions.text import lines, not_blank
+from ..functions.text import let, lines, not_blank, once
 
 
 @dataclass(frozen=True)
@@ -114,9 +114,9 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double") * 100.0, whole), F.lit(0.0))
 
 
-def _counts(t: Column, ls: Column, comments: Column) -> list[Column]:
+def _counts(t: Column, ls: Column, comments: Column, full: Column) -> list[Column]:
     widths = F.transform(ls, F.length)
-    n, full, chars = F.size(ls), F.size(F.filter(ls, not_blank)), F.length(t)
+    n, chars = F.size(ls), F.length(t)
     total = F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x)
     return [
         n.alias("line_count"), full.alias("effective_lines"), F.coalesce(F.array_max(widths), F.lit(0)).alias("max_line_length"),
@@ -127,15 +127,20 @@ def _counts(t: Column, ls: Column, comments: Column) -> list[Column]:
 
 def content_metrics(t: Column) -> Column:
     """A struct of metrics with `file_size` in characters; null for texts without lines."""
-    ls = lines(t)
-    return F.when(F.size(ls) > 0, F.struct(*_counts(t, ls, comment_lines(ls)), F.length(t).cast("long").alias("file_size")))
+    counted = lambda ls: F.struct(ls.alias("ls"), comment_lines(ls).alias("n"), F.size(F.filter(ls, not_blank)).alias("full"))
+    made = let(let(lines(t), counted), lambda p: F.when(F.size(p["ls"]) > 0, F.struct(*_counts(t, p["ls"], p["n"], p["full"]), F.length(t).cast("long").alias("file_size"))))
+    return F.when(t.isNotNull(), made)
 
 
 def file_metrics(t: Column, extension: Column) -> Column:
     """The same with `file_size` in bytes and comments by the extension's signs, as shares of all and of effective lines."""
-    ls = lines(t)
-    comments = comment_lines_by_extension(t, extension)
-    return F.struct(*_counts(t, ls, comments), F.octet_length(t).cast("long").alias("file_size"), _percent(comments, F.size(ls)).alias("comment_percentage_by_line"), _percent(comments, F.size(F.filter(ls, not_blank))).alias("comment_percentage_by_effective"))
+    # Python's part is an argument: it can't stand within the function
+    return let(F.struct(lines(t).alias("ls"), comment_lines_by_extension(t, extension).alias("n")), lambda p: _file_metrics(t, p["ls"], p["n"]))
+
+
+def _file_metrics(t: Column, ls: Column, comments: Column) -> Column:
+    full = F.size(F.filter(ls, not_blank))
+    return F.struct(*_counts(t, ls, comments, full), F.octet_length(t).cast("long").alias("file_size"), _percent(comments, F.size(ls)).alias("comment_percentage_by_line"), _percent(comments, F.size(F.filter(ls, not_blank))).alias("comment_percentage_by_effective"))
 
 
 def _violation(rule: str, threshold: float, actual: Column, severity: Column | str) -> Column:
@@ -161,7 +166,7 @@ def with_metrics(records: DataFrame, thresholds: Thresholds = Thresholds(), metr
     usable = ~F.coalesce("is_binary", F.lit(False)) & (F.coalesce("content", F.lit("")) != "") if "is_binary" in records.columns else F.coalesce("content", F.lit("")) != ""
     m = F.when(usable, content_metrics(F.col("content")) if metrics is None else metrics)
     clean, remove = violations(F.col("metrics"), thresholds)
-    out = records.withColumn("metrics", m).withColumns({"clean_rules": clean, "remove_rules": remove})
+    out = records.withColumn("metrics", once(m)).withColumns({"clean_rules": clean, "remove_rules": remove})
     action = F.when(F.size("remove_rules") > 0, "remove").when(F.size("clean_rules") > 0, "clean").otherwise("ignore")
     return out.withColumns({"all_violations": F.concat("clean_rules", "remove_rules"), "action": F.when(F.col("metrics").isNotNull(), action).otherwise("ignore")})
 

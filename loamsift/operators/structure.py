@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow
-from ..functions.text import lines, not_blank
+from ..functions.text import let, lines, not_blank
 from ..schema import STRUCTURE
 
 _FIELDS = ("name", "line", "type")
@@ -142,13 +142,15 @@ def _parsed(texts: pa.Array, languages: pa.Array) -> pa.Array:
 def code_structure(t: Column, language: Column) -> Column:
     """The struct STRUCTURE; null for Python texts that don't parse. Texts in other languages stay in the JVM: their line counts."""
     parsed = language.isin("python", *PATTERNS)
-    ls = lines(t)
-    full = F.size(F.filter(ls, not_blank))
+    sizes = lambda ls: F.struct(F.size(ls).alias("all"), F.size(F.filter(ls, not_blank)).alias("full"))
+    return F.when(parsed, _parsed(F.when(parsed, t), language)).when(t.isNotNull(), let(let(lines(t), sizes), lambda n: _generic(n, language)))
+
+
+def _generic(n: Column, language: Column) -> Column:
     empty = F.lit(None).cast(STRUCTURE)
-    counts = {"total_lines": F.size(ls), "non_empty_lines": full, "language": language, "complexity": full}
+    counts = {"total_lines": n["all"], "non_empty_lines": n["full"], "language": language, "complexity": n["full"]}
     names = [_TYPE.field(i).name for i in range(_TYPE.num_fields)]
-    generic = F.struct(*[counts[n].alias(n) if n in counts else empty[n].alias(n) for n in names])
-    return F.when(parsed, _parsed(F.when(parsed, t), language)).when(t.isNotNull(), generic)
+    return F.struct(*[counts[n].alias(n) if n in counts else empty[n].alias(n) for n in names])
 
 
 def complexity(t: Column, language: Column) -> Column:
