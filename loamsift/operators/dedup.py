@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow
 from ..functions.hashing import calculate_hash
 
 BINARY_EXTENSIONS = (".bin", ".dll", ".dylib", ".exe", ".so")
@@ -91,26 +93,140 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def _agreeing(a: str, b: str) -> int:
+    """How many characters a and b have in common from the start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def similarity(a: str, b: str) -> float:
-    return 1.0 if a == b else lcs_length(a, b) / max(len(a), len(b)) if a and b else 0.0
+    if a == b or not (a and b):
+        return float(a == b)
+    head = _agreeing(a, b)  # what both begin and end with is part of a longest common subsequence
+    x, y = a[head:], b[head:]
+    tail = _agreeing(x[::-1], y[::-1])
+    return (head + tail + lcs_length(x[: len(x) - tail], y[: len(y) - tail])) / max(len(a), len(b))
+
+
+def _apart(a: str, b: str, over_a: int, over_b: int) -> bool:
+    """Whether already the first third of a leaves more than over_a characters over. over_b: the most that b may leave over."""
+    k = len(a) // 3
+    return k > over_a and lcs_length(a[:k], b[: k + over_b]) < k - over_a
+
+
+#: Bytes of texts and signatures of a chunk, and of one signature besides its text.
+CHUNK, SIGNATURE = 24_000_000, 1000
+
 
+def _hashed_runs(text: str, size: int) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    h = np.zeros(max(0, len(c) - size + 1), np.uint32)
+    for k in range(size):
+        h = (h ^ c[k : k + len(h)]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h
 
-@arrow("double")
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+def _counts(texts: list[str], places: int = 64) -> np.ndarray:
+    """How often each text has each character, by hash to `places` (a power of two)."""
+    out = np.zeros((len(texts), places), np.int32)
+    for row, t in zip(out, texts):
+        row[:] = np.bincount(_hashed_runs(t, 1) & np.uint32(places - 1), minlength=places)
+    return out
+
+
+def _sets(texts: list[str], size: int, places: int) -> np.ndarray:
+    """Each text's runs of `size` characters as a set of bits, by hash to `places` (a power of two) of the run and of how often it came before."""
+    out = np.zeros((len(texts), places // 64), np.uint64)
+    for row, t in zip(out, texts):
+        bits = np.zeros(places, np.uint8)
+        h = np.sort(_hashed_runs(t, size))
+        at = np.arange(len(h), dtype=np.uint32)
+        again = at - np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[: len(h)], at, np.uint32(0)))
+        h = (h + again * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+        bits[(h ^ h >> np.uint32(15)) & np.uint32(places - 1)] = 1
+        row[:] = np.packbits(bits).view(np.uint64)
+    return out
+
+
+def reaching(texts: list[str], left: np.ndarray, within: bool, threshold: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all pairs of different texts that reach the threshold: left ones with others and, if within, each other.
+
+    A common subsequence as long as wanted leaves at most `over` characters of both texts over. Then their counts of
+    characters differ by that at most, and their runs of five by nine times that: a character left over breaks five runs of its
+    own text and four of the other. Hashing only lessens a difference, so no pair is lost.
+    """
+    order = np.argsort([len(t) for t in texts], kind="stable")
+    texts, left = [texts[i] for i in order], left[order]
+    n = np.array([len(t) for t in texts], np.int64)
+    counts, runs = _counts(texts), _sets(texts, 5, 1 << min(20, max(6, int(4 * n.mean()).bit_length())))
+    out = []
+    for i in range(len(texts)):
+        at = np.arange(i + 1, np.searchsorted(n, n[i] / threshold + 1, "right") if threshold > 0 else len(n))
+        at = at[left[at] != left[i]] if not (within and left[i]) else at
+        wanted = np.ceil(n[at] * threshold - 1e-6).astype(np.int64)
+        at, wanted = at[wanted <= n[i]], wanted[wanted <= n[i]]
+        over = n[i] + n[at] - 2 * wanted
+        near = np.abs(counts[at] - counts[i]).sum(1) <= over
+        at, wanted, over = at[near], wanted[near], over[near]
+        near = np.bitwise_count(runs[at] ^ runs[i]).sum(1, dtype=np.int64) <= 9 * over + 8
+        at, wanted = at[near], wanted[near]
+        for j, w in zip(at.tolist(), wanted.tolist()):
+            if not _apart(texts[i], texts[j], len(texts[i]) - w, len(texts[j]) - w):
+                s = similarity(texts[i], texts[j])
+                if s >= threshold:
+                    out.append((int(order[i]), int(order[j]), s))
+    return out
+
+
+def _tile(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        h = table["hash"].to_pylist()
+        found = reaching(table["t"].to_pylist(), table["left"].to_numpy().astype(bool), table["within"][0].as_py(), threshold)
+        return pa.table({"ha": pa.array([h[i] for i, _, _ in found], pa.string()), "hb": pa.array([h[j] for _, j, _ in found], pa.string()), "similarity": pa.array([s for _, _, s in found], pa.float64())})
+
+    return run
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.95, min_size: int = 100, order_col: str = "ord") -> DataFrame:
-    """(a, b, similarity) of different records whose common subsequence reaches the threshold, as a share of the longer text.
+    """(a, b, similarity) of all pairs of different records whose common subsequence reaches the threshold, as a share of the longer text.
 
-    Candidates have a sentence of 12 characters or more in common and lengths that allow the threshold; other pairs are not
-    compared. An explicit operator: dedup itself never calls it.
+    Exact: equal texts meet by their hash, and each different text is compared with all whose length allows the threshold, by
+    bounds that lose no pair and then by the subsequence itself. So the work grows with the square of the number of
+    different texts of like length. An explicit operator: dedup itself never calls it.
     """
-    base = _hashed(records, "sha256", min_size).select(F.col(order_col).alias("o"), F.col("content").alias("t"), F.length("content").alias("n"))
-    pieces = F.array_distinct(F.filter(F.split("t", r"(?<=[.!?\n])"), lambda p: F.length(p) >= 12))
-    keys = base.select("o", "n", F.explode(F.transform(pieces, lambda p: F.xxhash64(p))).alias("k"))
-    a, b = keys.select(F.col("o").alias("a"), F.col("n").alias("na"), "k"), keys.select(F.col("o").alias("b"), F.col("n").alias("nb"), "k")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = a.join(b, "k").where(close).select("a", "b").distinct()
-    text = lambda side: base.select(F.col("o").alias(side), F.col("t").alias("t" + side))
-    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", _similarity("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
+    steps = F.floor(F.log(F.length("content").cast("double")) / (math.log(1 / threshold) * (1 + 1e-9))) if 0 < threshold < 1 else F.lit(0)
+    base = _hashed(records, "sha256", min_size).select(F.col(order_col).alias("o"), "hash", F.col("content").alias("t"), "size", steps.cast("long").alias("g"))
+    own = base.select("o", "hash")
+    a, b = own.select(F.col("o").alias("a"), F.col("hash").alias("ha")), own.select(F.col("o").alias("b"), F.col("hash").alias("hb"))
+    equal = a.join(b, (F.col("ha") == F.col("hb")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("similarity"))
+    if threshold >= 1:
+        return equal.where(F.lit(threshold) <= 1)
+    # lengths in steps of the threshold: only texts of one step or of neighbouring ones can reach it. A step that is too full has
+    # several chunks. A tile is a chunk with another of its step or of the next one; the first of the next (if only in name) also
+    # compares the chunk with itself.
+    texts = base.groupBy("hash").agg(F.first("t").alias("t"), F.first("g").alias("g"))
+    full = base.select("hash", "g", "size").distinct().groupBy("g").agg(F.ceil(F.sum(F.col("size") + SIGNATURE) / CHUNK).cast("int").alias("p"))
+    other = lambda by, name: full.select((F.col("g") + by).alias("g"), F.col("p").alias(name))
+    chunks = full.join(other(-1, "after"), "g", "left").join(other(1, "before"), "g", "left").na.fill(0, ["before", "after"])
+    placed = texts.join(F.broadcast(chunks), "g").withColumn("i", F.pmod(F.xxhash64("hash"), F.col("p")).cast("int"))
+    kind = "array<struct<g:bigint,i:int,next:boolean,j:int,left:boolean>>"
+    span = lambda lo, hi, make: F.when(F.lit(lo) < hi, F.transform(F.sequence(F.lit(lo), hi - 1), make)).otherwise(F.array().cast(kind))
+    key = lambda g, i, next_, j, left: F.struct(g.alias("g"), i.alias("i"), next_.alias("next"), j.alias("j"), F.lit(left).alias("left"))
+    g, i, no, yes = F.col("g"), F.col("i"), F.lit(False), F.lit(True)
+    keys = F.concat(
+        F.filter(span(0, F.col("p"), lambda j: key(g, i, no, j, True)), lambda k: k["j"] > i),
+        span(0, F.greatest("after", F.lit(1)), lambda j: key(g, i, yes, j, True)),
+        F.filter(span(0, F.col("p"), lambda k: key(g, k, no, i, False)), lambda k: k["i"] < i),
+        span(0, F.col("before"), lambda k: key(g - 1, k, yes, i, False)),
+    )
+    tiles = placed.select("hash", "t", F.explode(keys).alias("k")).select("hash", "t", "k.*", (F.col("k.next") & (F.col("k.j") == 0)).alias("within"))
+    close = tiles.groupBy("g", "i", "next", "j").applyInArrow(_tile(threshold), "ha string, hb string, similarity double")
+    each = close.join(a, "ha").join(b, "hb")
+    return equal.unionByName(each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))

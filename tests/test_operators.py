@@ -163,6 +163,30 @@ def test_similar_pairs(spark):
     assert got == [(0, 1)]
 
 
+@pytest.mark.parametrize("chunk", [24_000_000, 4000])
+def test_similar_pairs_are_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(dedup, "CHUNK", chunk)
+    r = random.Random(7)
+    words = [f"w{i}x" for i in range(300)]
+    long_line = " ".join(r.choice(words) for _ in range(400))
+    short = " ".join(r.choice(["THE!!", "ONRE!!", "ETA!!"]) for _ in range(30))
+    listed = "\n".join(r.choice(words) for _ in range(40))
+    each = [f"Sentence {i} tells of {r.choice(words)} here." for i in range(8)]
+    texts = [short, short, listed, listed, listed + "\nend", long_line, long_line.replace("w2", "v2", 1), " ".join(each), " ".join(e.replace("tells", "tell") for e in each), "z" * 100, "z" * 104, "z" * 106]
+    for t in (long_line, short, listed):  # edits strewn over the text, about as many as the threshold allows
+        for share in (0.02, 0.04, 0.05, 0.06, 0.1):
+            texts.append("".join(r.choice("abc") if r.random() < share else c for c in t))
+            texts.append("".join(c for c in t if r.random() >= share / 2))
+    texts += ["".join(r.choice("abcde ") for _ in range(r.randrange(100, 400))) for _ in range(30)]
+    want = {(i, j): dedup.lcs_length(a, b) / max(len(a), len(b)) for j, b in enumerate(texts) for i, a in enumerate(texts[:j])}
+    for threshold in (0.95, 0.8):
+        rows = dedup.similar_pairs(records(spark, [rec(i, t) for i, t in enumerate(texts)]), threshold).collect()
+        assert len(rows) == len({(x["a"], x["b"]) for x in rows})
+        assert {(x["a"], x["b"]): x["similarity"] for x in rows} == {k: v for k, v in want.items() if v >= threshold}
+    same = dedup.similar_pairs(records(spark, [rec(i, t) for i, t in enumerate(texts)]), 1.0).collect()
+    assert {(x["a"], x["b"]) for x in same} == {k for k, v in want.items() if v == 1}
+
+
 def test_masking_examples():
     t = "Mail bob.x@host.org or see https://a.b/c, call 13812345678, from 10.0.0.1 on 2024-01-02. By John Smith."
     got = masking.mask(t)
