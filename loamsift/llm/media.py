@@ -8,7 +8,7 @@ their position, so text, media and captions stay aligned whatever is found.
 Defined results. Null and empty HTML: a sequence without items. Null page ids: a row like any other, with a null id.
 Repeated rows: each gives its sequence. Repeated digests in the payload table: the row with the least (mime, n_bytes).
 References whose payload is missing: `resolved` false, and they keep their place. Text of any length is kept whole. Unclosed
-elements end with the page. Empty tables give no rows. Other columns, whatever their names, are not read.
+elements end with the page; but video, audio and picture end at the next block or medium, or where what is around them closes. Empty tables give no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from urllib.parse import unquote_to_bytes, urljoin
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ _SPACE = re.compile(r"\s+")
 _HIDDEN = ("script", "style", "template", "noscript", "head")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+_HOLDER = {t: re.compile(rf"<(/?){t}(?![\w:-])", re.I) for t in ("video", "audio", "picture")}
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "", "embed": "object", "object": "object", "iframe": "frame", "image": "image"}
 
 
@@ -86,7 +88,7 @@ def parse(page: str, base: str) -> list[dict]:
     words: list[str] = []
     stack: list[str] = []  # the open hidden elements
     figures: list[list] = []  # of each open figure: its media items, its caption's words or None
-    holder: list[tuple[str, int]] = []  # open video, audio and picture elements, and their item
+    holder: list[list] = []  # open video, audio and picture elements: tag, item, whether a closing tag follows, open blocks inside
 
     def put(text: str) -> None:
         if text:
@@ -98,6 +100,22 @@ def parse(page: str, base: str) -> list[dict]:
         if text:
             items.append({"position": len(items), "kind": "text", "text": text, "url": None, "digest": None, "caption": None})
 
+    def hold(tag: str, item: int, at: int) -> None:
+        following = _HOLDER[tag].search(page, at)
+        holder.append([tag, item, bool(following and following[1]), Counter()])
+
+    def end_holders(tag: str, close: bool) -> None:
+        """Ends those that this tag shows to be over: without a closing tag at the next block or medium, else where what is around them closes."""
+        for i, (_, _, closes, inside) in enumerate(holder):
+            if not closes and (tag in _BLOCK or tag in _MEDIA and tag not in ("source", "img") or tag == "picture" or tag == "img" and holder[i][0] != "picture"):
+                del holder[i:]
+                return
+            if tag in _BLOCK and tag not in ("br", "hr"):
+                if close and not inside[tag]:
+                    del holder[i:]
+                    return
+                inside[tag] += -1 if close else 1
+
     def close_figure() -> None:
         own, caption, _ = figures.pop()
         text = _SPACE.sub(" ", "".join(caption)).strip()
@@ -133,6 +151,8 @@ def parse(page: str, base: str) -> list[dict]:
                 continue
             if stack or tag == "head":
                 continue
+        if holder and not (close and tag in _HOLDER):
+            end_holders(tag, close)
         if tag in _BLOCK:
             put(" ")
             if not (figures and figures[-1][2]):
@@ -151,14 +171,14 @@ def parse(page: str, base: str) -> list[dict]:
         elif tag == "figcaption" and figures:
             figures[-1][2] = not close
         elif tag in ("video", "audio", "picture") and close:
-            if holder and holder[-1][0] == tag:
-                holder.pop()
+            if (open_at := next((i for i in reversed(range(len(holder))) if holder[i][0] == tag), None)) is not None:
+                del holder[open_at:]  # with what is still open inside
         elif (tag in _MEDIA or tag == "picture") and not close:
             attributes = _attributes(m[3])
             url = _address(attributes, base)
             open_item = holder[-1][1] if holder else -1
             if tag == "picture":
-                holder.append((tag, -1))
+                hold(tag, -1, at)
             elif open_item >= 0 and tag in ("source", "img"):
                 # another form of what its holder already shows; only its description can be new
                 items[open_item]["caption"] = items[open_item]["caption"] or _title(attributes)
@@ -168,12 +188,14 @@ def parse(page: str, base: str) -> list[dict]:
                 items.append({"position": len(items), "kind": kind, "text": None, "url": url, "digest": digest(url), "caption": _title(attributes)})
                 if figures:
                     figures[-1][0].append(len(items) - 1)
-                if holder:
-                    holder[-1] = (holder[-1][0], len(items) - 1)
                 if tag in ("video", "audio"):
-                    holder.append((tag, len(items) - 1))
+                    hold(tag, len(items) - 1, at)
+                elif holder:
+                    holder[-1][1] = len(items) - 1
             elif tag in ("video", "audio"):
-                holder.append((tag, -1))
+                hold(tag, -1, at)
+            if tag == "img" and holder and holder[-1][0] == "picture":
+                holder.pop()  # a picture has one image, its last form
     while figures:
         close_figure()
     flush()

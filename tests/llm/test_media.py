@@ -36,6 +36,21 @@ def test_odd_markup():
     assert kinds("<img src='http://[bad'>")[0][1] == "http://[bad"
 
 
+def test_images_after_unclosed_holders():
+    u = "http://h.org/d/"
+    for tag in ("video", "audio"):
+        want = [(tag, u + "a", None), ("image", u + "b", None), ("image", u + "c", None)]
+        for opened in (f"<{tag} src='a'>", f"<{tag} src='a'/>", f"<{tag} src=a />", f"<div><{tag} src='a'></div>", f"<{tag}><source src=a><source src=a2>", f"<picture><{tag} src='a'></picture>"):
+            assert kinds(opened + "<img src=b><p><img src=c></p>") == want, opened
+        assert kinds(f"<div><{tag} src='a'></div><img src=b><img src=c></{tag}>") == want
+        assert kinds(f"<{tag} src='a'><img src=b><img src=c><{tag} src='e'></{tag}>") == [*want, (tag, u + "e", None)]
+        assert kinds(f"<{tag} src='a'><p>x</p><img src=fallback alt=A></{tag}><img src=b>")[:: 2] == [(tag, u + "a", "A"), ("image", u + "b", None)]
+        assert [i["url"] for i in M.parse(f"<{tag} src=a/><img src=b>", u)] == [u + "a/", u + "b"]
+    assert kinds("<picture><source srcset=p><img src=q alt=Q><img src=b><p><img src=c>") == [("image", u + "p", "Q"), ("image", u + "b", None), ("image", u + "c", None)]
+    assert kinds("<picture><source srcset=p><p><img src=b>") == [("image", u + "p", None), ("image", u + "b", None)]
+    assert kinds("<picture><video src=a></video><img src=b></picture>") == [("video", u + "a", None), ("image", u + "b", None)]
+
+
 class Text(HTMLParser):
     def __init__(self):
         super().__init__()
