@@ -8,7 +8,7 @@ clustered data share a few lists, those of evenly spread data many), so it is me
 Lists whose centroids lie near each other form a shard, and a query travels once to each shard that holds one of its lists,
 not once for each list. The broadcast is the centroids and their graph: at most `max_centroids`, beyond which lists grow.
 
-Defined results. Null ids and vectors, vectors of another length than the first id's, and those with a null or non-finite
+Defined results. Null ids and vectors, vectors of another length than the commonest (of equally common ones the greatest), and those with a null or non-finite
 element: left out, as queries and as neighbours. A row is not its own neighbour; rows that share an id are one vector (the least in
 the order of arrays). Equal distances: the least id first. Fewer than k others: as many as there are. Empty tables give no
 rows. Other columns are not read.
@@ -148,7 +148,7 @@ def build_graph(df: DataFrame, c: np.ndarray, degree: int = DEGREE) -> Graph:
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     raw = df.select(col(df, id_col).cast("long").alias("id"), col(df, vec_col).cast("array<float>").alias("a")).where("id is not null and a is not null and size(a) > 0")
     raw = raw.where(~F.exists("a", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    top = raw.agg(F.min_by(F.size("a"), "id")).first()[0]
+    top = raw.groupBy(F.size("a").alias("n")).count().agg(F.max_by("n", F.struct("count", "n"))).first()[0]
     dim = top or 0
     one = raw.where(F.size("a") == dim).groupBy("id").agg(F.min("a").alias("a"))
 

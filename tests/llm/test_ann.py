@@ -83,3 +83,11 @@ def test_awkward_rows(spark):
     assert collected(A.all_neighbours(frame(spark, [1, 2], [[1.0], [2.0]]))) == {1: [(1.0, 2)], 2: [(1.0, 1)]}
     same = collected(A.all_neighbours(frame(spark, range(300), [[1.0, 1.0]] * 300)))
     assert len(same) == 300 and same[0] == [(0.0, i) for i in range(1, 11)]
+
+
+def test_commonest_length_is_the_dimension(spark):
+    odd = frame(spark, [0, 1, 2, 3, 4], [[9.0], [0.0, 1.0], [0.0, 2.0], [0.0, 4.0], [1.0, 2.0, 3.0]])
+    vectors, dim = A._clean(odd, "vec_id", "embedding")
+    assert dim == 2 and sorted(r["id"] for r in vectors.collect()) == [1, 2, 3]
+    tied = frame(spark, [0, 1], [[9.0], [0.0, 1.0]])
+    assert A._clean(tied, "vec_id", "embedding")[1] == 2 and A._clean(tied.limit(0), "vec_id", "embedding")[1] == 0
