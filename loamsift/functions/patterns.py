@@ -5,54 +5,51 @@ They are in Python's syntax; `java()` says the same to Java's engine.
 
 from __future__ import annotations
 
-ALNUM = "a-z" "A-Z" "0-9"
-OCTET = "(?:" + "|".join(["25[0-5]", "2[0-4]" + r"\d", "1" + r"\d{2}", "[1-9]?" + r"\d"]) + ")"
-WEB = "https?:" + "//" + "[^" + r"\s" + "<>" + "\"" + "{}|" + r"\\" + "^`" + r"\[" + r"\]" + "]+"
-MAIL = f"[{ALNUM}" + "._%+-" + "]+" + "@" + f"[{ALNUM}" + ".-" + "]+" + r"\." + "[a-z|A-Z]" + "{2,}" + r"\b"
-NUMBER = r"\b\d+" + r"(?:\.\d+)?" + r"\b"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
+WEB = r'https?://[^\s<>"{}|\\^`\[\]]+'
+MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-z|A-Z]{2,}\b"
+NUMBER = r"\b\d+(?:\.\d+)?\b"
 WORD = r"\b\w+\b"
-IDENTIFIER = r"\b" + "[_a-zA-Z]" + "[_0-9a-zA-Z]*" + r"\b"
-HEX = "0x" + "[a-fA-F0-9]+" + "|" + "[a-fA-F0-9]" + "{4,}"
+IDENTIFIER = r"\b[_a-zA-Z][_0-9a-zA-Z]*\b"
+HEX = "0x[a-fA-F0-9]+|[a-fA-F0-9]{4,}"
 
-YEAR, SHORT = "(?:19|20)" + r"\d{2}", r"\d{1,2}"
-DATE = "|".join([r"\b" + YEAR + "[-/]" + SHORT + "[-/]" + SHORT, r"\b" + SHORT + "[-/]" + SHORT + "[-/]" + YEAR, r"\b" + SHORT + r":\d{2}" + r":\d{2}" + r"\b"])
+DATE = r"\b(?:19|20)\d{2}[-/]\d{1,2}[-/]\d{1,2}|\b\d{1,2}[-/]\d{1,2}[-/](?:19|20)\d{2}|\b\d{1,2}:\d{2}:\d{2}\b"
 HAN = "一-龥"
-CAPITALISED = "[A-Z]" + "[a-z]+"
 COMPANY_ENDINGS = ("Corporation", "Company", "Limited", "Corp", "Inc", "LLC", "Ltd", "有限公司", "公司", "软件", "科技")
 
 #: kind -> (pattern, whether case is ignored, what replaces it), the earlier first where two begin at one place.
 PERSONAL: dict[str, tuple[str, bool, str]] = {
     "url": (WEB, False, "<URL>"),
     "email": (MAIL, False, "<EMAIL>"),
-    "id_card": (r"\b\d{15}" + "|" + r"\d{17}" + r"[Xx\d]" + r"\b", False, "<ID_CARD>"),
-    "phone": (r"(?<!\d)" + "1[3-9]" + r"\d{9}" + r"(?!\d)" + "|" + r"\b\d{3,4}" + r"[\s-]?" + r"\d{7,8}\b", False, "<PHONE>"),
-    "ip_address": (r"\b" + OCTET + r"(?:\." + OCTET + "){3}" + r"\b", False, "<IP_ADDRESS>"),
-    "employee_id": (r"\b(?:" + "|".join(("employee", "emp", "worker", "staff", "id")) + ")" + "[_:-]?" + r"\d{3,}\b" + "|" + r"\b" + "[A-Z]{2,}" + r"\d{3,}\b", True, "<EMPLOYEE_ID>"),
+    "id_card": (r"\b\d{15}|\d{17}[Xx\d]\b", False, "<ID_CARD>"),
+    "phone": (r"(?<!\d)1[3-9]\d{9}(?!\d)|\b\d{3,4}[\s-]?\d{7,8}\b", False, "<PHONE>"),
+    "ip_address": (rf"\b{OCTET}(?:\.{OCTET}){{3}}\b", False, "<IP_ADDRESS>"),
+    "employee_id": (r"\b(?:employee|emp|worker|staff|id)[_:-]?\d{3,}\b|\b[A-Z]{2,}\d{3,}\b", True, "<EMPLOYEE_ID>"),
     "datetime": (DATE, False, "<DATE>"),
-    "person_name": (r"\b" + CAPITALISED + r"(?:\s+" + CAPITALISED + ")+" + r"\b" + "|" + r"\b" + f"[{HAN}]" + "{2,4}" + r"\b" + f"(?![{HAN}])", False, "<NAME>"),
-    "organization": (r"\b" + "[a-zA-Z]" + r"[\s\w]*" + "(?:" + "|".join(COMPANY_ENDINGS) + ")" + r"\b", True, "<ORGANIZATION>"),
+    "person_name": (rf"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b|\b[{HAN}]{{2,4}}\b(?![{HAN}])", False, "<NAME>"),
+    "organization": (r"\b[a-zA-Z][\s\w]*(?:" + "|".join(COMPANY_ENDINGS) + r")\b", True, "<ORGANIZATION>"),
 }
 
 #: Comments that carry nothing for a reader. All ignore case.
 VOID_COMMENTS = [
-    r"\b(?:" + "|".join(["fixme", "todo", "xxx", "hack", "warning:", "attention:", "note:"]) + r")\b" + ".*$",
-    r"\b(?:" + "|".join(w + "?" for w in ("authored", "coded", "created", "written")) + ")" + r"\s+" + "(?::|by)" + r"\s+\w+",
-    r"\bversion" + r"\s*:?" + r"\s*" + r"[.\d]+" + ".*$",
-    r"\bv\d+" + r"\.\d+" + r"(?:\.\d+)?" + ".*$",
-    r"\b(?:" + "|".join(["modified?", "updated?", "changed?"]) + ")" + r"\s+" + "(?::|by)" + r"\s+\w+" + ".*$",
-    r"\b(?:time|date)" + r"\s*:?" + r"\s*\d+" + ".*$",
+    r"\b(?:fixme|todo|xxx|hack|warning:|attention:|note:)\b.*$",
+    r"\b(?:authored?|coded?|created?|written?)\s+(?::|by)\s+\w+",
+    r"\bversion\s*:?\s*[.\d]+.*$",
+    r"\bv\d+\.\d+(?:\.\d+)?.*$",
+    r"\b(?:modified?|updated?|changed?)\s+(?::|by)\s+\w+.*$",
+    r"\b(?:time|date)\s*:?\s*\d+.*$",
 ]
 
-_YEARS = r"\s*" + r"(?:\d{4}\s*)?" + r"(?:\s*-" + r"\s*\d{4})?" + r"\s*"
+_YEARS = r"\s*(?:\d{4}\s*)?(?:\s*-\s*\d{4})?\s*"
 #: Licence and copyright notices. All ignore case.
 NOTICES = [
-    r"\bcopyright" + r"\s+" + "[(c)©]?" + _YEARS + r"[^\n]+",
+    r"\bcopyright\s+[(c)©]?" + _YEARS + r"[^\n]+",
     "©" + _YEARS + r"[^\n]+",
-    "all rights " + "reserved" + ".*?$",
-    "licensed under" + r"\s+" + r"[^\n]+",
-    r"\bmit\s+" + r"license\b",
-    r"\bapache\s+" + r"license\b",
-    r"\bgpl\b" + ".*$",
+    "all rights reserved.*?$",
+    r"licensed under\s+[^\n]+",
+    r"\bmit\s+license\b",
+    r"\bapache\s+license\b",
+    r"\bgpl\b.*$",
 ]
 
 STOP_WORDS = sorted(

@@ -23,8 +23,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def once(value: Column) -> Column:
-    """The value, marked so that no optimizer rule copies it to each place that reads it, such as a filter pushed below it."""
-    return F.when(F.rand(0) >= 0, value)
+    """The value, marked so that no optimizer rule copies it to each place that reads it, such as a filter pushed below it.
+
+    The mark is a test that always holds, on a number the optimizer can't foresee (it does foresee a comparison with rand)."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def lines(t: Column) -> Column:
@@ -240,19 +242,19 @@ def _basic_stats(ls: Column, words: Column, t: Column) -> Column:
     )
 
 
-_ANY_TYPE = r"(?:(?:public|protected|private))?" + r"\s*" + r"(?:static\s+)?"
+_ANY_TYPE = r"(?:(?:public|protected|private))?\s*(?:static\s+)?"
 _CODE: dict[str, dict[str, tuple[str, int]]] = {
     "python": {
-        "imports": (r"(?m)^(?:from" + r"\s+\w+\s+)?import" + r"\s+[,\w\s]+", 0), "functions": (r"(?m)^def" + r"\s+(\w+)", 1), "classes": (r"(?m)^class" + r"\s+(\w+)", 1),
-        "comments": ("(?m)#" + ".*$", 0), "docstrings": ('(?s)"""' + ".*?" + '"""', 0),
+        "imports": (r"(?m)^(?:from\s+\w+\s+)?import\s+[,\w\s]+", 0), "functions": (r"(?m)^def\s+(\w+)", 1), "classes": (r"(?m)^class\s+(\w+)", 1),
+        "comments": ("(?m)#.*$", 0), "docstrings": ('(?s)""".*?"""', 0),
     },
     "javascript": {
-        "functions": (r"function" + r"\s+(\w+)", 1), "arrow_functions": (r"(?:var|let|const)\s+" + r"(\w+)\s*=" + r"\s*\([^)]*\)" + r"\s*=>", 1), "classes": (r"class" + r"\s+(\w+)", 1),
-        "imports": (r"import\s+" + ".*?from" + r"\s+['\"]" + "([^'\"]+)" + "['\"]", 1), "comments": ("(?ms)//" + ".*$" + "|" + r"/\*.*?" + r"\*/", 0),
+        "functions": (r"function\s+(\w+)", 1), "arrow_functions": (r"(?:var|let|const)\s+(\w+)\s*=\s*\([^)]*\)\s*=>", 1), "classes": (r"class\s+(\w+)", 1),
+        "imports": (r"""import\s+.*?from\s+['"]([^'"]+)['"]""", 1), "comments": (r"(?ms)//.*$|/\*.*?\*/", 0),
     },
     "java": {
-        "classes": (r"class" + r"\s+(\w+)", 1), "methods": (_ANY_TYPE + r"(?:\w+\s+)*" + r"(\w+)\s*" + r"\([^)]*\)" + r"\s*(?:throws" + r"\s+[,\w\s]+)?" + r"\s*\{", 1),
-        "imports": (r"import\s+" + r"([.\w]+);", 1), "comments": ("(?ms)//" + ".*$" + "|" + r"/\*.*?" + r"\*/", 0),
+        "classes": (r"class\s+(\w+)", 1), "methods": (_ANY_TYPE + r"(?:\w+\s+)*(\w+)\s*\([^)]*\)\s*(?:throws\s+[,\w\s]+)?\s*\{", 1),
+        "imports": (r"import\s+([.\w]+);", 1), "comments": (r"(?ms)//.*$|/\*.*?\*/", 0),
     },
 }
 _CODE["typescript"] = _CODE["javascript"]

@@ -12,7 +12,7 @@ from ..functions.arrow import arrow
 from ..functions.text import let, lines, normalize_whitespace, not_blank, remove_empty_lines, strip
 
 C_FAMILY = ("javascript", "typescript", "java", "cpp", "c", "cangjie")
-_LINE_COMMENT, _BLOCK_COMMENT, _MARKUP_COMMENT = "(?md)//" + ".*$", r"(?s)/\*" + ".*?" + r"\*/", "(?s)<!--" + ".*?" + "-->"
+_LINE_COMMENT, _BLOCK_COMMENT, _MARKUP_COMMENT = "(?md)//.*$", r"(?s)/\*.*?\*/", "(?s)<!--.*?-->"
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def remove_comments(t: Column, language: Column) -> Column:
     # Python's worker gets only the Python texts; the other languages stay in the JVM
     python = F.coalesce(_python_comments(F.when(language == "python", t)), t)
     c_like = F.regexp_replace(F.regexp_replace(t, _LINE_COMMENT, ""), _BLOCK_COMMENT, "")
-    generic = F.regexp_replace(F.regexp_replace(t, "(?md)^#" + ".*$", ""), "(?md)^//" + ".*$", "")
+    generic = F.regexp_replace(F.regexp_replace(t, "(?md)^#.*$", ""), "(?md)^//.*$", "")
     return F.when(language == "python", python).when(language.isin(*C_FAMILY), c_like).when(language == "html", F.regexp_replace(t, _MARKUP_COMMENT, "")).when(language == "css", F.regexp_replace(t, _BLOCK_COMMENT, "")).otherwise(generic)
 
 

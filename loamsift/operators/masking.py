@@ -128,14 +128,14 @@ class Cleaner:
         if language == "python":
             return self.python(text)
         if language in C_FAMILY:
-            text = re.sub(r"(?s)/\*" + ".*?" + r"\*/", self.block, text)
-            return re.sub("(?m)//" + ".*$", self.comment(2, 0, "// %"), text)
+            text = re.sub(r"(?s)/\*.*?\*/", self.block, text)
+            return re.sub("(?m)//.*$", self.comment(2, 0, "// %"), text)
         if language == "html":
-            return re.sub("(?s)<!--" + ".*?" + "-->", self.comment(4, 3, "<!-- % -->"), text)
+            return re.sub("(?s)<!--.*?-->", self.comment(4, 3, "<!-- % -->"), text)
         if language == "css":
-            return re.sub(r"(?s)/\*" + ".*?" + r"\*/", self.comment(2, 2, "/* % */"), text)
+            return re.sub(r"(?s)/\*.*?\*/", self.comment(2, 2, "/* % */"), text)
         for sign in ("#", "//"):
-            text = re.sub(f"(?m)^{sign}" + ".*$", self.comment(1, 0, "# %"), text)
+            text = re.sub(f"(?m)^{sign}.*$", self.comment(1, 0, "# %"), text)
         return text
 
 

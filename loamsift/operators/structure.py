@@ -54,38 +54,38 @@ def python_structure(text: str, with_async: bool = True) -> dict | None:
     return out
 
 
-_ACCESS = "(?:" + "|".join(("private", "protected", "public")) + ")?"
-_STATIC, _FINAL = r"(?:static" + r"\s+)?", r"(?:final" + r"\s+)?"
-_ARGUMENTS, _TYPES = r"\s*\(" + "[^)]*" + r"\)\s*", r"(?:\w+" + r"\s+)*"
-_QUOTED = "['\"]" + "([^'\"]+)" + "['\"]"
+_ACCESS = r"(?:private|protected|public)?"
+_STATIC, _FINAL = r"(?:static\s+)?", r"(?:final\s+)?"
+_ARGUMENTS, _TYPES = r"\s*\([^)]*\)\s*", r"(?:\w+\s+)*"
+_QUOTED = "['\"]([^'\"]+)['\"]"
 #: language -> field -> (pattern, what to call the group, type)
 PATTERNS: dict[str, dict[str, tuple[str, str, str]]] = {
     "javascript": {
-        "functions": ("(?:" + r"function\s+" + r"(\w+)" + "|" + "(?:" + "const|let|var" + ")" + r"\s+" + r"(\w+)" + r"\s*=\s*" + r"(?:async\s+)?" + "(?:" + "function" + "|" + r"\([^)]*\)" + r"\s*=>" + "))", "name", "function"),
-        "classes": (r"class\s+" + r"(\w+)", "name", "class"),
-        "imports": (r"(?:import\s+" + r"(?:\{[^}]*\}" + "|" + r"\w+" + "|" + r"\*\s+as" + r"\s+\w+)" + r"\s+from\s+" + _QUOTED + "|" + r"require\s*\(\s*" + _QUOTED + r"\s*\))", "module", "import"),
+        "functions": (r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>))", "name", "function"),
+        "classes": (r"class\s+(\w+)", "name", "class"),
+        "imports": (rf"(?:import\s+(?:\{{[^}}]*\}}|\w+|\*\s+as\s+\w+)\s+from\s+{_QUOTED}|require\s*\(\s*{_QUOTED}\s*\))", "module", "import"),
     },
     "java": {
-        "classes": (_ACCESS + r"\s*" + _STATIC + _FINAL + r"class\s+" + r"(\w+)", "name", "class"),
-        "methods": (_ACCESS + r"\s*" + _STATIC + _FINAL + _TYPES + r"(\w+)" + _ARGUMENTS + r"(?:throws\s+" + r"[\s\w,]+)?" + r"\s*\{", "name", "method"),
-        "imports": (r"import\s+" + r"([.\w]+);", "module", "import"),
+        "classes": (rf"{_ACCESS}\s*{_STATIC}{_FINAL}class\s+(\w+)", "name", "class"),
+        "methods": (rf"{_ACCESS}\s*{_STATIC}{_FINAL}{_TYPES}(\w+){_ARGUMENTS}(?:throws\s+[\s\w,]+)?\s*\{{", "name", "method"),
+        "imports": (r"import\s+([.\w]+);", "module", "import"),
     },
     "cpp": {
-        "classes": (r"class\s+" + r"(\w+)" + r"(?:\s*:" + r"\s*[\s\w,]+)?" + r"\s*\{", "name", "class"),
-        "functions": (_TYPES + r"(\w+)" + _ARGUMENTS + r"(?:const\s*)?" + r"\s*\{", "name", "function"),
-        "includes": (r"#include\s*" + '[<"]' + '([^">]+)' + '[>"]', "header", "include"),
+        "classes": (r"class\s+(\w+)(?:\s*:\s*[\s\w,]+)?\s*\{", "name", "class"),
+        "functions": (rf"{_TYPES}(\w+){_ARGUMENTS}(?:const\s*)?\s*\{{", "name", "function"),
+        "includes": (r'#include\s*[<"]([^">]+)[>"]', "header", "include"),
     },
 }
 PATTERNS["typescript"], PATTERNS["c"] = PATTERNS["javascript"], PATTERNS["cpp"]
 _COMPILED = {k: {f: (re.compile(p), name, kind) for f, (p, name, kind) in own.items()} for k, own in PATTERNS.items()}
-_BRANCH_SIGNS = [re.compile(p) for p in (*(r"\b" + w + r"\s*\(" for w in ("if", "for", "while", "switch", "catch")), r"\?\s*" + ".*" + r"\s*:", "&&", r"\|\|")]
+_BRANCH_SIGNS = [re.compile(p) for p in (r"\bif\s*\(", r"\bfor\s*\(", r"\bwhile\s*\(", r"\bswitch\s*\(", r"\bcatch\s*\(", r"\?\s*.*\s*:", "&&", r"\|\|")]
 
 
 def pattern_complexity(text: str) -> int:
     return sum(len(p.findall(text)) for p in _BRANCH_SIGNS)
 
 
-_TAIL = re.compile(r"\(" + "[^)]*" + r"\)\s*" + r"(?:throws\s+" + r"[\s\w,]+" + r"|const\s*)?" + r"\s*\{")
+_TAIL = re.compile(r"\([^)]*\)\s*(?:throws\s+[\s\w,]+|const\s*)?\s*\{")
 
 
 def _bodies(p: re.Pattern, text: str):
