@@ -46,11 +46,14 @@ def _parser() -> argparse.ArgumentParser:
     command(repo, "remove", "name", files=flag)
     command(repo, "cleanup")
     data = group("data")
-    command(data, "extract", "name", output={})
-    command(data, "clean", "name", output={})
+    most = {"type": int, "help": "take only so many files, the first by path"}
+    command(data, "extract", "name", output={}, max_files=most)
+    command(data, "clean", "name", output={}, max_files=most)
     command(data, "deduplicate", "name", output={}, strategy={"default": None}, dry_run=flag)
-    command(data, "clean-metrics", "name", output={}, dry_run=flag, thresholds={})
+    command(data, "clean-metrics", "name", output={}, dry_run=flag, thresholds={}, max_files=most)
+    command(data, "analyze-metrics", "name", output={}, thresholds={})
     command(data, "analyze", "name", format={"default": "comprehensive"})
+    command(data, "verify", "name", hashes={"required": True, "help": "JSON Lines of path and hash"})
     conf = group("config")
     command(conf, "get", "key")
     command(conf, "set", "key", "value")
@@ -86,14 +89,16 @@ def _repo(a: argparse.Namespace, r: Registry) -> None:
 
 def _data(a: argparse.Namespace, c: Config, r: Registry) -> None:
     from .operators import analysis, dedup, masking, metrics, reports
-    from .plans.pipeline import OPERATORS, _ordered, extractor
-    from .sources import jsonl
+    from .plans.pipeline import OPERATORS, extractor, order_of
+    from .sources import files, jsonl
 
     spark = _spark()
-    records = extractor(spark, {a.name: r.path(a.name)})(c.values["extraction"])
-    target = getattr(a, "output", None) or str(Path(a.data) / a.command / a.name)
+    records = files.first_files(extractor(spark, {a.name: r.path(a.name)})(c.values["extraction"]), getattr(a, "max_files", None))
+    target = getattr(a, "output", None) or files.below(a.data, a.command, a.name)
+    own = c.values["file_metrics_cleaning"]["thresholds"] | (json.loads(Path(a.thresholds).read_text()) if getattr(a, "thresholds", None) else {})
+    limits = metrics.Thresholds.of(own)
     if a.command == "extract":
-        jsonl.write(analysis.with_features(records), target)
+        jsonl.write(analysis.with_text_features(records), target)
     elif a.command == "clean":
         own = c.values["jsonl_cleaning"]
         done = masking.clean_records(records, own["enable_comment_cleaning"], own["enable_desensitization"])
@@ -105,14 +110,19 @@ def _data(a: argparse.Namespace, c: Config, r: Registry) -> None:
         if not a.dry_run:
             jsonl.write(OPERATORS["deduplication"](records, own), target)
     elif a.command == "clean-metrics":
-        own = c.values["file_metrics_cleaning"]["thresholds"] | (json.loads(Path(a.thresholds).read_text()) if a.thresholds else {})
-        t = metrics.Thresholds.of(own)
-        _show(metrics.metric_summary(records, t).first().asDict())
-        _show([x.asDict() for x in metrics.violations_by_rule(records, t).collect()])
+        _show(metrics.metric_summary(records, limits).first().asDict())
+        _show([x.asDict() for x in metrics.violations_by_rule(records, limits).collect()])
         if not a.dry_run:
-            jsonl.write(metrics.clean_by_metrics(records, t), target)
+            jsonl.write(metrics.clean_by_metrics(records, limits), target)
+    elif a.command == "analyze-metrics":
+        totals, violations = metrics.analyse_metrics(files.source_files(spark, r.path(a.name)), limits)
+        jsonl.write(violations, target)
+        _show(totals | {"violations": target})
+    elif a.command == "verify":
+        wrong = files.verify_files(records, jsonl.read(spark, a.hashes, "path string, hash string")).where("not verified")
+        _show({"files_that_differ": wrong.count(), "first": [x.asDict() for x in wrong.orderBy("path").limit(5).collect()]})
     else:
-        _show(reports.write(analysis.analyse(_ordered(records)), a.format, Path(a.data) / "reports"))
+        _show(reports.write(analysis.analyse(records, order_of(records)[-1]), a.format, Path(a.data) / "reports"))
 
 
 def _config(a: argparse.Namespace, c: Config) -> int:
@@ -153,7 +163,7 @@ def _pipeline(a: argparse.Namespace, c: Config, r: Registry) -> int:
     elif a.command == "dry-run":
         _show(p.dry_run(c, a.pipeline))
     elif a.command == "run":
-        _show(p.run(_spark(), c, {a.name: r.path(a.name)}, a.pipeline, a.output or a.data))
+        return _shown(p.run(_spark(), c, {a.name: r.path(a.name)}, a.pipeline, a.output or a.data))
     elif a.command in ("add", "update"):
         c.add_pipeline(a.pipeline, json.loads(Path(a.file).read_text("utf-8")), a.command == "update")
         c.save()
@@ -165,10 +175,19 @@ def _pipeline(a: argparse.Namespace, c: Config, r: Registry) -> int:
         if not names:
             print("no repositories", file=sys.stderr)
             return 1
-        _show(p.batch(_spark(), c, {n: r.path(n) for n in names}, a.pipeline, a.output or a.data))
+        return _shown(p.batch(_spark(), c, {n: r.path(n) for n in names}, a.pipeline, a.output or a.data))
     return 0
 
 
+def _shown(report: dict) -> int:
+    from .plans.pipeline import first_errors
+
+    _show(report)
+    for line in first_errors(report):
+        print(line, file=sys.stderr)
+    return int(not report["success"])
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     c, r = Config(path=a.config), Registry(a.data)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, let, lines, not_blank, once, readability, strip
+from ..functions.text import SPACE, let, lines, not_blank, once, readability, strip, text_features
 from .structure import code_structure
 
 LONG_LINE, LARGE_FILE, MOST_LISTED, TOP_IMPORTS = 120, 1_024_000, 100, 10
@@ -27,6 +27,12 @@ def with_features(records: DataFrame) -> DataFrame:
     return records.withColumns({"code_structure": code_structure(t, F.col("language")), "readability": once(readability(t))})
 
 
+def with_text_features(records: DataFrame) -> DataFrame:
+    """with_features(), and `text_features`: what extraction keeps of each text; null for binary records."""
+    t = F.when(_not_binary(records), F.col("content"))
+    return with_features(records).withColumn("text_features", F.when(t.isNotNull(), text_features(t, F.col("language"))))
+
+
 def _issue(kind: str, line: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), F.col("path").alias("file"), line.cast("int").alias("line"), F.lit(TEXTS[kind]).alias("message"))
 
@@ -145,21 +151,38 @@ def language_share(records: DataFrame) -> DataFrame:
     return per.select("language", "n", (F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1)))).alias("percent")).orderBy(F.desc("n"), "language")
 
 
-def distribution(df: DataFrame, value: Column) -> DataFrame:
-    """One row: n, min, max, mean, median, q1, q3, std. q1 and q3 are the values at places n div 4 and 3n div 4, counted from 0;
-    std is the population's. No row for no values. Values are counted before they are ordered."""
-    per = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    total = per.agg(F.sum("k").alias("n"))
-    c = per.withColumn("upto", upto).crossJoin(total).where("n is not null")
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    n = F.col("n")
-    mean = F.sum(F.col("v") * F.col("k")) / F.first("n")
-    out = c.groupBy("n").agg(F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"), F.sum(F.col("v") * F.col("v") * F.col("k")).alias("ss"))
+def _step_of(v: Column) -> Column:
+    """A number that grows with v: 256 for each power of two, so that values can be counted by it before they are ordered."""
+    up = lambda x: F.floor(F.log2(x) * 256) + 300_000
+    return F.when(v > 0, up(v)).when(v < 0, -up(-v)).otherwise(F.lit(0).cast("long"))
+
+
+def distributions(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """metric, n, min, max, mean, median, q1, q3, std of each named value. q1 and q3 are the values at places n div 4 and
+    3n div 4, counted from 0; std is the population's. No row for no values.
+
+    Values are counted, the counts are summed by steps of the value, of which there are some thousands at most, and only the
+    values of one step are ordered in one task.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in values.items()])
+    per = df.select(F.inline(pairs)).where("v is not null").groupBy("metric", "v").agg(F.count("*").alias("k"))
+    n, v, k = F.col("n"), F.col("v"), F.col("k")
+    steps = per.groupBy("metric", _step_of(v).alias("step")).agg(F.sum("k").alias("own"))
+    whole = W.partitionBy("metric")
+    steps = steps.select("metric", "step", (F.sum("own").over(whole.orderBy("step")) - F.col("own")).alias("before"), F.sum("own").over(whole).alias("n"))
+    upto = F.sum("k").over(W.partitionBy("metric", "step").orderBy("v"))
+    c = per.withColumn("step", _step_of(v)).join(steps, ["metric", "step"]).withColumn("upto", F.col("before") + upto)
+    at = lambda place: F.min(F.when(F.col("upto") > place, v))
+    mean = F.sum(v * k) / F.first("n")
+    places = c.groupBy("metric", "n").agg(F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"), at(F.floor((n - 1) / 2)).alias("m0"), at(F.floor(n / 2)).alias("m1"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"))
     # by the mean first: the plain sum of squares would lose digits
-    spread = c.groupBy().agg(F.first("n").alias("m"), mean.alias("mu"))
-    dev = per.crossJoin(spread).agg(F.sqrt(F.sum((F.col("v") - F.col("mu")) ** 2 * F.col("k")) / F.first("m")).alias("std"))
-    return out.drop("ss").crossJoin(dev)
+    dev = per.join(F.broadcast(places.select("metric", "n", "mean")), "metric").groupBy("metric").agg(F.sqrt(F.sum((v - F.col("mean")) ** 2 * k) / F.first("n")).alias("std"))  # a row for each metric
+    return places.join(dev, "metric").select("metric", "n", "min", "max", "mean", ((F.col("m0") + F.col("m1")) / 2).alias("median"), "q1", "q3", "std")
+
+
+def distribution(df: DataFrame, value: Column) -> DataFrame:
+    """The one row of distributions() without its name; none for no values."""
+    return distributions(df, {"value": value}).drop("metric")
 
 
 def _steps(x: Column, steps: list[tuple[float, float]]) -> Column:
@@ -186,9 +209,10 @@ def maintainability_score(size: Column, n_lines: Column, complexity: Column, n_f
 
 
 def readability_score(flesch: Column, fk: Column) -> Column:
+    """Null without figures, so that binary files count neither as easy nor as hard to read."""
     base = F.when(flesch >= 90, 100.0).when(flesch >= 80, 90.0).when(flesch >= 70, 80.0).when(flesch >= 60, 70.0).when(flesch >= 50, 60.0).when(flesch >= 30, 50.0).otherwise(30.0)
     more = F.when(fk <= 6, 10.0).when(fk <= 8, 5.0).when(fk >= 16, -20.0).when(fk >= 12, -10.0).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), base + more))
+    return F.when(flesch.isNotNull() & fk.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), base + more)))
 
 
 def scores(featured: DataFrame) -> DataFrame:
@@ -220,20 +244,44 @@ def corpus_metrics(featured: DataFrame) -> DataFrame:
     )
 
 
+def score_distributions(featured: DataFrame) -> DataFrame:
+    """distributions() of the three scores and of complexity."""
+    s = scores(featured)
+    return distributions(s, {"quality": F.col("quality_score"), "complexity": _complexity(), "maintainability": F.col("maintainability_score"), "readability": F.col("readability_score")})
+
+
+def language_totals(records: DataFrame) -> DataFrame:
+    """language, files, lines, size; binary files too, unlike language_stats()."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return records.groupBy("language").agg(F.count("*").alias("files"), total("lines").alias("lines"), total("size").alias("size"))
+
+
 def analyse(records: DataFrame, order_col: str = "ord") -> dict:
-    """The whole analysis as a dict for the reports. Only rollups reach the driver: a row for each language at most."""
-    f = with_features(records).cache()
+    """The whole analysis as a dict for the reports. Only rollups reach the driver: a row for each language at most, and the
+    first MOST_LISTED issues of each."""
+    f = with_features(records).persist()
     try:
-        row = lambda df: (df.first() or {}) and df.first().asDict(True)
+
+        def row(df: DataFrame) -> dict:
+            first = df.first()
+            return first.asDict(True) if first else {}
+
         by: dict[str, dict] = {}
         for part, df in (("basic_stats", language_stats(f)), ("structure", structure_rollup(f)), ("complexity", complexity_rollup(f))):
             for r in df.collect():
                 by.setdefault(r["language"], {})[part] = {k: v for k, v in r.asDict().items() if k != "language" and v is not None}
         for r in issue_counts(f, order_col).collect():
             by[r["language"]].setdefault("issues", {})[r["type"]] = r["n"]
+        for r in first_issues(f, MOST_LISTED, order_col).orderBy("language", "rank").collect():
+            by[r["language"]].setdefault("first_issues", []).append({k: r[k] for k in ("type", "file", "line", "message")})
         for r in dependency_rollup(f, order_col).where(F.col("rank") <= TOP_IMPORTS).orderBy("language", "rank").collect():
             by[r["language"]].setdefault("imports", []).append([r["module"], r["n"]])
         corpus = row(corpus_metrics(f))
-        return {"overall": row(overall(f, order_col)) | {"language_distribution": {k: v["basic_stats"]["file_count"] for k, v in by.items()}}, "by_language": by, "metrics": corpus, "test_coverage": row(test_coverage(f)), "size_distribution": row(distribution(f, F.col("size"))), "line_distribution": row(distribution(f, F.col("lines"))), "file_count": corpus["total_files"], "language_count": len(by)}
+        spread = {r["metric"]: {k: v for k, v in r.asDict().items() if k != "metric"} for r in score_distributions(f).collect()}
+        return {
+            "overall": row(overall(f, order_col)) | {"language_distribution": {k: v["basic_stats"]["file_count"] for k, v in by.items() if "basic_stats" in v}}, "by_language": by, "metrics": corpus, "test_coverage": row(test_coverage(f)),
+            "all_files_by_language": {r["language"]: {k: r[k] for k in ("files", "lines", "size")} for r in language_totals(f).collect()}, "distributions": spread,
+            "size_distribution": row(distribution(f, F.col("size"))), "line_distribution": row(distribution(f, F.col("lines"))), "file_count": corpus["total_files"], "language_count": len(by),
+        }
     finally:
         f.unpersist()

@@ -43,9 +43,9 @@ def duplicate_groups(records: DataFrame, algorithm: str = "sha256", min_size: in
 
 
 def duplicate_list(records: DataFrame, algorithm: str = "sha256", min_size: int = 100) -> DataFrame:
-    """The groups with their files (path, size, modified_time), in path order."""
-    file = F.struct("path", "size", "modified_time")
-    return _hashed(records, algorithm, min_size).groupBy("hash").agg(F.count("*").alias("count"), F.first("size").alias("size"), F.sort_array(F.collect_list(file)).alias("files")).where("count > 1")
+    """hash, count, size, path, modified_time: a row for each file of a group of two or more, however many copies there are."""
+    own = _hashed(records, algorithm, min_size).select("hash", "path", "modified_time")
+    return own.join(duplicate_groups(records, algorithm, min_size), "hash").select("hash", "count", "size", "path", "modified_time")
 
 
 def duplicate_report(records: DataFrame, algorithm: str = "sha256", min_size: int = 100) -> DataFrame:
@@ -57,26 +57,44 @@ def duplicate_report(records: DataFrame, algorithm: str = "sha256", min_size: in
     return g.crossJoin(all_rows).select(checked.alias("total_files_checked"), "duplicate_groups", F.col("duplicate_groups").alias("similar_groups"), "total_duplicate_size", F.col("members").alias("files_with_duplicates"), F.lit(0).cast("long").alias("unique_files"))
 
 
-def _order(strategy: str, order_col: str) -> list[Column]:
-    by_time = F.coalesce("modified_time", F.lit(0.0))
-    return {"oldest": [by_time.asc(), F.col(order_col).asc()], "first": [F.col(order_col).asc()], "last": [F.col(order_col).desc()]}.get(strategy, [by_time.desc(), F.col(order_col).asc()])
-
-
-def marked(records: DataFrame, strategy: str = "newest", algorithm: str = "sha256", min_size: int = 100, order_col: str = "ord") -> DataFrame:
+def marked(records: DataFrame, strategy: str = "newest", algorithm: str = "sha256", min_size: int = 100, order_col: str | tuple[str, ...] = "ord") -> DataFrame:
     """Every record with deduplication_status (kept or removed) and deduplication_reason. Ineligible ones are kept.
 
-    newest and oldest go by modified_time, first and last by order_col, which also breaks ties; order_col must tell records
-    apart. An unknown strategy means newest. Only keys and times are shuffled, and the ids to remove are joined back.
-    """
-    order = _order(strategy, order_col)
-    slim = _hashed(records, algorithm, min_size).select("hash", *dict.fromkeys(["modified_time", order_col]))
-    gone = slim.withColumn("__rank", F.row_number().over(W.partitionBy("hash").orderBy(*order))).where("__rank > 1").select(F.col(order_col).alias("__gone"))
-    out = records.join(gone.withColumn("__removed", F.lit(True)), records[order_col] == F.col("__gone"), "left").drop("__gone")
-    removed = F.coalesce("__removed", F.lit(False))
-    return out.withColumns({"deduplication_status": F.when(removed, "removed").otherwise("kept"), "deduplication_reason": F.when(removed, "duplicate_content").otherwise("unique_or_selected")}).drop("__removed")
+    newest and oldest go by modified_time (none counts as 0), first and last by order_col, one column or several, which also
+    break ties. Records that agree in content, time and order are told apart by number, so of each content exactly one stays.
+    An unknown strategy means newest.
 
-
-def deduplicate(records: DataFrame, strategy: str = "newest", algorithm: str = "sha256", min_size: int = 100, order_col: str = "ord") -> DataFrame:
+    The one to stay is found by a minimum for each hash, which combines before the shuffle, so a content that a third of all
+    records share is no burden; records then meet it by hash and order, not by hash alone.
+    """
+    by = [order_col] if isinstance(order_col, str) else list(order_col)
+    has_time = "modified_time" in records.columns
+    time = F.coalesce(F.col("modified_time").cast("double"), F.lit(0.0)) if has_time else F.lit(0.0)
+    hashed = records.withColumn("__hash", F.when(eligible(records, min_size), calculate_hash(F.col("content"), algorithm))).withColumn("__time", time)
+    keys = ["__time", *by]
+    # how many records agree in all of that: one, save for repeated records
+    slim = hashed.where("__hash is not null").groupBy("__hash", *keys).agg(F.count("*").alias("__ties"))
+    value = F.struct(*keys, "__ties")
+    if strategy in ("first", "last"):
+        best = (F.min_by if strategy == "first" else F.max_by)(value, F.struct(*by, "__time"))
+    else:
+        best = F.min_by(value, F.struct(F.col("__time") if strategy == "oldest" else -F.col("__time"), *by))
+    stays = slim.groupBy("__hash").agg(best.alias("b")).select(F.col("__hash").alias("__h"), *[F.col(f"b.{k}").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("b.__ties").alias("__n"))
+    same = hashed["__hash"] == stays["__h"]
+    for i, k in enumerate(keys):
+        same = same & hashed[k].eqNullSafe(stays[f"__k{i}"])
+    met = hashed.join(stays, same, "left").withColumn("__n", F.when(F.col("__hash").isNull(), 1).otherwise(F.coalesce("__n", F.lit(0))))
+    # only records that are repeated as a whole are numbered
+    number = F.row_number().over(W.partitionBy("__hash", *keys).orderBy(F.lit(1)))
+    single = met.where("__n < 2").withColumn("__kept", F.col("__n") == 1)
+    repeated = met.where("__n > 1").withColumn("__kept", number == 1)
+    out = single.unionByName(repeated)
+    kept = F.col("__kept")
+    new = {"deduplication_status": F.when(kept, "kept").otherwise("removed"), "deduplication_reason": F.when(kept, "unique_or_selected").otherwise("duplicate_content")}
+    return out.withColumns(new).select(*records.columns, *new)
+
+
+def deduplicate(records: DataFrame, strategy: str = "newest", algorithm: str = "sha256", min_size: int = 100, order_col: str | tuple[str, ...] = "ord") -> DataFrame:
     return marked(records, strategy, algorithm, min_size, order_col).where("deduplication_status = 'kept'")
 
 

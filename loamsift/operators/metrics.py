@@ -223,3 +223,13 @@ def metric_summary(records: DataFrame, thresholds: Thresholds = Thresholds()) ->
 def violations_by_rule(records: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     found = with_metrics(records, thresholds).select(F.explode("all_violations").alias("v"))
     return found.groupBy(F.col("v.rule").alias("rule"), F.col("v.severity").alias("severity")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule", "severity")
+
+
+def analyse_metrics(records: DataFrame, thresholds: Thresholds = Thresholds(), by_extension: bool = True) -> tuple[dict, DataFrame]:
+    """(totals, violations) of scanned files, none of which is changed. totals: files measured, to remove, to clean and to leave,
+    and the means. violations: path, action, rule, threshold, actual, severity, a row for each."""
+    found = (with_file_metrics if by_extension else with_metrics)(records, thresholds)
+    measured = found.where("metrics is not null")
+    count = lambda a: F.count_if(F.col("action") == a)
+    totals = measured.agg(F.count("*").alias("total_files"), count("remove").alias("removed_files"), count("clean").alias("cleaned_files"), count("ignore").alias("ignored_files"), *[F.avg(F.col(f"metrics.{k}").cast("double")).alias(f"avg_{k}") for k in AVERAGED]).first().asDict()
+    return totals, found.select("path", "action", F.inline("all_violations"))

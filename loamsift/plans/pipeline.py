@@ -1,4 +1,5 @@
-"""Pipelines as graphs of DataFrames: every step reads the output of the steps it depends on, lazily, until a sink is written."""
+"""Pipelines as graphs of DataFrames. A plan is lazy: every step reads the steps it depends on. A run writes each step's
+records and goes on from what it wrote, so no step is worked out twice."""
 
 from __future__ import annotations
 
@@ -6,9 +7,8 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, cleaning, dedup, masking, metrics
@@ -19,14 +19,14 @@ from .config import Config, execution_order, pipeline_errors
 SECTION_OF = {"deduplication": "deduplication", "content_cleaning": "cleaning", "jsonl_cleaning": "jsonl_cleaning", "file_metrics_cleaning": "file_metrics_cleaning", "duplicate_analysis": "deduplication", "metrics_analysis": "file_metrics_cleaning", "code_analysis": "analysis"}
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """With `ord`, a number for each record that follows the paths, where there is none yet."""
-    return df if "ord" in df.columns else df.withColumn("ord", F.xxhash64(*[c for c in ("source_repo", "path") if c in df.columns]))
+def order_of(df: DataFrame) -> tuple[str, ...]:
+    """What the records are in order of: their own `ord`, or else repository and path."""
+    return ("ord",) if "ord" in df.columns else tuple(c for c in ("source_repo", "path") if c in df.columns)
 
 
 def _dedup(df: DataFrame, c: dict) -> DataFrame:
     algorithm, _, least = dedup.settings(c)
-    return dedup.deduplicate(_ordered(df), c.get("keep_strategy", "newest"), algorithm, least)
+    return dedup.deduplicate(df, c.get("keep_strategy", "newest"), algorithm, least, order_of(df))
 
 
 def _limits(c: dict) -> metrics.Thresholds:
@@ -67,29 +67,37 @@ class Plan:
             df.explain("formatted")
 
 
-def plan(config: Config, name: str | None, extract: Callable[[dict], DataFrame]) -> Plan:
-    """The pipeline's graph. extract gives the records of an extractor step. Disabled steps pass their input on; a step without
-    dependencies that isn't an extractor reads the first extractor's records."""
+def _checked(config: Config, name: str | None) -> list[dict]:
     chosen = config.pipeline(name)
     if wrong := pipeline_errors(chosen):
         raise ValueError("; ".join(wrong))
+    return execution_order(chosen["steps"])
+
+
+def _add(out: Plan, step: dict, config: Config, extract: Callable[[dict], DataFrame]) -> DataFrame:
+    """One step's records, made from the plan's outputs so far."""
+    own = step.get("config") or {}
+    if step["type"] == "extractor":
+        return extract(config.values["extraction"] | own)
+    inputs = [out.outputs[d] for d in step.get("depends_on") or []]
+    df = inputs[0] if inputs else next(iter(out.outputs.values()))
+    for more in inputs[1:]:
+        df = df.unionByName(more, allowMissingColumns=True)
+    if not step.get("enabled", True):
+        out.skipped.append(step["name"])
+        return df
+    method = own["method"]
+    section = config.values.get(SECTION_OF[method], {})
+    return OPERATORS[method](df, section | {k: v for k, v in own.items() if k != "method"})
+
+
+def plan(config: Config, name: str | None, extract: Callable[[dict], DataFrame]) -> Plan:
+    """The pipeline's graph. extract gives the records of an extractor step. Disabled steps pass their input on; a step without
+    dependencies that isn't an extractor reads the first extractor's records."""
+    steps = _checked(config, name)
     out = Plan(name or config.get("pipeline.default_pipeline"))
-    for step in execution_order(chosen["steps"]):
-        own = step.get("config") or {}
-        inputs = [out.outputs[d] for d in step.get("depends_on") or []]
-        if step["type"] == "extractor":
-            out.outputs[step["name"]] = extract(config.values["extraction"] | own)
-            continue
-        df = inputs[0] if inputs else next(iter(out.outputs.values()))
-        for more in inputs[1:]:
-            df = df.unionByName(more, allowMissingColumns=True)
-        if not step.get("enabled", True):
-            out.skipped.append(step["name"])
-            out.outputs[step["name"]] = df
-            continue
-        method = own["method"]
-        section = config.values.get(SECTION_OF[method], {})
-        out.outputs[step["name"]] = OPERATORS[method](df, section | {k: v for k, v in own.items() if k != "method"})
+    for step in steps:
+        out.outputs[step["name"]] = _add(out, step, config, extract)
     return out
 
 
@@ -107,37 +115,51 @@ def extractor(spark: SparkSession, roots: dict[str, str]) -> Callable[[dict], Da
     return of
 
 
+MOST_ERRORS = 5
+
+
 def run(spark: SparkSession, config: Config, roots: dict[str, str], name: str | None = None, output: str | None = None) -> dict:
     """Execute a pipeline over one or many trees at once: each step's records as JSON Lines below `output`, and a report.
 
-    A step that fails fails the run, unless pipeline.continue_on_error; steps after it are then left out.
+    `output` is a folder or the address of one. Each step is read back from what it wrote, so what comes before is worked out
+    once. A step that fails fails the run, unless pipeline.continue_on_error; then the steps that depend on it fail with it.
     """
-    began, p = time.time(), plan(config, name, extractor(spark, roots))
-    folder = Path(output or config.get("pipeline.work_dir")) / "pipeline_output" / p.name
+    began, steps, extract = time.time(), _checked(config, name), extractor(spark, roots)
+    p = Plan(name or config.get("pipeline.default_pipeline"))
+    folder = files.below(output or config.get("pipeline.work_dir"), "pipeline_output", p.name)
     report: dict = {"pipeline": p.name, "repositories": sorted(roots), "steps": [], "success": True}
-    for step, df in p.outputs.items():
-        start = time.time()
-        entry = {"step": step, "output": str(folder / step), "skipped": step in p.skipped, "success": True, "errors": []}
+    for step in steps:
+        start, target = time.time(), files.below(folder, step["name"])
+        entry = {"step": step["name"], "output": target, "skipped": False, "success": True, "errors": []}
+        report["steps"].append(entry)
         try:
-            jsonl.write(df, entry["output"])
-            entry["records"] = jsonl.count(spark, entry["output"])
+            if lost := [d for d in step.get("depends_on") or [] if d not in p.outputs]:
+                raise ValueError("needs what failed: " + ", ".join(lost))
+            df, seen = _add(p, step, config, extract), Observation()
+            entry["skipped"] = step["name"] in p.skipped
+            jsonl.write(df.observe(seen, F.count(F.lit(1)).alias("n")), target)
+            entry["records"] = seen.get["n"]
+            p.outputs[step["name"]] = jsonl.read(spark, target, df.schema, strict=True)
         except Exception as e:
             entry |= {"success": False, "errors": [str(e)[:2000]]}
             report["success"] = False
             if not config.get("pipeline.continue_on_error"):
-                report["steps"].append(entry)
-                _write(report, folder, began)
+                _write(spark, report, folder, began)
                 raise
         entry["seconds"] = time.time() - start
-        report["steps"].append(entry)
-    _write(report, folder, began)
+    _write(spark, report, folder, began)
     return report
 
 
-def _write(report: dict, folder: Path, began: float) -> None:
+def first_errors(report: dict, most: int = MOST_ERRORS) -> list[str]:
+    """The first errors of a run, for a listing, and how many there are besides."""
+    every = [f"{s['step']}: {e}" for s in report["steps"] for e in s["errors"]]
+    return every[:most] + ([f"and {len(every) - most} more"] if len(every) > most else [])
+
+
+def _write(spark: SparkSession, report: dict, folder: str, began: float) -> None:
     report["seconds"] = time.time() - began
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "pipeline_report.json").write_text(json.dumps(report, ensure_ascii=False, indent=2, default=str), "utf-8")
+    files.write_text(spark, files.below(folder, "pipeline_report.json"), json.dumps(report, ensure_ascii=False, indent=2, default=str))
 
 
 def dry_run(config: Config, name: str | None = None) -> list[dict]:
@@ -156,5 +178,5 @@ def batch(spark: SparkSession, config: Config, roots: dict[str, str], name: str
         if "source_repo" in df.columns:
             per = {r[0]: r[1] for r in df.groupBy("source_repo").count().collect()}
     report["summary"] = {"total": len(roots), "records": {k: per.get(k, 0) for k in roots}, "steps": {s["step"]: {"success": int(s["success"]), "failed": int(not s["success"])} for s in report["steps"]}}
-    _write(report, Path(output or config.get("pipeline.work_dir")) / "pipeline_output" / report["pipeline"], time.time() - report["seconds"])
+    _write(spark, report, files.below(output or config.get("pipeline.work_dir"), "pipeline_output", report["pipeline"]), time.time() - report["seconds"])
     return report

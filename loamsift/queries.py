@@ -116,9 +116,9 @@ def dup_groups(spark, sf):
     return dedup.duplicate_groups(records(spark, sf))
 
 
-@query(f"{_ELIGIBLE} SELECT hash, count(*) AS count, min(size) AS size, string_agg(path, ',' ORDER BY path) AS paths FROM hashed GROUP BY hash HAVING count(*) > 1")
+@query(f"{_ELIGIBLE} SELECT hash, count(*) OVER (PARTITION BY hash) AS count, size, path FROM hashed QUALIFY count(*) OVER (PARTITION BY hash) > 1")
 def dup_list(spark, sf):
-    return dedup.duplicate_list(records(spark, sf)).select("hash", "count", "size", F.array_join("files.path", ",").alias("paths"))
+    return dedup.duplicate_list(records(spark, sf)).select("hash", "count", "size", "path")
 
 
 def _keep(strategy: str, order: str) -> None:

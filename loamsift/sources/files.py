@@ -94,6 +94,11 @@ def scan(spark: SparkSession, root: str, extraction: Extraction = Extraction())
     return out.withColumn("lines", n_lines(F.col("content")))
 
 
+def first_files(records: DataFrame, most: int | None) -> DataFrame:
+    """At most so many records, the first in order of path: a cap that the caller asks for. None: all of them."""
+    return records if most is None else records.orderBy("path").limit(most)
+
+
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     return scan(spark, root, Extraction(SOURCE_TYPES, SOURCE_EXCLUDED, max_file_size=1 << 40))
 
@@ -101,3 +106,93 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 def safe_filename(name: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(name, r'[*?|<>:"/\\]', "_"), r"^[ .]+|[ .]+$", "")
     return F.when(s == "", "unnamed").otherwise(s)
+
+
+def verify_files(records: DataFrame, expected: DataFrame) -> DataFrame:
+    """path, hash, expected, verified: scanned records against a table of (path, hash); either may lack a path."""
+    own = records.select("path", "hash")
+    want = expected.select(F.col("path"), F.lower("hash").alias("expected"))
+    return own.join(want, "path", "full").withColumn("verified", F.coalesce(F.col("hash") == F.col("expected"), F.lit(False)))
+
+
+# ---- files of any file system that Spark reaches
+
+
+def below(folder: str | Path, *names: str) -> str:
+    """The address of something in a folder, which may be a path or a URI."""
+    return "/".join([str(folder).rstrip("/") or "/", *names])
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))  # without a scheme, of the default file system
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def info(spark: SparkSession, path: str) -> dict:
+    """name, extension, size, modified_time (seconds) and is_dir of a file or folder."""
+    fs, where = _at(spark, path)
+    s = fs.getFileStatus(where)
+    name = where.getName()
+    return {"name": name, "extension": Path(name).suffix, "size": s.getLen(), "modified_time": s.getModificationTime() / 1000, "is_dir": s.isDirectory()}
+
+
+def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Names that match a glob pattern, in order; none if the folder is not there."""
+    fs, where = _at(spark, folder)
+    jvm = spark.sparkContext._jvm
+    return sorted(s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(where, pattern)) or [])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file as a whole; its folder is made."""
+    fs, where = _at(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _at(spark, path)
+    source = fs.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode("utf-8", "ignore")
+    finally:
+        source.close()
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    _transfer(spark, source, target, False)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    _transfer(spark, source, target, True)
+
+
+def _transfer(spark: SparkSession, source: str, target: str, gone: bool) -> None:
+    a, b = _at(spark, source), _at(spark, target)
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(*a, *b, gone, True, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"{source} could not be taken to {target}")
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to delete."""
+    fs, where = _at(spark, path)
+    return fs.delete(where, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.mkdirs(where)
+
+
+def with_extension(path: str, extension: str) -> str:
+    """The path with that ending, whether the ending was given with a dot or without."""
+    e = extension if extension.startswith(".") else "." + extension
+    return path if path.endswith(e) else path + e

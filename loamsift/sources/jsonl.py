@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import files
+
 
 def read(spark: SparkSession, path: str, schema: str | StructType | None = None, strict: bool = False) -> DataFrame:
     """One object a line. strict: a bad line fails the read; otherwise bad lines are dropped. Give a schema for large inputs."""
@@ -58,12 +60,12 @@ def lines_to_array(spark: SparkSession, source: str, target: str, schema: str |
 
 def load(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """NAME.jsonl if it exists, else NAME.json."""
-    base = Path(folder) / name
-    if base.with_suffix(".jsonl").exists():
-        return read(spark, str(base.with_suffix(".jsonl")), schema)
-    if base.with_suffix(".json").exists():
+    lines_, array = files.below(folder, name + ".jsonl"), files.below(folder, name + ".json")
+    if files.exists(spark, lines_):
+        return read(spark, lines_, schema)
+    if files.exists(spark, array):
         r = spark.read.option("multiLine", "true")
-        return (r.schema(schema) if schema else r).json(str(base.with_suffix(".json")))
+        return (r.schema(schema) if schema else r).json(array)
     raise FileNotFoundError(f"no {name}.jsonl or {name}.json in {folder}")
 
 

@@ -140,6 +140,36 @@ def test_dedup_strategies(spark):
     assert dedup.settings({"hash_algorithm": "x", "similarity_threshold": 7, "min_file_size": -1}) == ("sha256", 0.95, 100)
 
 
+def test_repeated_records_keep_exactly_one(spark):
+    body = "y" * 100
+    rows = [rec(0, body, path="a.py", mtime=1), rec(0, body, path="a.py", mtime=1), rec(1, body, path="b.py", mtime=1), rec(2, "z" * 120, path="c.py"), rec(2, "z" * 120, path="c.py"), rec(3, "w" * 120, path="d.py")]
+    df = records(spark, rows)
+    for strategy in dedup.STRATEGIES:
+        m = dedup.marked(df, strategy)
+        assert m.columns == [*df.columns, "deduplication_status", "deduplication_reason"]
+        got = sorted((r["path"], r["deduplication_status"]) for r in m.collect())
+        first = "b.py" if strategy == "last" else "a.py"
+        assert got == sorted([(p, "kept" if p == first and i == 0 else "removed") for i, p in enumerate(("a.py", "a.py"))] + [("b.py", "kept" if first == "b.py" else "removed"), ("c.py", "kept"), ("c.py", "removed"), ("d.py", "kept")])
+    many = records(spark, [rec(0, body, path=f"{i:03}.py", mtime=1) for i in range(50)]).drop("ord")
+    from loamsift.plans.pipeline import OPERATORS
+
+    for strategy, want in (("first", "000.py"), ("last", "049.py"), ("newest", "000.py"), ("oldest", "000.py")):
+        assert [r["path"] for r in OPERATORS["deduplication"](many, {"keep_strategy": strategy}).collect()] == [want]
+    assert OPERATORS["deduplication"](many.unionByName(many), {}).count() == 1
+    assert OPERATORS["deduplication"](many.limit(0), {}).count() == 0
+    lists = dedup.duplicate_list(df).collect()
+    assert sorted((r["path"], r["count"]) for r in lists) == [("a.py", 3), ("a.py", 3), ("b.py", 3), ("c.py", 2), ("c.py", 2)]
+
+
+def test_texts_are_split_once(spark):
+    """Whatever reads the metrics, the optimizer doesn't copy them to each place that does."""
+    from loamsift import queries
+
+    for name, most in (("metric_rule_violations", 1), ("metrics_cleaned", 1), ("corpus_metrics", 3)):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("split(") <= most, name
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
@@ -295,6 +325,10 @@ def test_distribution(spark):
         assert (d["min"], d["max"], d["median"], d["q1"], d["q3"]) == (v[0], v[-1], statistics.median(v), v[n // 4], v[3 * n // 4])
         assert d["std"] == pytest.approx(statistics.pstdev(v)) and d["mean"] == pytest.approx(statistics.fmean(v))
     assert analysis.distribution(spark.createDataFrame([], "x int"), F.col("x")).collect() == []
+    v = sorted([r.uniform(-50, 50) * 10 ** r.randrange(-3, 4) for _ in range(500)] + [0.0, 0.0])
+    d = {x["metric"]: x for x in analysis.distributions(spark.createDataFrame([(x,) for x in v] + [(None,)], "x double"), {"a": F.col("x"), "b": -F.col("x"), "none": F.lit(None)}).collect()}
+    assert set(d) == {"a", "b"} and d["a"]["n"] == len(v) and (d["a"]["q1"], d["a"]["q3"]) == (v[len(v) // 4], v[3 * len(v) // 4]) and d["a"]["median"] == pytest.approx(statistics.median(v))
+    assert d["b"]["q1"] == -v[-1 - len(v) // 4] and d["b"]["std"] == pytest.approx(statistics.pstdev(v))
 
 
 def test_rollups_and_reports(spark, tmp_path):
@@ -309,6 +343,12 @@ def test_rollups_and_reports(spark, tmp_path):
     assert (t["test_files"], t["source_files"]) == (1, 3)
     a = analysis.analyse(df)
     assert a["overall"]["total_files"] == 4 and a["overall"]["language_distribution"] == {"python": 2, "c": 1, "text": 1} and a["file_count"] == 5
+    assert a["all_files_by_language"]["text"]["files"] == 2 and set(a["distributions"]) == {"quality", "complexity", "maintainability", "readability"} and a["distributions"]["quality"]["n"] == 5
+    assert a["distributions"]["readability"]["n"] == 4 and a["metrics"]["difficult_to_read_files"] == analysis.corpus_metrics(f.where("not is_binary")).first()["difficult_to_read_files"]
+    t = {r["ord"]: r["text_features"] for r in analysis.with_text_features(df).collect()}
+    assert t[4] is None and t[3]["basic_stats"]["total_words"] == 1 and t[0]["keywords"]["total_words"] > 0 and t[0]["patterns"]["classes"] and t[3]["encoding_info"]["is_ascii"]
+    totals, wrong = metrics.analyse_metrics(records(spark, [rec(0, "x" * 700, extension=".md"), rec(1, "ok"), rec(2, "y", binary=True)]))
+    assert (totals["total_files"], totals["removed_files"], totals["ignored_files"]) == (2, 1, 1) and {r["rule"] for r in wrong.collect()} == {"max_line_length", "max_average_line_length"}
     paths = reports.write(a, "comprehensive", tmp_path, "t")
     assert [p.rsplit(".", 1)[1] for p in paths] == ["json", "csv", "html", "md"]
     assert "python: 2 (50.0%)" in (tmp_path / "analysis_report_t.html").read_text() and "- **python**: 2 (50.0%)" in (tmp_path / "analysis_report_t.md").read_text()

@@ -40,6 +40,24 @@ def test_scan(spark, tree):
     assert {r["path"] for r in files.source_files(spark, tree).collect()} == {"a.py", "sub dir/b.js", "environment/c.py", "bin.py", "big.py", "plus+%41.py", "skip.py"}
 
 
+def test_files_of_any_file_system(spark, tree, tmp_path):
+    a, b = files.below(str(tmp_path), "x", "a.txt"), files.below(tmp_path.as_uri(), "x", "b.txt")
+    assert files.below("s3a://bucket/p/", "q") == "s3a://bucket/p/q"
+    files.write_text(spark, a, "é\n")
+    files.copy(spark, a, b)
+    assert files.read_text(spark, b) == "é\n" and files.exists(spark, a) and files.info(spark, b)["size"] == 3 and files.info(spark, b)["extension"] == ".txt"
+    assert files.listed(spark, files.below(str(tmp_path), "x"), "*.txt") == ["a.txt", "b.txt"]
+    files.move(spark, a, files.below(str(tmp_path), "c.txt"))
+    assert not files.exists(spark, a) and files.delete(spark, b) and not files.delete(spark, b)
+    files.make_folder(spark, files.below(str(tmp_path), "new"))
+    assert files.info(spark, files.below(str(tmp_path), "new"))["is_dir"] and files.with_extension("a", "py") == "a.py" == files.with_extension("a.py", ".py")
+    r = files.scan(spark, tree, files.Extraction(file_types=(".py",)))
+    want = r.select("path", F.when(F.col("path") == "a.py", F.lit("0")).otherwise(F.upper("hash")).alias("hash"))
+    got = {x["path"]: x["verified"] for x in files.verify_files(r, want.where("path <> 'big.py'")).collect()}
+    assert not got["a.py"] and not got["big.py"] and got["skip.py"]
+    assert [x["path"] for x in files.first_files(r, 2).collect()] == ["a.py", "big.py"] and files.first_files(r, None) is r
+
+
 def test_safe_filename(one):
     assert one(files.safe_filename, ['a<b>:"c', " .x. ", "...", "ok"]) == ["a_b___c", "x", "unnamed", "ok"]
 
@@ -150,6 +168,31 @@ def test_own_steps_and_failures(spark, tree, tmp_path):
     c.set("pipeline.continue_on_error", True)
     report = pipeline.run(spark, c, {"r": tree}, "bad", str(tmp_path))
     assert not report["success"] and [s["success"] for s in report["steps"]] == [True, False, True] and report["steps"][2]["skipped"]
+    assert len(pipeline.first_errors(report)) == 1 and pipeline.first_errors({"steps": [{"step": "s", "errors": list("abcdefg")}]})[-1] == "and 2 more"
+
+
+def test_a_run_reads_each_step_once(spark, tree, tmp_path):
+    """The extractor's records are made once, though every later step needs them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(df, options):
+        def same(batches):
+            calls.add(1)
+            yield from batches
+
+        return df.mapInArrow(same, df.schema)
+
+    from loamsift.plans import config as C
+
+    pipeline.register("counted", counted)
+    C.STEP_METHODS["cleaner"] += ("counted",)
+    c = Config({})
+    steps = [{"name": "e", "type": "extractor"}, {"name": "a", "type": "cleaner", "depends_on": ["e"], "config": {"method": "counted"}}]
+    steps += [{"name": f"d{i}", "type": "cleaner", "depends_on": ["a"], "config": {"method": "deduplication"}} for i in range(3)]
+    c.add_pipeline("once", {"steps": steps})
+    report = pipeline.run(spark, c, {"r": tree}, "once", tmp_path.as_uri())
+    once = calls.value
+    assert report["success"] and once == spark.read.json(str(tmp_path / "pipeline_output/once/e")).rdd.getNumPartitions()
 
 
 def test_command_line(tmp_path, tree):
@@ -164,8 +207,10 @@ def test_command_line(tmp_path, tree):
     run("repo", "add", tree, "--name", "t")
     assert "local_reference" in run("repo", "list")
     assert "deep_clean" in run("pipeline", "list-pipelines") and "extract" in run("pipeline", "dry-run", "quick")
-    run("data", "extract", "t")
-    assert list((tmp_path / "data/extract/t").glob("*.json"))
+    run("data", "extract", "t", "--max-files", "3")
+    (part,) = (tmp_path / "data/extract/t").glob("*.json")
+    assert len(part.read_text().splitlines()) == 3 and json.loads(part.read_text().splitlines()[0])["text_features"]["basic_stats"]
+    assert '"total_files": 6' in run("data", "analyze-metrics", "t")
     assert "analysis_report" in run("data", "analyze", "t", "--format", "json")
 
 
@@ -194,10 +239,11 @@ def test_entry_points(spark):
     assert (r["total_files_checked"], r["duplicate_groups"], r["total_duplicate_size"]) == (131, 60, 163_863)
 
 
-def test_everything_else_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", [("corpus_pipeline.py",), ()])
+def test_everything_else_works_without_the_subpackage(tmp_path, gone):
     import shutil
 
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", *gone, "__pycache__"))
     code = "import __spark_entry__ as E; q = E.queries(); assert 'pipeline' not in q and 'exact_dedup_report' in q and set(E.oracle_sql()) <= set(q)"
     p = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
     assert p.returncode == 0, p.stderr
