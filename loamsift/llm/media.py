@@ -8,7 +8,7 @@ their position, so text, media and captions stay aligned whatever is found.
 Defined results. Null and empty HTML: a sequence without items. Null page ids: a row like any other, with a null id.
 Repeated rows: each gives its sequence. Repeated digests in the payload table: the row with the least (mime, n_bytes).
 References whose payload is missing: `resolved` false, and they keep their place. Text of any length is kept whole. Unclosed
-elements end with the page; but video, audio and picture end at the next block or medium, or where what is around them closes. Empty tables give no rows. Other columns, whatever their names, are not read.
+elements end with the page; a tag without an end is text, as is all that looks like one behind it; but video, audio and picture end at the next block or medium, or where what is around them closes. Empty tables give no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import binascii
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from urllib.parse import unquote_to_bytes, urljoin
 
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import col, materialize
 
 ITEM = "struct<position:int,kind:string,text:string,url:string,digest:string,caption:string>"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
+_SIGN = re.compile("[>\"']")
+NEAR = 4096
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = ("script", "style", "template", "noscript", "head")
@@ -82,6 +86,68 @@ def _title(attributes: dict[str, str]) -> str | None:
     return _SPACE.sub(" ", attributes.get("alt") or attributes.get("title") or attributes.get("aria-label") or "").strip() or None
 
 
+class Tags:
+    """The tags of a page, in time proportional to its length whatever it holds.
+
+    Most tags end close by, where a pattern finds the end. For others all signs that matter are walked once, from the page's
+    end: where a tag ends that is outside quotes before a sign follows from where it does before a later one.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.next_end = page, -1
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def _next_end(self, at: int) -> int:
+        """The next > at or behind a place, the page's length if there is none. Places only grow."""
+        if self.next_end < at:
+            found = self.page.find(">", at)
+            self.next_end = found if found >= 0 else len(self.page)
+        return self.next_end
+
+    def _end(self, at: int) -> int:
+        """Of the tag whose attributes begin at a place: its > outside quotes, or -1."""
+        page, end = self.page, self._next_end(at)
+        if end == len(page):
+            return -1
+        if end - at <= NEAR:
+            part = page[at:end]
+            if '"' not in part and "'" not in part:
+                return end
+            if m := _REST.match(page, at, at + NEAR):
+                return m.end() - 1
+        if self.places is None:
+            self.places = [m.start() for m in _SIGN.finditer(page)]
+            self.ends = [-1] * (len(self.places) + 1)
+            behind = {'"': len(self.places), "'": len(self.places)}
+            for k in range(len(self.places) - 1, -1, -1):
+                sign = page[self.places[k]]
+                if sign == ">":
+                    self.ends[k] = self.places[k]
+                else:
+                    self.ends[k] = self.ends[min(behind[sign] + 1, len(self.places))]
+                    behind[sign] = k
+        return self.ends[bisect_left(self.places, at)]
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it closes, name, attributes) of the first tag or comment from a place on; no name: a comment."""
+        page, start = self.page, at
+        while (start := page.find("<", start)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, None, ""
+            if page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                return start, end + 3 if end >= 0 else len(page), False, None, ""
+            if page.startswith(("<!", "<?"), start):
+                return start, min(len(page), self._next_end(start + 2) + 1), False, None, ""
+            m = _NAME.match(page, start)
+            if m and (end := self._end(m.end())) >= 0:
+                return start, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+            start += 1
+        return None
+
+
 def parse(page: str, base: str) -> list[dict]:
     """The items of a page in document order."""
     items: list[dict] = []
@@ -125,17 +191,16 @@ def parse(page: str, base: str) -> list[dict]:
         elif text:  # a caption without media is text
             words.append(" " + text + " ")
 
-    at = 0
+    at, tags = 0, Tags(page)
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        found = tags.after(at)
         if not stack:
-            put(entities.unescape(page[at : m.start() if m else len(page)]))
-        if not m:
+            put(entities.unescape(page[at : found[0] if found else len(page)]))
+        if not found:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, close, tag, inside = found
+        if tag is None:
             continue
-        close, tag = bool(m[1]), m[2].lower()
         if stack:
             if close and tag == stack[-1]:
                 stack.pop()
@@ -174,7 +239,7 @@ def parse(page: str, base: str) -> list[dict]:
             if (open_at := next((i for i in reversed(range(len(holder))) if holder[i][0] == tag), None)) is not None:
                 del holder[open_at:]  # with what is still open inside
         elif (tag in _MEDIA or tag == "picture") and not close:
-            attributes = _attributes(m[3])
+            attributes = _attributes(inside)
             url = _address(attributes, base)
             open_item = holder[-1][1] if holder else -1
             if tag == "picture":

@@ -1,8 +1,13 @@
+import random
+import re
+import time
 import hashlib
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from loamsift.llm import media as M
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><img src='no'>";</script><style>p{}</style></head><body>
@@ -105,3 +110,29 @@ def test_inline_payloads():
 def test_long_page_is_kept_whole():
     t = "word " * 300_000
     assert kinds(f"<p>{t}</p>") == [("text", t.strip(), None)]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<a \"'", "<img src=a ", "<", "<!", "<!-", "<a b='\">", "&", "<video>", "</", "<p>'", '<a "x">'])
+@pytest.mark.parametrize("end", ["", ">", "'\">"])
+def test_broken_pages_take_linear_time(piece, end):
+    """A megabyte of it; the patterns it replaced took hours."""
+    n = (1 << 20) // len(piece)
+    began = time.perf_counter()
+    M.parse(piece * n + end, "")
+    assert time.perf_counter() - began < 8
+
+
+def test_tags_against_the_plain_pattern():
+    """What ends a tag, against one pattern that tries every place."""
+    plain = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r = random.Random(5)
+    for _ in range(4000):
+        page = "".join(r.choice(["<", ">", "'", '"', "a", "b ", "<a", "</a", "<!--", "-->", "=", "<!", "x>", "<![CDATA[", "]]>"]) for _ in range(r.randrange(1, 25)))
+        want = [(m.start(), m.end(), bool(m[1]), m[2] and m[2].lower(), m[3] or "") for m in plain.finditer(page)]
+        for near in (4096, 3):
+            M.NEAR, got, at, tags = near, [], 0, M.Tags(page)
+            while (t := tags.after(at)) is not None:
+                got.append(t)
+                at = t[1]
+            M.NEAR = 4096
+            assert got == want, page
