@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -18,9 +20,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where the session names none (tests), one below the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir. A local session without one (tests) gets one below the warehouse;
+    on a cluster there is no such folder to guess, and that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -32,12 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The folder is deleted when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the driver exits."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -63,17 +74,15 @@ def col(df: DataFrame, name: str) -> Column:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) in runs of about `most` bytes; a null counts as an empty text. Bounds the memory, drops nothing."""
-    at, run, size = 0, [], 0
-    for i, t in enumerate(texts.to_pylist()):
-        t = t or ""
-        if run and size + len(t) > most:
-            yield at, run
-            at, run, size = i, [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield at, run
+    """(first row, texts) in runs of about `most` bytes, each made Python's own only when it is its turn; a null counts as an
+    empty text. Bounds the memory, drops nothing."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield at, [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
 
 
 def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +171,30 @@ def unsigned(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def id_type(df: DataFrame, id_col: str) -> str:
+    """The type an id keeps through an operator: long for all integers, otherwise its own (strings, decimals, dates)."""
+    kind = df.schema[id_col].dataType
+    return "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
+
+
+def typed_id(df: DataFrame, id_col: str) -> Column:
+    return col(df, id_col).cast(id_type(df, id_col))
+
+
+def id_codes(ids: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """Numbers in the order of the ids (integers are their own), and what turns such numbers back to ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(**({} if isinstance(ids, pa.ChunkedArray) else {"zero_copy_only": False})).astype(np.int64), pa.array
+    every = pc.unique(ids)
+    every = every.take(pc.sort_indices(every))
+    at = pc.index_in(ids, value_set=every)
+    at = at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at
+    return at.to_numpy(zero_copy_only=False).astype(np.int64), lambda x: every.take(pa.array(x))
+
+
 def exploded_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) alone: no other column of the input, whatever its name, can clash."""
-    return df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, text_col).cast("string").alias("text"))
+    return df.select(typed_id(df, id_col).alias("doc_id"), col(df, text_col).cast("string").alias("text"))
 
 
 __all__ = [x for x in dir() if not x.startswith("_")] + ["F"]

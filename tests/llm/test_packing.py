@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,32 @@ def test_fills_well():
     assert len(bins) <= np.ceil(t.sum() / 4096) * 1.03
 
 
+def test_many_tiny_examples_are_quick():
+    """A shard of 2^20 tokens in examples of three: each waits in line with those of equal demand."""
+    r = np.random.default_rng(3)
+    t = r.integers(1, 6, 350_000)
+    demand = np.stack([t, np.ones(len(t)), (t * r.random(len(t))).astype(int)], 1).astype(float)
+    began = time.perf_counter()
+    bins = P.pack_vectors(demand, np.array([4096.0, 16, 3072]))
+    assert time.perf_counter() - began < 90 and len(bins) == 350_000 // 16 and sorted(sum(bins, [])) == list(range(350_000))
+
+
+def test_limits_below_one_are_refused(docs):
+    for limits in ((0, 1, 1), (1, 0, 1), (1, 1, 0)):
+        with pytest.raises(ValueError):
+            P.pack(P.document_examples(docs(["a b"])), *limits)
+
+
+def test_string_ids(spark):
+    rows = [(f"c{i % 40}", i, "assistant", "word " * (i % 17)) for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    number = df.selectExpr("cast(substr(conv_id, 2) as long) as conv_id", "turn", "role", "text")
+    key = lambda out: sum(b["tokens"] for b in out.collect())
+    named = P.pack_conversations(df, max_tokens=64, max_loss=64)
+    assert named.schema["members"].dataType.elementType["example_id"].dataType.simpleString() == "string"
+    assert key(named) == key(P.pack_conversations(number, max_tokens=64, max_loss=64))
+
+
 def test_pieces():
     assert P.pieces([(10, True)], 4, 4) == [(0, 4, 4), (4, 4, 4), (8, 2, 2)]
     assert P.pieces([(3, False), (5, True), (2, False)], 6, 2) == [(0, 5, 2), (5, 2, 2), (7, 3, 1)]
