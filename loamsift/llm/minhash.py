@@ -4,14 +4,18 @@ Of each document's minima over many hash functions only the low bits are kept, p
 find candidates; the packed signatures then decide: equal bits are counted and the count corrected for collisions by chance,
 J = (E - 2**-b) / (1 - 2**-b). Documents that are similar enough, directly or through others, form a group.
 
-Within a bucket (documents with one band in common) the pairs aren't listed. A search over the bucket visits every document
-once, comparing it with those not reached yet, and gives the bucket's exact components: a group of thousands of copies
-costs one comparison each, no number of partners is capped, and no pair's similarity is decided by another pair's.
+Within a bucket (documents with one band in common) the pairs aren't listed. A bucket of two is a pair. In a larger one a
+search visits every document once, comparing it with those not reached yet, and gives the bucket's exact components: a group
+of thousands of copies costs one comparison each, no number of partners is capped, and no pair's similarity is decided by
+another pair's. A bucket of more than CHUNK members is cut to chunks, and each two chunks meet in a task of their own, so
+neither memory nor the work of a task grows with the bucket (the number of such tasks does, with the square of the bucket's
+different texts). Exact copies come together before that, by a minimum for each signature: however many they are, they are
+rows, never an array.
 
 Defined results. Null and empty texts, texts without letters or digits, and rows with a null doc_id: never in a group. Texts
 of fewer words than a shingle: one shingle, the whole text. Repeated rows: rows that share a doc_id are one document, with
-the minima of all its rows. Ties: the least doc_id stays. Empty tables give no rows. Very long texts are read whole. Other columns are
-not read.
+the minima of all its rows; drop_near_duplicates() keeps one of those that share the text too. Ties: the least doc_id stays.
+Ids are of any type that has an order. Empty tables give no rows. Very long texts are read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, exploded_id, fresh, hashed_words, materialize, mix, range_hashes, slices
+from .common import col, exploded_id, fresh, hashed_words, id_type, materialize, mix, range_hashes, slices, typed_id
 from .components import connected_components
 
-N_HASHES, BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 4, 42, 3, 3, 0.4
+#: The threshold lies between documents that share a passage (up to about 0.45) and near copies (0.6 and more).
+N_HASHES, BITS, BANDS, ROWS, SHINGLE, THRESHOLD = 256, 4, 42, 3, 3, 0.5
+CHUNK = 8192
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +103,6 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for at, texts in slices(batch["text"]):
                 own, m = minima(texts, n_hashes, size)
                 if len(own):
@@ -105,9 +110,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width = packed.shape[1]
                     sig = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(len(own) + 1, dtype=np.int32) * width), pa.py_buffer(packed.tobytes())])
                     lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * n_bands, pa.array(keys.view(np.int64).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + own].astype(np.int64)), sig, lists], ["doc_id", "sig", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at + own)), sig, lists], ["doc_id", "sig", "keys"])
 
-    return exploded_id(docs, id_col, text_col).where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, sig binary, keys array<long>")
+    return exploded_id(docs, id_col, text_col).where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id {id_type(docs, id_col)}, sig binary, keys array<long>")
 
 
 def bucket_components(sigs: np.ndarray, threshold: float, bits: int = BITS) -> np.ndarray:
@@ -129,56 +134,114 @@ def bucket_components(sigs: np.ndarray, threshold: float, bits: int = BITS) -> n
     return root
 
 
+def cross_components(sigs: np.ndarray, left: np.ndarray, threshold: float, bits: int = BITS) -> np.ndarray:
+    """bucket_components() for the pairs of a left signature with another one only."""
+    root = np.arange(len(sigs))
+    rest = {True: np.flatnonzero(left), False: np.flatnonzero(~left)}
+    while len(rest[True]) and len(rest[False]):
+        start, rest[True] = rest[True][0], rest[True][1:]
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            other = not left[x]
+            if len(rest[other]):
+                near = similarity(sigs[x], sigs[rest[other]], bits) >= threshold
+                queue.extend(rest[other][near])
+                root[rest[other][near]] = start
+                rest[other] = rest[other][~near]
+    return root
+
+
+def _bytes(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1)
+
+
 def _edges(threshold: float, bits: int):
-    def run(batches):
-        """Rows sorted by key; a bucket may run over batches."""
-        key, ids, sigs = None, [], []
-
-        def close():
-            if len(ids) < 2:
-                return None
-            i = np.array(ids)
-            s = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(i), -1)
-            r = bucket_components(s, threshold, bits)
-            far = r != np.arange(len(i))
-            return (i[r[far]], i[far]) if far.any() else None
+    """Rows sorted by (key, i, j): works through whole tiles, as many at a time as batches bring."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        place = [t[c].to_numpy() for c in ("key", "i", "j")]
+        sigs, left = _bytes(t["sig"], len(t)), t["on_left"].to_numpy(zero_copy_only=False).astype(bool)
+        cut = np.flatnonzero(np.append(True, np.logical_or.reduce([p[1:] != p[:-1] for p in place])))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cut, np.append(cut[1:], len(t))):
+            if hi - lo < 2:
+                continue
+            within = place[1][lo] == place[2][lo]
+            r = bucket_components(sigs[lo:hi], threshold, bits) if within else cross_components(sigs[lo:hi], left[lo:hi], threshold, bits)
+            far = np.flatnonzero(r != np.arange(hi - lo))
+            a.append(lo + r[far])
+            b.append(lo + far)
+        ids = t["doc_id"].combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
 
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            out = []
-            for k, d, s in zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["sig"].to_pylist()):
-                if k != key:
-                    if (e := close()) is not None:
-                        out.append(e)
-                    key, ids, sigs = k, [], []
-                ids.append(d)
-                sigs.append(s)
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if (e := close()) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            last = [batch[c][batch.num_rows - 1] for c in ("key", "i", "j")]
+            if kept[0].num_rows and [kept[0][c][0] for c in ("key", "i", "j")] == last:
+                continue  # one tile so far
+            t = pa.Table.from_batches(kept)
+            tail = np.logical_and.reduce([t[c].to_numpy() == x.as_py() for c, x in zip(("key", "i", "j"), last)])
+            end = int(np.flatnonzero(tail)[0])  # the last tile may go on
+            yield work(t.slice(0, end))
+            kept = t.slice(end).to_batches()
+        if kept:
+            yield work(pa.Table.from_batches(kept))
+
+    return run
+
+
+def _similar(threshold: float, bits: int):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                one, many = _bytes(b["x"], b.num_rows), _bytes(b["y"], b.num_rows)
+                near = pa.array(np.flatnonzero(similarity(one, many, bits) >= threshold))
+                yield pa.RecordBatch.from_arrays([b["a"].take(near), b["b"].take(near)], ["a", "b"])
 
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n_hashes: int = N_HASHES, bits: int = BITS, n_bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n_hashes: int = N_HASHES, bits: int = BITS, n_bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, group_id, keep) of all documents in groups of two or more; group_id is the least doc_id of the group, which stays."""
+    kind = id_type(docs, id_col)
     made = materialize(signatures(docs, id_col, text_col, n_hashes, bits, n_bands, rows, size), "signatures")
-    # exact copies, and rows of one doc_id, come together by the whole signature first: one shuffle of it, however many they are
-    same = made.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.collect_set("doc_id").alias("ids"))
+    # exact copies, and rows of one doc_id, come together by the whole signature first
+    same = made.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"), F.first("keys").alias("keys"))
     same = materialize(same, "distinct")
-    copies = same.where("size(ids) > 1").select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a <> b")
+    copies = made.join(same.where("rep <> most").select("sig", F.col("rep").alias("a")), "sig").select("a", F.col("doc_id").alias("b")).where("a <> b")
     key = same.select("rep", F.explode("keys").alias("key"))
-    shared = key.groupBy("key").agg(F.collect_list("rep").alias("reps")).where("size(reps) > 1")
-    member = shared.select("key", F.explode("reps").alias("rep"))
-    held = member.join(same.select("rep", "sig").hint("shuffle_hash"), "rep").select("key", F.col("rep").alias("doc_id"), "sig")
-    edges = held.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_edges(threshold, bits), "a long, b long")
-    found = connected_components(edges.unionByName(copies))
+    buckets = materialize(key.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "buckets")
+    held = same.select(F.col("rep").alias("doc_id"), "sig")
+    pairs = buckets.where("n = 2 and a <> b").select("a", "b").distinct()
+    pairs = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")).hint("shuffle_hash"), "a").join(held.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")).hint("shuffle_hash"), "b")
+    pairs = pairs.select("a", "b", "x", "y").mapInArrow(_similar(threshold, bits), f"a {kind}, b {kind}")
+    member = key.join(buckets.where("n > 2").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("g")), "key").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
+    member = member.select("key", F.col("rep").alias("doc_id"), "c", F.explode(tile).alias("t")).select("key", "doc_id", "t.i", "t.j", (F.col("c") == F.col("t.i")).alias("on_left"))
+    member = member.join(held.hint("shuffle_hash"), "doc_id").select("key", "i", "j", "on_left", "doc_id", "sig")
+    edges = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").mapInArrow(_edges(threshold, bits), f"a {kind}, b {kind}")
+    found = connected_components(edges.unionByName(pairs).unionByName(copies))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows and columns; of each group only the document of least doc_id. Rows without a doc_id stay."""
-    gone_id = fresh(docs, "__gone_id")
+    """The input's rows and columns; of each group only the document of least doc_id, and of rows that share doc_id and text
+    only one (which, if their other columns differ, is open). Rows without a doc_id stay."""
+    gone_id, digest = fresh(docs, "__gone_id"), fresh(docs, "__digest")
+    own, text = typed_id(docs, id_col), col(docs, text_col).cast("string")
     gone = near_duplicate_groups(docs, id_col, text_col, **options).where("not keep").select(F.col("doc_id").alias(gone_id))
-    return docs.join(gone.hint("shuffle_hash"), col(docs, id_col).cast("long") == F.col(gone_id), "left_anti")
+    # ids that come with one text twice: few, or none, and only their rows are looked at again
+    twice = docs.select(own.alias(gone_id), F.md5(text).alias("h")).where(f"`{gone_id}` is not null").groupBy(gone_id, "h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = materialize(twice.select(gone_id).distinct(), "repeated")
+    if twice.isEmpty():
+        return docs.join(gone.hint("shuffle_hash"), own == F.col(gone_id), "left_anti")
+    gone = materialize(gone, "gone")
+    out = docs.join(gone.unionByName(twice).hint("shuffle_hash"), own == F.col(gone_id), "left_anti")
+    again = docs.join(twice.hint("shuffle_hash"), own == F.col(gone_id), "left_semi").join(gone.hint("shuffle_hash"), own == F.col(gone_id), "left_anti")
+    again = again.withColumn(digest, F.md5(F.coalesce(text, F.lit("")))).dropDuplicates([id_col, digest]).drop(digest)
+    return out.unionByName(again.select(*[col(again, c) for c in docs.columns]))

@@ -104,10 +104,66 @@ def test_awkward_rows(docs):
     d = docs(texts, ids=ids)
     kept = M.drop_near_duplicates(d)
     assert kept.columns == d.columns
-    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.select("doc_id").collect()) == [(False, None), *[(True, i) for i in (3, 3, 7, 8, 9, 20, 30)]]
+    assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.select("doc_id").collect()) == [(False, None), *[(True, i) for i in (3, 3, 7, 8, 9, 20, 30)]]  # 3 has two texts
     assert M.near_duplicate_groups(d.limit(0)).collect() == []
 
 
+def test_repeated_rows_stay_once(docs):
+    t, u = " ".join(words(1, 50)), " ".join(words(2, 50))
+    d = docs([t] * 5 + [u, u, u, "", "", None, None], ids=[4] * 5 + [2, 9, 9, 1, 1, 6, 6])
+    assert sorted(r["doc_id"] for r in M.drop_near_duplicates(d).collect()) == [1, 2, 4, 6]
+    assert M.drop_near_duplicates(d).columns == d.columns
+
+
+def test_string_ids(docs):
+    from pyspark.sql import functions as F
+
+    t, u = " ".join(words(1, 50)), " ".join(words(2, 50))
+    d = docs([t, t, u, u + " x", "other words", None], ids=[1, 2, 3, 4, 5, None]).withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")))
+    assert groups(M.near_duplicate_groups(d)) == [["doc-1", "doc-2"], ["doc-3", "doc-4"]]
+    assert sorted(str(r["doc_id"]) for r in M.drop_near_duplicates(d).collect()) == ["None", "doc-1", "doc-3", "doc-5"]
+
+
+def test_documents_that_share_a_passage_stay(docs):
+    """A shared quarter isn't a near copy."""
+    passage = words(7, 60)
+    d = docs([" ".join([*words(100 + i, 90), *passage, *words(200 + i, 90)]) for i in range(20)])
+    assert M.near_duplicate_groups(d).collect() == []
+
+
+def test_chunks_lose_no_link(docs):
+    """A bucket in chunks of a few members gives the groups that it gives as a whole."""
+    r = random.Random(11)
+    bases = [words(i, 80) for i in range(6)]
+    texts = [" ".join(edited(r.choice(bases), r, r.choice([0.01, 0.04]))) for _ in range(120)]
+    d = docs(texts)
+    assert groups(M.near_duplicate_groups(d, chunk=4)) == groups(M.near_duplicate_groups(d)) and len(groups(M.near_duplicate_groups(d))) <= 6
+
+
+def test_cross_components_against_all_pairs():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 256, (5, 128), dtype=np.uint8)
+    sigs = base[r.integers(0, 5, 60)].copy()
+    for s in sigs:
+        s[r.integers(0, 128, 12)] ^= r.integers(0, 256, 12, dtype=np.uint8)
+    left = r.random(60) < 0.5
+    edges = [(i, j) for i in range(60) for j in range(i) if left[i] != left[j] and M.similarity(sigs[i], sigs[j : j + 1])[0] >= 0.55]
+
+    def parts(edges):
+        p = list(range(60))
+
+        def find(x):
+            while p[x] != x:
+                x = p[x]
+            return x
+
+        for a, b in edges:
+            p[find(a)] = find(b)
+        return [[find(x) == find(y) for y in range(60)] for x in range(60)]
+
+    assert parts(edges) == parts(list(enumerate(M.cross_components(sigs, left, 0.55))))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_connected_components(spark, seed):
     r = random.Random(seed)
