@@ -53,9 +53,53 @@ def test_sample_follows_the_targets(docs):
         assert x["kept"] == (u < x["probability"]) or abs(u - x["probability"]) < 1e-5
 
 
-def test_topics(one):
-    texts = ["a | b", "SO!!", "x%%% y", "w " * 1000, "plain", None, ""]
-    assert one(lambda t: X.topic_of(t, X.n_tokens(t)), texts) == ["table", "shout", "symbol", "long", "prose", None, "prose"]
+def test_forms(one):
+    texts = ["a | b | c | d", "x\ty\tz\tw", "SOME VERY!! LOUD WORDS", "x### y&&& z$$$ w", "w " * 4000, "plain A B | c", None, "", "NATO and EU; a|b"]
+    assert one(X.form_of, texts) == ["tabular", "tabular", "shouted", "symbolic", "long", "prose", None, "prose", "prose"]
+    assert one(X.n_tokens, ["", None, "a", "abcd", "abcde", "中文字"]) == [0, 0, 1, 1, 2, 3]
+
+
+def test_targets_of_every_kind():
+    """Finite, defined probabilities, whatever categories lack a target."""
+    cells = [("a", "en", "p", 100), ("a", "fr", "p", 50), ("b", "en", "q", 70), ("c", "de", "p", 30)]
+    p = lambda *t, **o: {c[:3]: c[3] for c in X.probabilities(cells, list(t), **o)}
+    full = p({"a": 1, "b": 1, "c": 1}, {"en": 2, "fr": 1, "de": 1}, {"p": 1, "q": 1}, budget=0.3)
+    assert all(0 < x <= 1 for x in full.values())
+    some = p({"a": 1, "b": 1}, {"en": 1, "fr": 1, "de": 1}, {"p": 1, "q": 1}, budget=0.3)  # c has none: nor has German text left
+    assert some[("c", "de", "p")] == 0 and some[("a", "en", "p")] > 0 and some[("b", "en", "q")] > 0
+    assert set(p({"z": 1}, {"en": 1}, {"p": 1}).values()) == {0} and set(p({}, {}, {}).values()) == {0}
+    assert p({"a": 1, "z": 5}, {"en": 1, "fr": 1, "xx": 9}, {"p": 1}, budget=0.1)[("a", "en", "p")] > 0
+    assert set(p({"a": 1}, {"en": 1}, {"p": 1}, budget=1.0).values()) == {0, 1}
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}):
+        with pytest.raises(ValueError):
+            p(bad, {"en": 1}, {"p": 1})
+
+
+def test_without_other_and_by_column(docs):
+    d = docs([f"text number {i}" for i in range(60)], ["en", "fr", "xx"] * 20, ["s", "t"] * 30, extra=False).selectExpr("*", "if(doc_id % 2 = 0, 'law', 'art') as topic")
+    rows = X.mixture(d, topic_col="topic", source_targets={"s": 1.0, "t": 1.0}, lang_targets={"en": 3.0, "fr": 1.0}, topic_targets={"law": 1.0, "art": 1.0}, budget=0.4).collect()
+    assert {x["probability"] for x in rows if x["lang_group"] == X.OTHER} == {0.0} and not any(x["kept"] for x in rows if x["lang_group"] == X.OTHER)
+    assert any(x["kept"] for x in rows) and not all(x["kept"] for x in rows) and {x["topic_group"] for x in rows} == {"law", "art"}
+    assert X.sample(d, source_targets={"nothing": 1.0}).count() == 0
+
+
+def test_tokens_of_a_tokenizer_and_text_without_spaces(docs):
+    from pyspark.sql import functions as F
+
+    from loamsift.llm import packing
+
+    texts = ["汉字没有空格" * 50, "words with blanks between " * 20, "", None]
+    d = docs(texts, extra=False)
+    encode = packing.tokenizer(packing.TOKENIZER).encode_ordinary
+    got = {x["doc_id"]: x["tokens"] for x in X.mixture(d, tokens=packing.count_tokens(F.col("text"))).collect()}
+    assert got == {i: len(encode(t or "")) for i, t in enumerate(texts)}
+    estimate = {x["doc_id"]: x["tokens"] for x in X.mixture(d).collect()}
+    assert 0.3 < estimate[0] / got[0] < 3 and 0.3 < estimate[1] / got[1] < 3
+
+
+def test_string_ids(docs):
+    d = docs([f"text number {i}" for i in range(40)], extra=False).selectExpr("concat('d', doc_id) as doc_id", "text", "lang", "source")
+    assert {r["doc_id"] for r in X.sample(d).collect()} == {r["doc_id"] for r in X.mixture(d).collect() if r["kept"]}
 
 
 def test_awkward_rows(docs):
