@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import col, fresh, materialize
 
 EXAMPLE_OWNERS, LEAST_DISTINCT = 3, 6
-_KEYS = [k for w in ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key") for k in (w, w.upper(), w.capitalize())]
+_KEYS = ("password", "passwd", "passphrase", "secret", "token", "api[_-]?key", "access[_-]?key", "private[_-]?key", "secret[_-]?key", "auth[_-]?key")
 
-#: In whatever spelling of _KEYS, one of these is part of the key.
-_KEY_PARTS = [x for p in ("assw", "ecret", "oken", "_key", "pikey") for x in (p, p.upper())]
+#: In whatever case and spelling of _KEYS, one of these is part of the key.
+_KEY_PARTS = ["passw", "passphrase", "secret", "token", "key"]
 
 #: kind -> (pattern whose group 1 is the secret, groups of strings: a text with a match holds one of each group). Only syntax
 #: that Java and RE2 read alike.
@@ -37,7 +37,7 @@ KINDS: dict[str, tuple[str, list[list[str]]]] = {
     "maps_key": (r"(?:^|[^A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})", [["AIza"]]),
     "web_token": (r"(?:^|[^A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", [["eyJ"]]),
     "private_key": (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*)", [["PRIVATE KEY-----"]]),
-    "assignment": (r"(?:" + "|".join(_KEYS) + r")[\"']?\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_-]{12,})", [["=", ":"], _KEY_PARTS]),
+    "assignment": (r"(?i:" + "|".join(_KEYS) + r")[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9+/_-]{12,})", [["=", ":"], _KEY_PARTS]),
 }
 
 
@@ -45,13 +45,22 @@ def _named(kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("secret"))
 
 
+def _hit(text: Column, hints: list[list[str]]) -> Column:
+    found = lambda t, own: reduce(lambda a, b: a | b, [F.contains(t, F.lit(h)) for h in own])
+    return reduce(lambda a, b: a & b, [F.get(F.transform(F.array(F.lower(text)), lambda t: found(t, own)), F.lit(0)) if own is _KEY_PARTS else found(text, own) for own in hints])
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text holds the fixed strings that some kind of candidate needs."""
+    return F.coalesce(reduce(lambda a, b: a | b, [_hit(text, hints) for _, hints in KINDS.values()]), F.lit(False))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<kind,secret>> of a text, repeats included. A search for fixed strings spares most texts the patterns."""
     none = F.array().cast("array<string>")
     found = []
     for kind, (pattern, hints) in KINDS.items():
-        hit = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in own]) for own in hints])
-        secrets = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none)
+        secrets = F.when(_hit(text, hints), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(none)
         found.append(F.transform(secrets, _named(kind)))
     return F.concat(*found)
 

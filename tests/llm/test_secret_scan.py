@@ -53,8 +53,15 @@ def test_secret_within_another(docs):
 def test_hints_spare_no_match(one):
     import re
 
-    texts = [f"x {k}{q} {sign} '{HEX}' y" for k in S._KEYS for q in ("", '"') for sign in "=:"]
+    keys = ["password", "Passwd", "PASSPHRASE", "secret", "Token", "apiKey", "API_KEY", "api-key", "accessKey", "access_key", "SECRET_KEY", "secretKey", "private_key", "AuthKey"]
+    texts = [f"x {k}{q}{gap}{sign}{gap}'{HEX}' y" for k in keys for q in ("", '"') for sign in "=:" for gap in ("", " ", "          ", "\t")]
     p = re.compile(S.KINDS["assignment"][0])
     assert all(p.search(t) for t in texts)
     got = one(lambda t: S.candidates(t), texts)
     assert all([(c["kind"], c["secret"]) for c in g] == [("assignment", HEX)] for g in got)
+    assert one(S.may_hold, [*texts[:3], "plain words", "a secretary", None, "", AWS]) == [True] * 3 + [False] * 4 + [True]
+
+
+def test_repositories_are_counted_apart_from_owners(docs):
+    got = S.scan(docs([f"token={HEX}"] * 4, ["en", "fr", "de", "en"], ["o"] * 4)).first()
+    assert (got["n_docs"], got["n_repos"], got["n_owners"], got["verdict"]) == (4, 3, 1, "live")
