@@ -165,6 +165,11 @@ def mask_text(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else mask(t) for t in texts.to_pylist()], pa.string())
 
 
+@arrow("int")
+def organization_count(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else sum(1 for _ in _organizations(t)) for t in texts.to_pylist()], pa.int32())
+
+
 def clean_records(records: DataFrame, comments: bool = True, personal: bool = True) -> DataFrame:
     """Records with masked `content`, `original_content`, `has_sensitive_info`, `cleaning_applied`, and the counts of what was done.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing, text
 from .functions.patterns import HEX, IDENTIFIER, MAIL, NUMBER, PERSONAL, STOP_WORDS, WEB
+from . import made
 from .operators import analysis, cleaning, dedup, masking, metrics, structure
 from .schema import file_records, language_of
 from .sources.files import Extraction, safe_filename, wanted_path
@@ -36,9 +37,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_records(table(spark, sf_dir, "documents"))
 
 
-def on_documents(name: str, make: Callable[[Column], dict[str, Column]], sql: str | None) -> None:
-    """A query of columns made from each document's text."""
-    query(sql and f"WITH {REC} SELECT doc_id, {sql} FROM rec", name)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", *[v.alias(k) for k, v in make(F.col("text")).items()]))
+def on_documents(name: str, make: Callable[[Column], dict[str, Column]], sql: str | None, source: str = "documents") -> None:
+    """A query of columns made from each document's text, or from that with further lines (`seeded`)."""
+    base = f"WITH {REC}" if source == "documents" else f"WITH {made.SEEDED_SQL}, {rec_of('seeded')}"
+
+    def f(spark, sf):
+        d = table(spark, sf, "documents")
+        return (d if source == "documents" else made.seeded(d)).select("doc_id", *[v.alias(k) for k, v in make(F.col("text")).items()])
+
+    query(sql and f"{base} SELECT doc_id, {sql} FROM rec", name)(f)
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.code_records(table(spark, sf_dir, "documents"))
 
 
 def hashed(t: Column) -> Column:
@@ -79,6 +90,15 @@ def sql_ratio(a: str, b: str) -> str:
 REC = f"""rec AS (SELECT doc_id, text, text AS content, coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS source_repo,
   coalesce(source, 'unknown') || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, strlen(text) AS size, {sql_lines('text')} AS ls FROM documents),
 lined AS (SELECT *, len(ls) AS lines, len({sql_full('ls')}) AS full_lines FROM rec)"""
+
+
+def rec_of(source: str) -> str:
+    return REC.replace("FROM documents", f"FROM {source}")
+
+
+CODE = f"{made.CODE_SQL}, rec AS (SELECT *, doc_id AS ord, strlen(text) AS size, {sql_lines('text')} AS ls FROM made), lined AS (SELECT *, len(ls) AS lines, len({sql_full('ls')}) AS full_lines FROM rec)"
+#: With letters beyond ASCII as an underscore, which DuckDB's \\b and \\w take for a letter as well.
+_ASCII = r"regexp_replace(text, '[^\P{L}a-zA-Z]', '_', 'g')"
 _WORDS = sql_count("text", _W + "+")
 _SENTENCES = f"len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {sql_strip('x')}), lambda x: x <> ''))"
 _MEASURED = f"""measured AS (SELECT *, coalesce(list_max(list_transform(ls, lambda x: length(x))), 0) AS max_line_length,
@@ -174,21 +194,36 @@ def violation_counts_by_rule(spark, sf):
     return metrics.violations_by_rule(records(spark, sf))
 
 
-@query(f"{_ACTIONS} SELECT path, action = 'clean' AS metrics_cleaned FROM acted WHERE action <> 'remove'")
+_SIDE = _SPACES + "+"
+_CUT = r"(CASE WHEN length(regexp_extract(substr(rest, 452, 49), '(?s)^.*[,.:;!? \t]')) > 0 THEN 451 + length(regexp_extract(substr(rest, 452, 49), '(?s)^.*[,.:;!? \t]')) ELSE 500 END)"
+#: The lines of rec in pieces of at most 500 characters, and the texts that they make.
+_WRAPPED = rf"""cut(doc_id, i, k, piece, rest) AS (
+  SELECT doc_id, i, 0, NULL::VARCHAR, x FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM rec)
+  UNION ALL SELECT doc_id, i, k + 1, CASE WHEN length(rest) > 500 THEN regexp_replace(left(rest, {_CUT}), '{_SIDE}\z', '') ELSE rest END, CASE WHEN length(rest) > 500 THEN regexp_replace(substr(rest, {_CUT} + 1), '\A{_SIDE}', '') END FROM cut WHERE rest IS NOT NULL),
+wrapped AS (SELECT doc_id, string_agg(piece, chr(10) ORDER BY i, k) AS t FROM cut WHERE piece IS NOT NULL GROUP BY doc_id)"""
+
+
+@query(f"{_ACTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_WRAPPED} SELECT path, action = 'clean' AS metrics_cleaned, md5(CASE WHEN action = 'clean' THEN coalesce(t, '') ELSE text END) AS content FROM acted LEFT JOIN wrapped USING (doc_id) WHERE action <> 'remove'")
 def metrics_cleaned(spark, sf):
-    return metrics.clean_by_metrics(records(spark, sf)).select("path", "metrics_cleaned")
+    return metrics.clean_by_metrics(records(spark, sf)).select("path", "metrics_cleaned", F.md5("content").alias("content"))
 
 
-@query()
+@query(f"WITH RECURSIVE {REC}, {_WRAPPED} SELECT doc_id, md5(coalesce(t, '')) AS wrapped FROM rec LEFT JOIN wrapped USING (doc_id)")
 def long_line_wrap(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(metrics.wrap_long_lines(F.col("text"))).alias("wrapped"))
 
 
-@query()
+_HASHED = "len(list_filter(ls, lambda x: contains(x, '#')))"
+
+
+@query(f"""WITH {made.SEEDED_SQL}, {rec_of('seeded')}, {_MEASURED.replace("len(list_filter(ls, lambda x: regexp_matches(x, '" + chr(92) + "A" + _SPACES + "*(?:#|//|/" + chr(92) + "*|" + chr(92) + "*|<!--|--)')))", _HASHED)}
+SELECT doc_id, lines::INT AS line_count, full_lines::INT AS effective_lines, max_line_length::INT AS max_line_length, round(average_line_length, 6) AS average_line_length, comment_lines::INT AS comment_lines, round(comment_percentage, 6) AS comment_percentage, round(digit_percentage, 6) AS digit_percentage,
+  round(hex_percentage, 6) AS hex_percentage, size::BIGINT AS file_size, round({sql_ratio("100.0 * comment_lines", "lines")}, 6) AS comment_percentage_by_line, round(comment_percentage, 6) AS comment_percentage_by_effective FROM m""")
 def file_metrics_by_extension(spark, sf):
-    d = table(spark, sf, "documents")
+    """Each document as a Python file: any line with a # is a comment line, and sizes are bytes."""
+    d = made.seeded(table(spark, sf, "documents"))
     out = d.select("doc_id", metrics.file_metrics(F.col("text"), F.lit(".py")).alias("m")).select("doc_id", "m.*")
-    return out
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("average") or "percentage" in c})
 
 
 # ---- text
@@ -218,61 +253,108 @@ def top_words_corpus(spark, sf):
     return w.where((F.length("word") > 2) & ~F.col("word").isin(*STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
-@query()
+def _top_sql(source: str, key: str, words: str, n: int) -> str:
+    """The n commonest words of each row and how often they come, the earlier first of equals; and how many different ones there are."""
+    return f"""w AS (SELECT {key}, lower(unnest({words})) AS word, generate_subscripts({words}, 1) AS i FROM {source}),
+counted AS (SELECT {key}, word, count(*) AS n, min(i) AS first FROM w WHERE length(word) > 2 AND word NOT IN ({_STOPS}) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, first) AS r FROM counted),
+top AS (SELECT {key}, string_agg(word || ':' || n, ' ' ORDER BY r) FILTER (r <= {n}) AS top_words, count(*) AS unique_words FROM ranked GROUP BY ALL)"""
+
+
+_LOWER_WORDS = f"regexp_extract_all(lower(text), '{_W}+')"
+_NAMES = f"list_filter(regexp_extract_all(text, '{_W}+'), lambda x: regexp_matches(x, '^[_a-zA-Z][_0-9a-zA-Z]*$'))"
+
+
+@query(f"WITH {_top_sql('documents', 'doc_id', _NAMES, 20)} SELECT doc_id, coalesce(top_words, '') AS top_words, coalesce(unique_words, 0)::INT AS unique_words, len({_NAMES})::INT AS total_words, round({sql_ratio('coalesce(unique_words, 0)', f'len({_NAMES})')}, 6) AS vocabulary_richness FROM documents LEFT JOIN top USING (doc_id)")
 def keyword_stats(spark, sf):
     k = table(spark, sf, "documents").select("doc_id", text.keyword_stats(F.col("text")).alias("k"))
     return k.select("doc_id", F.array_join(F.transform("k.top_words", lambda p: F.concat_ws(":", p["word"], p["count"])), " ").alias("top_words"), "k.unique_words", "k.total_words", F.round("k.vocabulary_richness", 6).alias("vocabulary_richness"))
 
 
-@query()
+@query(f"WITH {_top_sql('conversations', 'conv_id, turn', _LOWER_WORDS, 10)} SELECT conv_id, turn, coalesce(top_words, '') AS keywords FROM conversations LEFT JOIN top USING (conv_id, turn)")
 def text_keywords(spark, sf):
     k = table(spark, sf, "conversations").select("conv_id", "turn", text.extract_keywords(F.col("text")).alias("k"))
     return k.select("conv_id", "turn", F.array_join(F.transform("k", lambda p: F.concat_ws(":", p["word"], p["count"])), " ").alias("keywords"))
 
 
 def _found(name: str, made: Callable[[Column], Column], pattern: str) -> None:
-    on_documents(name, lambda t: {"n": F.size(made(t)), "found": F.array_join(made(t), " ")}, f"{sql_count('text', pattern)}::INT AS n, array_to_string(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}'), ' ') AS found")
+    on_documents(name, lambda t: {"n": F.size(made(t)), "found": F.array_join(made(t), " ")}, f"{sql_count('text', pattern)}::INT AS n, array_to_string(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}'), ' ') AS found", "seeded")
 
 
 _found("extract_emails", text.extract_emails, r"\b" + MAIL)
 _found("extract_urls", text.extract_urls, WEB)
 _found("extract_hashtags", text.extract_hashtags, "#" + _W + "+")
 _found("extract_mentions", text.extract_mentions, "@" + _W + "+")
-on_documents("extract_numbers", lambda t: {"n": F.size(text.extract_numbers(t)), "found": F.array_join(text.extract_numbers(t), " ")}, None)
+on_documents("extract_numbers", lambda t: {"n": F.size(text.extract_numbers(t)), "found": F.array_join(text.extract_numbers(t), " ")}, f"{sql_count(_ASCII, NUMBER)}::INT AS n, array_to_string(regexp_extract_all({_ASCII}, '{NUMBER}'), ' ') AS found", "seeded")
+on_documents("normalize_line_endings", lambda t: {"cleaned": hashed(text.normalize_line_endings(F.replace(t, F.lit("e"), F.lit("\r\n"))))}, "md5(replace(text, 'e', chr(10))) AS cleaned")
 
-on_documents("normalize_whitespace", lambda t: {"cleaned": hashed(text.normalize_whitespace(t))}, f"md5({sql_strip(f'''regexp_replace(text, '{_SPACES}+', ' ', 'g')''')}) AS cleaned")
-on_documents("remove_blank_lines", lambda t: {"cleaned": hashed(text.remove_empty_lines(t))}, f"md5(array_to_string({sql_full('ls')}, chr(10))) AS cleaned")
-on_documents("remove_trailing_whitespace", lambda t: {"cleaned": hashed(text.remove_trailing_whitespace(t))}, rf"md5(array_to_string(list_transform(ls, lambda x: regexp_replace(x, '{_SPACES}+\z', '')), chr(10))) AS cleaned")
-on_documents("clean_text", lambda t: {"cleaned": hashed(text.clean_text(t))}, rf"md5({sql_strip(f'''regexp_replace(regexp_replace(text, '[\x5cx00-\x5cx08\x5cx0b\x5cx0c\x5cx0e-\x5cx1f\x5cx7f-\x5cx{{9f}}]', '', 'g'), '{_SPACES}+', ' ', 'g')''')}) AS cleaned")
+on_documents("normalize_whitespace", lambda t: {"cleaned": hashed(text.normalize_whitespace(t))}, f"md5({sql_strip(f'''regexp_replace(text, '{_SPACES}+', ' ', 'g')''')}) AS cleaned", "seeded")
+on_documents("remove_blank_lines", lambda t: {"cleaned": hashed(text.remove_empty_lines(t))}, f"md5(array_to_string({sql_full('ls')}, chr(10))) AS cleaned", "seeded")
+on_documents("remove_trailing_whitespace", lambda t: {"cleaned": hashed(text.remove_trailing_whitespace(t))}, rf"md5(array_to_string(list_transform(ls, lambda x: regexp_replace(x, '{_SPACES}+\z', '')), chr(10))) AS cleaned", "seeded")
+on_documents("clean_text", lambda t: {"cleaned": hashed(text.clean_text(t))}, rf"md5({sql_strip(f'''regexp_replace(regexp_replace(text, '[\x5cx00-\x5cx08\x5cx0b\x5cx0c\x5cx0e-\x5cx1f\x5cx7f-\x5cx{{9f}}]', '', 'g'), '{_SPACES}+', ' ', 'g')''')}) AS cleaned", "seeded")
 on_documents("truncate_text", lambda t: {"cut": text.truncate_text(t, 80)}, "CASE WHEN length(text) <= 80 THEN text ELSE left(text, 77) || '...' END AS cut")
-on_documents("wrap_text", lambda t: {"wrapped": hashed(text.wrap_text(t, 80))}, None)
+_FILL = f"list_reduce(list_filter(string_split_regex(x, '{_SPACES}+'), lambda w: w <> ''), lambda acc, w: CASE WHEN length(list_last(string_split(acc, chr(10)))) + 1 + length(w) > 80 THEN acc || chr(10) || w ELSE acc || ' ' || w END)"
+on_documents("wrap_text", lambda t: {"wrapped": hashed(text.wrap_text(t, 80))}, f"md5(array_to_string(list_filter(list_transform(ls, lambda x: CASE WHEN length(x) <= 80 THEN x WHEN {sql_blank('x')} THEN NULL ELSE {_FILL} END), lambda x: x IS NOT NULL), chr(10))) AS wrapped")
 on_documents("sentences_and_paragraphs", lambda t: {"sentences": F.size(text.extract_sentences(t)), "paragraphs": F.size(text.extract_paragraphs(t))}, f"{_SENTENCES}::INT AS sentences, len(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> ''))::INT AS paragraphs")
 on_documents("detect_script_language", lambda t: {"script": text.detect_language(t)}, "CASE WHEN length(text) = 0 THEN 'unknown' " + " ".join(f"WHEN {sql_count('text', p)}::DOUBLE / greatest(1, length(text)) > 0.1 THEN '{n}'" for n, p in text._SCRIPTS.items()) + " ELSE 'english' END AS script")
 on_documents("encoding_info", lambda t: {c: text.encoding_info(t)[c] for c in ("detected_encoding", "is_ascii", "has_unicode", "has_bom")}, r"'utf-8' AS detected_encoding, strlen(text) = length(text) AS is_ascii, strlen(text) <> length(text) AS has_unicode, starts_with(text, chr(65279)) AS has_bom")
 
 
-@query()
+@query(f"WITH {made.SEEDED_SQL}, {rec_of('seeded')} SELECT doc_id, {sql_count('text', WEB)}::INT AS urls, {sql_count('text', MAIL)}::INT AS emails, {sql_count(_ASCII, NUMBER)}::INT AS numbers FROM rec")
 def text_patterns(spark, sf):
-    p = table(spark, sf, "documents").select("doc_id", text.text_patterns(F.col("text"), F.col("lang")).alias("p"))
+    p = made.seeded(table(spark, sf, "documents")).select("doc_id", text.text_patterns(F.col("text"), F.col("lang")).alias("p"))
     return p.select("doc_id", *[F.size(F.col("p")[k]).alias(k) for k in ("urls", "emails", "numbers")])
 
 
+def _code_patterns(language: str) -> None:
+    """What the text features find in code of one language."""
+    found = text._CODE[language]
+    counts = ", ".join(f"{sql_count('text', p)}::INT AS {k}" for k, (p, _) in found.items())
+
+    def f(spark, sf):
+        p = made.in_language(table(spark, sf, "documents"), language).select("doc_id", text.text_patterns(F.col("text"), F.lit(language)).alias("p"))
+        return p.select("doc_id", *[F.size(F.col("p")[k]).alias(k) for k in found])
+
+    query(f"WITH {made.in_language_sql(language)} SELECT doc_id, {counts} FROM seeded", f"{language}_patterns")(f)
+
+
+for _l in ("python", "javascript", "java"):
+    _code_patterns(_l)
+
+
 # ---- hashes
 
 on_documents("hashes_all", lambda t: {a: text_hash for a, text_hash in ((a, hashing.calculate_hash(t, a)) for a in ("md5", "sha1", "sha256"))}, "md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256")
 on_documents("hash_sha512", lambda t: {"sha512": hashing.calculate_hash(t, "sha512")}, None)
 on_documents("content_fingerprint", lambda t: {"fingerprint": hashing.content_fingerprint(t)}, f"sha256(lower(regexp_replace(text, '{_SPACES}+', '', 'g'))) AS fingerprint")
 on_documents("checksum", lambda t: {"checksum": hashing.checksum(t)}, "(coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))), 0) % 65536)::BIGINT AS checksum")
-on_documents("structural_hash", lambda t: {"hash": hashing.structural_hash(t)}, None)
-on_documents("similarity_hash", lambda t: {"hash": hashing.similarity_hash(t)}, None)
+_MEAN = lambda total, n: f"printf('%.2f', {sql_ratio(total, n)})"
+_INDENTS = f"list_sum(list_transform({sql_full('ls')}, lambda x: length(x) - length(regexp_replace(x, '\\A{_SPACES}+', ''))))"
+on_documents("structural_hash", lambda t: {"hash": hashing.structural_hash(t)}, f"sha256('lines:' || len(ls) || ',non_empty:' || len({sql_full('ls')}) || ',avg_length:' || {_MEAN('list_sum(list_transform(ls, lambda x: length(x)))', 'len(ls)')} || ',avg_indent:' || {_MEAN(_INDENTS, f'len({sql_full(chr(108) + chr(115))})')}) AS hash", "seeded")
+
+
+@query("SELECT conv_id, turn, sha256(CASE WHEN length(text) < 3 THEN text ELSE array_to_string(list_transform(range(1, length(text) - 1), lambda i: md5(substr(text, i::BIGINT, 3))), '') END) AS hash FROM conversations")
+def similarity_hash(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", hashing.similarity_hash(F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, doc_id % 2 = 0 AS verified FROM documents")
+def multiple_and_verified_hashes(spark, sf):
+    t = F.col("text")
+    expected = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2(t, 256))).otherwise("0")
+    return table(spark, sf, "documents").select("doc_id", hashing.multiple_hashes(t).alias("h"), hashing.verify_hash(t, expected).alias("verified")).select("doc_id", "h.md5", "h.sha1", "h.sha256", "verified")
+
+
 
 # ---- personal data
 
 for _k in ("email", "ip_address", "id_card", "datetime", "url", "employee_id"):
     _p, _fold, _ = PERSONAL[_k]
-    on_documents(f"pii_count_{_k}", (lambda k: lambda t: {"n": masking.personal_counts(t)[k]})(_k), f"{sql_count('text', ('(?i)' if _fold else '') + _p)}::INT AS n")
-for _k in ("phone", "person_name"):
-    on_documents(f"pii_count_{_k}", (lambda k: lambda t: {"n": masking.personal_counts(t)[k]})(_k), None)
+    on_documents(f"pii_count_{_k}", (lambda k: lambda t: {"n": masking.personal_counts(t)[k]})(_k), f"{sql_count('text', ('(?i)' if _fold else '') + _p)}::INT AS n", "seeded")
+_LATIN_NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+on_documents("pii_count_person_name", lambda t: {"n": masking.personal_counts(t)["person_name"]}, f"{sql_count(_ASCII, _LATIN_NAME)}::INT AS n", "seeded")
+on_documents("pii_count_organization", lambda t: {"n": masking.organization_count(t)}, f"{sql_count(_ASCII, '(?i)' + PERSONAL['organization'][0])}::INT AS n", "seeded")
+on_documents("pii_count_phone", lambda t: {"n": masking.personal_counts(t)["phone"]}, None, "seeded")
 on_documents("pii_mask", lambda t: {"masked": hashed(masking.mask_text(t))}, None)
 
 
@@ -297,15 +379,15 @@ def _structure_sql(opener: str) -> str:
     return f"md5(array_to_string(list_transform(list_filter(ls, lambda x, i: {stays}), lambda x: CASE WHEN {sql_blank('x')} THEN '' ELSE x END), chr(10))) AS cleaned"
 
 
-on_documents("preserve_structure_python", lambda t: {"cleaned": hashed(cleaning.preserve_structure(t, F.lit("python")))}, _structure_sql(":"))
-on_documents("preserve_structure_javascript", lambda t: {"cleaned": hashed(cleaning.preserve_structure(t, F.lit("javascript")))}, _structure_sql("{"))
+on_documents("preserve_structure_python", lambda t: {"cleaned": hashed(cleaning.preserve_structure(t, F.lit("python")))}, _structure_sql(":"), "seeded")
+on_documents("preserve_structure_javascript", lambda t: {"cleaned": hashed(cleaning.preserve_structure(t, F.lit("javascript")))}, _structure_sql("{"), "seeded")
 for _l, _starts in cleaning.IMPORTS.items():
     _any = " OR ".join(f"starts_with({sql_strip('x')}, '{p}')" for p in _starts)
-    on_documents(f"remove_imports_{_l}", (lambda x: lambda t: {"cleaned": hashed(cleaning.remove_imports(t, F.lit(x)))})(_l), f"md5(array_to_string(list_filter(ls, lambda x: NOT ({_any})), chr(10))) AS cleaned")
-on_documents("generic_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("text")))}, "md5(regexp_replace(regexp_replace(text, '(?m)^#.*$', '', 'g'), '(?m)^//.*$', '', 'g')) AS cleaned")
-on_documents("css_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("css")))}, r"md5(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g')) AS cleaned")
-on_documents("c_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("c")))}, r"md5(regexp_replace(regexp_replace(text, '(?m)//.*$', '', 'g'), '(?s)/\*.*?\*/', '', 'g')) AS cleaned")
-on_documents("python_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("python")))}, None)
+    on_documents(f"remove_imports_{_l}", (lambda x: lambda t: {"cleaned": hashed(cleaning.remove_imports(t, F.lit(x)))})(_l), f"md5(array_to_string(list_filter(ls, lambda x: NOT ({_any})), chr(10))) AS cleaned", "seeded")
+on_documents("generic_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("text")))}, "md5(regexp_replace(regexp_replace(text, '(?m)^#.*$', '', 'g'), '(?m)^//.*$', '', 'g')) AS cleaned", "seeded")
+on_documents("css_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("css")))}, r"md5(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g')) AS cleaned", "seeded")
+on_documents("c_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("c")))}, r"md5(regexp_replace(regexp_replace(text, '(?m)//.*$', '', 'g'), '(?s)/\*.*?\*/', '', 'g')) AS cleaned", "seeded")
+on_documents("python_comment_strip", lambda t: {"cleaned": hashed(cleaning.remove_comments(t, F.lit("python")))}, "md5(array_to_string(list_transform(ls, lambda x: regexp_replace(x, '#.*$', '')), chr(10))) AS cleaned", "seeded")
 
 
 @query("SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS cleaned FROM pages")
@@ -321,27 +403,56 @@ def cleaning_stats(spark, sf):
     return out.withColumn("compression_ratio", F.round("compression_ratio", 6))
 
 
-@query()
+_LINES_OUT = lambda source, keep: f"array_to_string(list_filter({sql_lines(source)}, lambda x: {keep}), chr(10))"
+_NO_COMMENTS = r"""CASE WHEN language = 'python' THEN array_to_string(list_transform(ls, lambda x: regexp_replace(x, '#.*$', '')), chr(10)) WHEN language IN ('javascript', 'typescript', 'java', 'cpp', 'c') THEN regexp_replace(regexp_replace(text, '(?m)//.*$', '', 'g'), '(?s)/\*.*?\*/', '', 'g')
+  WHEN language = 'html' THEN regexp_replace(text, '(?s)<!--.*?-->', '', 'g') WHEN language = 'css' THEN regexp_replace(text, '(?s)/\*.*?\*/', '', 'g') ELSE regexp_replace(regexp_replace(text, '(?m)^#.*$', '', 'g'), '(?m)^//.*$', '', 'g') END"""
+_BEGINS = lambda p: f"starts_with({sql_strip('x')}, '{p}')"
+_NO_IMPORTS = "CASE " + " ".join(f"WHEN language = '{k}' THEN {_LINES_OUT('b', 'NOT (' + ' OR '.join(_BEGINS(p) for p in v) + ')')}" for k, v in cleaning.IMPORTS.items()) + " ELSE b END"
+
+
+@query(f"""WITH {CODE}, one AS (SELECT *, {_NO_COMMENTS} AS a FROM rec), two AS (SELECT *, {_LINES_OUT('a', f"regexp_matches(x, '[^{_SPACES[1:-1]}]')")} AS b FROM one)
+SELECT path, md5(CASE WHEN is_binary THEN text ELSE {_NO_IMPORTS} END) AS content, CASE WHEN NOT is_binary THEN 'remove_comments,remove_blank_lines,remove_imports,preserve_structure' END AS rules FROM two""")
 def clean_records_full(spark, sf):
-    out = cleaning.clean_records(records(spark, sf), cleaning.Rules(True, True, False, True, True))
+    out = cleaning.clean_records(code(spark, sf), cleaning.Rules(True, True, False, True, True))
     return out.select("path", F.md5("content").alias("content"), F.array_join("cleaning_rules", ",").alias("rules"))
 
 
 # ---- structure, issues, scores, rollups
 
 
+_FIELDS = ("classes", "functions", "methods", "imports", "includes")
+_BRANCHES = " + ".join(sql_count("text", p.pattern) for p in structure._BRANCH_SIGNS)
+_PY_OK = "doc_id % 4 <> 3"  # of the others' code Python's parser makes nothing
+_PY = {"classes": "1", "functions": "doc_id % 4", "imports": "3", "complexity": "2 * (doc_id % 4) + 1"}
+
+
+def _parsed_sql(language: str, missing: str) -> dict[str, str]:
+    """What the structure of made-up code holds; `missing` where it has no such field."""
+    if language == "python":
+        return {k: f"(CASE WHEN {_PY_OK} THEN {_PY[k]} ELSE {missing} END)" if k in _PY else missing for k in (*_FIELDS, "complexity")}
+    own = structure.PATTERNS[language]
+    return {k: sql_count("text", own[k][0]) if k in own else missing for k in _FIELDS} | {"complexity": f"({_BRANCHES})"}
+
+
 def _structure(language: str) -> None:
     def f(spark, sf):
         s = structure.code_structure(F.col("text"), F.lit(language))
-        out = table(spark, sf, "documents").select("doc_id", s.alias("s"))
-        return out.select("doc_id", *[F.coalesce(F.size(F.col("s")[c]), F.lit(-1)).alias(c) for c in ("classes", "functions", "imports")], "s.complexity")
+        out = made.in_language(table(spark, sf, "documents"), language).select("doc_id", s.alias("s"))
+        return out.select("doc_id", *[F.coalesce(F.size(F.col("s")[c]), F.lit(-1)).alias(c) for c in _FIELDS], F.coalesce("s.complexity", F.lit(-1)).alias("complexity"))
 
-    query(None, f"{language}_structure")(f)
+    query(f"WITH {made.in_language_sql(language)} SELECT doc_id, " + ", ".join(f"{v}::INT AS {k}" for k, v in _parsed_sql(language, "-1").items()) + " FROM seeded", f"{language}_structure")(f)
 
 
 for _l in ("python", "javascript", "java", "cpp"):
     _structure(_l)
 
+
+def _of_language(field: str) -> str:
+    return "CASE language " + " ".join(f"WHEN '{x}' THEN {_parsed_sql(x, '0')[f]}" for x in ("python", *structure.PATTERNS) for f in [{"java": {"functions": "methods"}, "c": {"imports": "includes"}, "cpp": {"imports": "includes"}}.get(x, {}).get(field, field)]) + " ELSE 0 END"
+
+
+_STRUCTURED = f"structured AS (SELECT *, {', '.join(f'{_of_language(f)} AS {f}' for f in ('classes', 'functions', 'imports'))} FROM lined WHERE NOT is_binary)"
+
 on_documents("generic_structure", lambda t: {c: structure.code_structure(t, F.lit("text"))[c] for c in ("total_lines", "non_empty_lines", "complexity")}, f"len(ls)::INT AS total_lines, len({sql_full('ls')})::INT AS non_empty_lines, len({sql_full('ls')})::INT AS complexity")
 
 
@@ -353,29 +464,40 @@ def long_line_issues(spark, sf):
 _BLANK_RUNS = f"SELECT doc_id, unnest(list_filter(range(3, len(ls) + 1), lambda i: ({sql_blank('ls[i]')}) AND ({sql_blank('ls[i - 1]')}) AND ({sql_blank('ls[i - 2]')})))::INT AS line FROM rec"
 
 
-@query(f"WITH {REC} {_BLANK_RUNS}")
+@query(f"WITH {made.SEEDED_SQL}, {rec_of('seeded')} {_BLANK_RUNS}")
 def blank_run_issues(spark, sf):
-    return analysis.exploded_issues(records(spark, sf)).where("type = 'too_many_empty_lines'").select(F.col("ord").alias("doc_id"), "line")
+    return analysis.exploded_issues(file_records(made.seeded(table(spark, sf, "documents")))).where("type = 'too_many_empty_lines'").select(F.col("ord").alias("doc_id"), "line")
 
 
-@query("SELECT doc_id, 0 AS line FROM documents WHERE strlen(text) > 1024000")
+@query(f"WITH {made.LARGE_SQL} SELECT doc_id, 0 AS line FROM seeded WHERE strlen(text) > 1024000")
 def large_file_issues(spark, sf):
-    return analysis.exploded_issues(records(spark, sf)).where("type = 'large_file'").select(F.col("ord").alias("doc_id"), "line")
+    return analysis.exploded_issues(file_records(made.large(table(spark, sf, "documents")))).where("type = 'large_file'").select(F.col("ord").alias("doc_id"), "line")
 
 
 _ALL_ISSUES = f"""issues AS (SELECT language, doc_id, 'long_line' AS type FROM (SELECT language, doc_id, unnest(ls) AS x FROM rec) WHERE length(x) > 120
   UNION ALL SELECT language, doc_id, 'too_many_empty_lines' FROM ({_BLANK_RUNS}) JOIN rec USING (doc_id) UNION ALL SELECT language, doc_id, 'large_file' FROM rec WHERE size > 1024000)"""
-
-
-@query(f"WITH {REC}, {_ALL_ISSUES} SELECT language, type, count(*) AS n FROM issues GROUP BY ALL")
+_INDENT = lambda x: f"(length({x}) - length(regexp_replace({x}, '\\A{_SPACES}+', '')))"
+_STARTS = lambda words: "'^(?:" + "|".join(words) + ")'"
+#: doc_id, seq, line and type of the issues of made-up code, by kind and then by line.
+_CODE_ISSUES = f"""lined_at AS (SELECT doc_id, language, ls, unnest(range(1, len(ls) + 1)) AS i FROM rec WHERE NOT is_binary),
+rows AS (SELECT doc_id, language, i, ls[i] AS x, CASE WHEN i > 1 THEN ls[i - 1] END AS before, CASE WHEN i > 2 THEN ls[i - 2] END AS earlier FROM lined_at),
+found AS (SELECT doc_id, language, 1 AS kind, i, 'long_line' AS type FROM rows WHERE length(x) > 120
+  UNION ALL SELECT doc_id, language, 2, i, 'too_many_empty_lines' FROM rows WHERE {sql_blank('x')} AND {sql_blank('before')} AND {sql_blank('earlier')}
+  UNION ALL SELECT doc_id, language, 4, i, 'indentation_error' FROM rows WHERE language = 'python' AND NOT ({sql_blank('x')}) AND NOT regexp_matches(x, '^[ \t]') AND regexp_matches({sql_strip('x')}, {_STARTS(analysis._OPENERS)}) AND NOT ({sql_blank('before')}) AND ends_with(before, ':') AND {_INDENT('x')} <> {_INDENT('before')} + 4
+  UNION ALL SELECT doc_id, language, 5, i, 'missing_semicolon' FROM rows WHERE language IN ('javascript', 'typescript') AND NOT ({sql_blank('x')}) AND NOT regexp_matches({sql_strip('x')}, '[;{{}}:,]$') AND NOT regexp_matches({sql_strip('x')}, {_STARTS(analysis._STATEMENTS)})
+  UNION ALL SELECT doc_id, language, 6, 1, 'missing_package' FROM rec WHERE language = 'java' AND NOT is_binary AND NOT starts_with({sql_strip('text')}, 'package ')),
+issues AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, i) AS seq FROM found)"""
+
+
+@query(f"WITH {CODE}, {_CODE_ISSUES} SELECT language, type, count(*) AS n FROM issues GROUP BY ALL")
 def issue_type_rollup(spark, sf):
-    return analysis.issue_counts(records(spark, sf))
+    return analysis.issue_counts(code(spark, sf))
 
 
-@query()
+@query(f"WITH {CODE}, {_CODE_ISSUES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id, seq) AS rank FROM issues) SELECT language, rank::INT AS rank, type, path AS file, i::INT AS line FROM ranked JOIN (SELECT doc_id, path FROM rec) USING (doc_id) WHERE rank <= 100")
 def first_issues(spark, sf):
     """The first 100 of each language: a report."""
-    return analysis.first_issues(records(spark, sf)).select("language", "rank", "type", "file", "line")
+    return analysis.first_issues(code(spark, sf)).select("language", "rank", "type", "file", "line")
 
 
 @query("SELECT coalesce(lang, 'unknown') AS language, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY 1")
@@ -434,14 +556,32 @@ def complexity_levels(spark, sf):
     return analysis.complexity_rollup(featured(spark, sf)).withColumn("avg_complexity", F.round("avg_complexity", 6))
 
 
-@query("SELECT coalesce(lang, 'unknown') AS language, 0::BIGINT AS total_classes, 0::BIGINT AS total_functions, 0::BIGINT AS total_imports, 0::DOUBLE AS avg_classes_per_file, 0::DOUBLE AS avg_functions_per_file, 0::DOUBLE AS avg_imports_per_file FROM documents GROUP BY 1")
+@query(f"WITH {CODE}, {_STRUCTURED} SELECT language, " + ", ".join(f"sum({f})::BIGINT AS total_{f}, round(sum({f})::DOUBLE / count(*), 6) AS avg_{f}_per_file" for f in ("classes", "functions", "imports")) + " FROM structured GROUP BY language")
 def structure_rollup(spark, sf):
-    return analysis.structure_rollup(featured(spark, sf))
+    out = analysis.structure_rollup(analysis.with_features(code(spark, sf)))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("avg_")})
 
 
-@query()
+_MODULES = f"""imported AS (SELECT doc_id, language, unnest(CASE WHEN language = 'python' THEN CASE WHEN {_PY_OK} THEN ['os', 'sys', 'a.b' || doc_id] ELSE [] END WHEN language IN ('javascript', 'typescript') THEN ['m' || doc_id, 'r' || doc_id] WHEN language = 'java' THEN ['java.util.List' || doc_id] ELSE [] END) AS module FROM rec WHERE NOT is_binary),
+per AS (SELECT language, module, count(*) AS n, min(doc_id) AS first FROM imported GROUP BY ALL)"""
+
+
+@query(f"WITH {CODE}, {_MODULES} SELECT language, module, n, row_number() OVER (PARTITION BY language ORDER BY n DESC, first, CASE module[1] WHEN 'o' THEN 0 WHEN 's' THEN 1 WHEN 'a' THEN 2 WHEN 'm' THEN 0 ELSE 1 END)::INT AS rank, sum(n) OVER (PARTITION BY language)::BIGINT AS total_imports, count(*) OVER (PARTITION BY language) AS unique_imports FROM per")
 def dependency_rollup(spark, sf):
-    return analysis.dependency_rollup(featured(spark, sf))
+    return analysis.dependency_rollup(analysis.with_features(code(spark, sf)))
+
+
+@query(f"WITH {CODE} SELECT language, count(*) AS files, sum(lines)::BIGINT AS lines, sum(size)::BIGINT AS size FROM lined GROUP BY language")
+def language_totals(spark, sf):
+    return analysis.language_totals(code(spark, sf))
+
+
+@query(f"""WITH {REC}, {_READ}, s AS (SELECT {_QUALITY} AS q, {_MAINTAIN} AS mt, {_READ_SCORE} AS r, full_lines AS x FROM lined JOIN readable USING (doc_id)),
+long AS (SELECT 'quality' AS metric, q::DOUBLE AS v FROM s UNION ALL SELECT 'maintainability', mt FROM s UNION ALL SELECT 'readability', r FROM s UNION ALL SELECT 'complexity', x FROM s),
+v AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY metric) AS n FROM long)
+SELECT metric, count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, quantile_cont(v, 0.5) AS median, max(CASE WHEN place = n // 4 THEN v END) AS q1, max(CASE WHEN place = 3 * n // 4 THEN v END) AS q3, round(stddev_pop(v), 6) AS std FROM v GROUP BY metric""")
+def score_distributions(spark, sf):
+    return analysis.score_distributions(featured(spark, sf)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(f"WITH {REC}, {_ALL_ISSUES}, i AS (SELECT count(*) AS n FROM issues) SELECT count(*) AS total_files, sum(lines)::BIGINT AS total_lines, sum(size)::BIGINT AS total_size, max(i.n)::BIGINT AS total_issues, sum(full_lines)::BIGINT AS total_complexity, round(max(i.n)::DOUBLE / count(*), 6) AS avg_issues_per_file, round(sum(full_lines)::DOUBLE / count(*), 6) AS avg_complexity_per_file, count(DISTINCT language) AS language_count FROM lined, i")
@@ -449,9 +589,9 @@ def overall_rollup(spark, sf):
     return analysis.overall(featured(spark, sf)).withColumns({c: F.round(c, 6) for c in ("avg_issues_per_file", "avg_complexity_per_file")})
 
 
-@query(f"WITH {REC}, c AS (SELECT count(*) FILTER (regexp_matches(lower(path), 'test|spec')) AS t, count(*) FILTER (NOT regexp_matches(lower(path), 'test|spec')) AS s FROM rec) SELECT t AS test_files, s AS source_files, round({sql_ratio('t', 's')}, 6) AS test_ratio, round(least(100, 100 * {sql_ratio('t', 's')}), 6) AS test_coverage_estimate FROM c")
+@query(f"WITH {made.CODE_SQL}, c AS (SELECT count(*) FILTER (regexp_matches(lower(path), 'test|spec')) AS t, count(*) FILTER (NOT regexp_matches(lower(path), 'test|spec')) AS s FROM made WHERE NOT is_binary) SELECT t AS test_files, s AS source_files, round({sql_ratio('t', 's')}, 6) AS test_ratio, round(least(100, 100 * {sql_ratio('t', 's')}), 6) AS test_coverage_estimate FROM c")
 def test_coverage(spark, sf):
-    return analysis.test_coverage(records(spark, sf)).withColumns({c: F.round(c, 6) for c in ("test_ratio", "test_coverage_estimate")})
+    return analysis.test_coverage(code(spark, sf)).withColumns({c: F.round(c, 6) for c in ("test_ratio", "test_coverage_estimate")})
 
 
 # ---- sources
@@ -462,9 +602,9 @@ def file_type_filter(spark, sf):
     return table(spark, sf, "pages").select("page_id", wanted_path(F.regexp_replace("url", "[?#].*$", ""), e).alias("kept"))
 
 
-@query(f"WITH {REC} SELECT path, 'text' AS language, regexp_replace(regexp_replace(path, '[<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS name FROM rec")
+@query(f"WITH {made.CODE_SQL} SELECT path, language, regexp_replace(regexp_replace(path, '[<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS name FROM made")
 def language_by_extension(spark, sf):
-    return records(spark, sf).select("path", language_of(F.col("extension")).alias("language"), safe_filename(F.col("path")).alias("name"))
+    return code(spark, sf).select("path", language_of(F.col("extension")).alias("language"), safe_filename(F.col("path")).alias("name"))
 
 
 @query(f"WITH {REC} SELECT source_repo, count(*) AS n, sum(size)::BIGINT AS total_size FROM rec GROUP BY source_repo")
