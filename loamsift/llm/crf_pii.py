@@ -5,9 +5,10 @@ punctuation as it stands), lengths and counts, of the word and its neighbours. T
 table by gradient ascent, and decoded by Viterbi over whole lines in numpy: lines of one batch advance together, word by
 word, the longest first, so none is cut or padded.
 
-Defined results. Null and empty texts: no span. Null doc_id: spans with a null doc_id. Repeated rows: each gives its spans.
-Ties between taggings: the lower tag number. Lines of any length are decoded whole. A span never crosses a line feed.
-Empty tables give no rows; an empty training table gives a field that tags nothing. Other columns are not read.
+Defined results. Null and empty texts: no span. Null doc_id: spans with a null doc_id. Ids are of any type. Repeated rows:
+each gives its spans. Ties between taggings: the lower tag number. Lines of any length are decoded whole. A span never crosses
+a line feed. Empty tables give no rows; an empty training table gives a field that tags nothing. In a training table, unknown
+tags count as O, and sentences of any length are learnt whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import codepoints, exploded_id, range_hashes, slices, space_table, words
+from .common import codepoints, exploded_id, id_type, range_hashes, slices, space_table, words
 
 TAGS = ("O", "B-EMAIL", "B-PHONE", "I-PHONE", "B-IP", "B-CARD", "I-CARD", "B-ID")
 N_FEATURES, SLOTS = 8, 1 << 14
 MAX_TRAINING_ROWS = 200_000
-#: Signs that are taken off the end of a word, up to six.
+#: Signs that are taken off the end of a word, however many; one character always stays.
 OUTER = ",.;:!?\"'%&#$*|"
 
 
@@ -45,8 +46,9 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
     line = np.cumsum(cp == 10)[starts] if len(starts) else np.zeros(0, np.int64)
     outer = np.zeros(0x110000, bool)
     outer[[ord(c) for c in OUTER]] = True
-    for _ in range(6):
-        ends = ends - (outer[cp[ends - 1]] & (ends - starts > 1))
+    if len(starts):
+        inner = np.maximum.accumulate(np.where(outer[cp], -1, np.arange(len(cp))))  # the last place up to here that isn't such a sign
+        ends = np.maximum(starts, inner[ends - 1]) + 1
     starts = starts + (np.isin(cp[starts], [ord(c) for c in "\"'"]) & (ends - starts > 1))
     return cp, offsets, starts, ends, line
 
@@ -197,8 +199,11 @@ def labelled_table(spark: SparkSession, **options) -> DataFrame:
 
 
 def fit(labelled: DataFrame, rounds: int = 120, step: float = 0.1, l2: float = 1e-3, max_rows: int = MAX_TRAINING_ROWS) -> Field:
-    """Train on at most max_rows words (the bound of the labelled sample), whole sentences in the order of their numbers."""
-    rows = labelled.where("word is not null and tag is not null and sentence is not null").orderBy("sentence", "position", "word").limit(max_rows).collect()
+    """Train on at most max_rows words (the bound of the labelled sample), whole sentences in the order of their numbers: the
+    sentence that would go beyond the bound, and those after it, are left out."""
+    rows = labelled.where("word is not null and tag is not null and sentence is not null").orderBy("sentence", "position", "word").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        rows = [r for r in rows if r["sentence"] != rows[-1]["sentence"]]
     return train([(r["sentence"], r["word"], r["tag"]) for r in rows], rounds, step, l2)
 
 
@@ -213,14 +218,16 @@ def train(rows: list[tuple[int, str, str]], rounds: int = 120, step: float = 0.1
     for s, w, tag in rows:
         lines.setdefault(s, []).append(("".join(w.split()) or "-", tag))
     texts = [" ".join(w for w, _ in x) for x in lines.values()]
-    y = np.array([TAGS.index(t) for x in lines.values() for _, t in x])
+    y = np.array([TAGS.index(t) if t in TAGS else 0 for x in lines.values() for _, t in x])
     cp, _, starts, ends, line = tokens(texts)
     f = features(cp, starts, ends, line)
     n = np.array([len(x) for x in lines.values()])
-    first, S = np.cumsum(n) - n, int(n.max())
-    at = first[:, None] + np.arange(S)
-    real = np.arange(S) < n[:, None]
-    at = np.where(real, at, 0)
+    first = np.cumsum(n) - n
+    # sentences advance together, the longest first, so that none is padded: at word i those of `live[i]` are still going
+    order = np.argsort(-n, kind="stable")
+    begin_at, ls = first[order], n[order]
+    live = len(ls) - np.searchsorted(ls[::-1], np.arange(ls[0]), "right")
+    sentence = np.repeat(np.arange(len(n)), n)
     gold = np.zeros((len(y), L))
     gold[np.arange(len(y)), y] = 1
     pairs = np.zeros((L, L))
@@ -243,23 +250,22 @@ def train(rows: list[tuple[int, str, str]], rounds: int = 120, step: float = 0.1
 
     for k in range(1, rounds + 1):
         e, t, b = W[f].sum(1), T + bar(move), B + bar(begin)
-        E = e[at]
-        alpha, beta = np.empty((len(n), S, L)), np.zeros((len(n), S, L))
-        alpha[:, 0] = E[:, 0] + b
-        for i in range(1, S):
-            nxt = lse(alpha[:, i - 1, :, None] + t, 1) + E[:, i]
-            alpha[:, i] = np.where(real[:, i, None], nxt, alpha[:, i - 1])
-        for i in range(S - 2, -1, -1):
-            prv = lse(t[None] + (E[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-            beta[:, i] = np.where(real[:, i + 1, None], prv, 0)
-        z = lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None])
+        alpha, beta = np.empty((len(y), L)), np.zeros((len(y), L))
+        alpha[first] = e[first] + b
+        for i in range(1, ls[0]):
+            at = begin_at[: live[i]] + i
+            alpha[at] = lse(alpha[at - 1][:, :, None] + t, 1) + e[at]
+        for i in range(ls[0] - 1, 0, -1):
+            at = begin_at[: live[i]] + i
+            beta[at - 1] = lse(t[None] + (e[at] + beta[at])[:, None, :], 2)
+        z = lse(alpha[first + n - 1], 1)
+        p = np.exp(alpha + beta - z[sentence][:, None])
         gt = pairs.copy()
-        for i in range(1, S):
-            on = real[:, i]
-            q = np.exp(alpha[on, i - 1, :, None] + t + (E[on, i] + beta[on, i])[:, None, :] - z[on, None, None])
-            gt -= q.sum(0)
-        grads = (goal - spread(p[real]), gt, begins - p[:, 0].sum(0))
+        later = np.flatnonzero(inner)
+        for i in range(0, len(later), 1 << 16):
+            at = later[i : i + (1 << 16)]
+            gt -= np.exp(alpha[at - 1][:, :, None] + t + (e[at] + beta[at])[:, None, :] - z[sentence[at]][:, None, None]).sum(0)
+        grads = (goal - spread(p), gt, begins - p[first].sum(0))
         for (v, m, s), g in zip(state, grads):
             g = g / len(n) - l2 * v
             m += 0.1 * (g - m)
@@ -295,4 +301,4 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
                 ids = b["doc_id"].slice(at, len(texts)).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(names[tag], pa.string())], ["doc_id", "start", "end", "label"])
 
-    return exploded_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, start int, end int, label string")
+    return exploded_id(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, start int, end int, label string")

@@ -65,6 +65,45 @@ def test_training_gradient_raises_the_likelihood():
     assert right(many) > 0.97 and right(many) >= right(few)
 
 
+def test_training_against_all_paths():
+    """One step of ascent along the gradient of the likelihood, worked out over every path of short sentences."""
+    rows = [(0, "me", "O"), (0, "q.22@mail1.example.com", "B-EMAIL"), (1, "x", "O"), (2, "at", "O"), (2, "12.13.14.15", "B-IP"), (2, "now", "odd tag")]
+    f = C.train(rows, rounds=1, step=0.1, l2=0.0)
+    moves, begin = C.allowed()
+    L, sentences = len(C.TAGS), {}
+    for s, w, t in rows:
+        sentences.setdefault(s, []).append((w, C.TAGS.index(t) if t in C.TAGS else 0))
+    grad = np.zeros((L, L))
+    for own in sentences.values():
+        gold = [t for _, t in own]
+        paths = [p for p in itertools.product(range(L), repeat=len(own)) if begin[p[0]] and all(moves[a, b] for a, b in zip(p, p[1:]))]
+        for p in paths:  # all weights are 0 at first, so all allowed paths are alike
+            for a, b in zip(p, p[1:]):
+                grad[a, b] -= 1 / len(paths)
+        for a, b in zip(gold, gold[1:]):
+            grad[a, b] += 1
+    got = np.where(moves, f.moves, 0)
+    assert (np.sign(np.round(got, 6)) == np.sign(np.round(np.where(moves, grad, 0), 6))).all()
+
+
+def test_long_sentence_and_bound(spark):
+    rows = [(0, i, "word", "O") for i in range(6000)] + [(s, p, w, t) for s, p, w, t in C.labelled_sentences(300, seed=4) if s > 0]
+    f = C.train([(s, w, t) for s, _, w, t in rows], rounds=60)  # padded to the longest it would be 300 times 6000
+    assert ("q.22@mail1.example.com", "EMAIL") in found(f, "me q.22@mail1.example.com now")
+    table = spark.createDataFrame(rows[:20] + [(1, i, "q.22@mail1.example.com", "B-EMAIL") for i in range(30)], "sentence long, position int, word string, tag string")
+    none = C.fit(table, max_rows=40, rounds=20)  # the second sentence doesn't fit as a whole
+    assert found(none, "q.22@mail1.example.com") == []
+
+
+def test_all_outer_signs_are_taken_off(field):
+    assert found(field, "me q.22@mail1.example.com.,;:!?%%%%$$$$ now") == [("q.22@mail1.example.com", "EMAIL")] and C.tokens(["!!!!!!!!!"])[3].tolist() == [1]
+
+
+def test_string_ids(docs, field):
+    d = docs(["me q.22@mail1.example.com", "none"]).selectExpr("concat('d', doc_id) as doc_id", "text")
+    assert [tuple(r) for r in C.find_pii(d, field).collect()] == [("d0", 3, 25, "EMAIL")]
+
+
 def test_held_out_sentences(field):
     rows = C.labelled_sentences(400, seed=99)
     texts, want = {}, set()
