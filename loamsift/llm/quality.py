@@ -7,7 +7,7 @@ system. Rows held out of the fit calibrate the scores: counts by score bin, then
 Defined results. Null and empty texts: statistics of 0, scored like any other row. Null doc_id: scored, never a training
 row. Labels that are null: ignored; repeated labels: each counts. No labels, or only one class: every score is the mean
 label (null without any), and `keep` is true where there is nothing to go by. Ties of scores share one probability. Empty
-tables give no rows. Texts are read whole. Other columns are not read.
+tables give no rows. Texts are read whole. Ids are of any type; the labels' take that of the documents. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, col, exploded_id, materialize, mix, range_hashes, slices, words
+from .common import codepoints, col, exploded_id, id_type, materialize, mix, range_hashes, slices, words
 
 N_FEATURES, BANDWIDTH, RIDGE, BINS, THRESHOLD, HOLD_OUT = 256, 3.0, 1.0, 2000, 0.5, 5
-STATS = ("log_chars", "log_words", "word_length", "upper", "digit", "letter", "space", "other", "bang", "distinct", "repeat", "odd_end", "no_letter", "line_words", "letter_entropy")
+STATS = ("log_chars", "log_words", "word_length", "upper", "digit", "letter", "space", "other", "bang", "distinct", "repeat", "odd_end", "no_letter", "line_words", "character_entropy")
 
 
 @lru_cache(maxsize=1)
@@ -65,7 +65,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     comma = np.isin(cp[ends - 1], [44, 46, 59, 58]) if len(ends) else odd
     total = lambda x: np.bincount(doc, x, len(texts))
     N, M = np.maximum(1, n), np.maximum(1, m)
-    # entropy of letters: by counts over 64 classes of code points
+    # entropy of characters: by counts over 64 classes of code points
     b = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)) * 64 + (cp & 63), minlength=64 * len(texts)).reshape(-1, 64) / (N + 1)[:, None]
     entropy = -(b * np.log(np.where(b > 0, b, 1))).sum(1)
     up, low, dig, sp, oth = counts
@@ -80,7 +80,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(x)), lists], ["doc_id", "x"])
 
-    return exploded_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
+    return exploded_id(docs, id_col, text_col).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def _summed(df: DataFrame, arrays, groups: int = 16) -> np.ndarray | None:
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", n_features: int = N_FEATURES, bandwidth: float = BANDWIDTH, ridge: float = RIDGE, bins: int = BINS, seed: int = 11) -> Model | None:
     """stats: (doc_id, x). All labelled rows count; those whose hashed id falls in one of HOLD_OUT parts only calibrate."""
-    own = labels.select(col(labels, id_col).cast("long").alias("doc_id"), col(labels, label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
+    own = labels.select(col(labels, id_col).cast(id_type(stats, "doc_id")).alias("doc_id"), col(labels, label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
     rows = materialize(stats.join(own, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0), "labelled")
     k = len(STATS)
 
@@ -206,4 +206,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             p = model.probability(s)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.round(s, 6)), pa.array(np.round(p, 6)), pa.array(p >= threshold)], ["doc_id", "score", "probability", "keep"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, probability double, keep boolean")
+    return stats.mapInArrow(run, f"doc_id {id_type(stats, 'doc_id')}, score double, probability double, keep boolean")
