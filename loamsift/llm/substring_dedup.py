@@ -8,14 +8,15 @@ block by block, and a merged count never falls short of the true one. Pass 2 rea
 windows whose anchor is estimated to occur twice or more; they are grouped exactly, by anchor and fingerprint, so a window
 that the sketch overestimates is dropped here and none that repeats is lost. Runs of repeated windows then make the spans.
 
-Scale: the broadcast is the sketch, of the fixed size depth * width / 8 bytes whatever the corpus. Where a corpus outgrows
-it, more unique windows pass to the exact grouping: about 5 bytes a word at worst, and the result stays the same. Anchors
-that occur HOT times or more don't meet in one task: their windows are counted and joined one by one.
+Scale: the sketch has a cell or two for each anchor that a corpus of its bytes has, up to `max_width` cells a row, so the
+broadcast is depth * max_width / 8 bytes at most. Where a corpus outgrows it, more unique windows pass to the exact grouping:
+about 5 bytes a word at worst, and the result stays the same. Anchors that occur HOT times or more, counted exactly over all
+that passed, don't meet in one task: their windows are counted and joined one by one.
 
 Defined results. Rows with a null doc_id or text, and texts of fewer than WINDOW words: no span. Rows that share a doc_id
 are one document: a window that only they hold is not shared. Windows that overlap or touch make one span. Empty tables give
 no rows. Texts are read whole; words are runs of anything but white space, compared exactly. Other columns are not read.
-Windows are told apart by 64 bits of anchor and 32 of their own.
+Ids are of any type that has an order. Windows are told apart by 64 bits of anchor and 32 of their own.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import exploded_id, hashed_words, materialize, mix, range_hashes, slices
+from .common import exploded_id, hashed_words, id_codes, id_type, materialize, mix, range_hashes, slices
 
 WINDOW, GRAM = 50, 26
-DEPTH, WIDTH, BLOCK = 2, 1 << 27, 1 << 18
-#: An anchor that occurs so often is grouped by window instead; a partition reports those it holds LOCALLY_MANY times.
-HOT, LOCALLY_MANY, HEAVY = 100_000, 256, -1
+DEPTH, MAX_WIDTH, BLOCK = 2, 1 << 29, 1 << 18
+#: A cell for each so many bytes of text; an anchor comes about every 80 bytes.
+BYTES_PER_CELL = 32
+#: An anchor that occurs so often is grouped by window instead. So many of these, in 8 bytes each, are broadcast; more are joined.
+HOT, MOST_BROADCAST = 100_000, 1 << 20
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
 
@@ -70,18 +73,14 @@ def cells(anchors: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
 def _partial(depth: int, width: int, window: int, gram: int):
     def run(batches):
         def flush(found):
-            every = np.concatenate(found)
-            own, times = np.unique(every, return_counts=True)
-            many = times >= LOCALLY_MANY
-            heavy = (own[many].tobytes(), times[many].astype(np.int64).tobytes())
-            c, n = np.unique(np.concatenate(cells(every, depth, width)), return_counts=True)
+            c, n = np.unique(np.concatenate(cells(np.concatenate(found), depth, width)), return_counts=True)
             blocks, at = np.unique(c // BLOCK, return_index=True)
-            once, twice = [heavy[0]], [heavy[1]]
+            once, twice = [], []
             for lo, hi in zip(at, np.append(at[1:], len(c))):
                 at_, more = (c[lo:hi] % BLOCK).astype(np.int32), n[lo:hi] > 1
                 once.append(_zip(at_[~more]))
                 twice.append(_zip(at_[more]))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(HEAVY, blocks)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "once", "twice"])
 
         found, n = [], 0
         for b in batches:
@@ -105,50 +104,39 @@ def _unzip(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), np.int32))
 
 
-def _merge(hot: int):
-    """Rows sorted by block: adds the partitions' counters, which stay at 2 once there, and the counts of frequent anchors."""
+def _merge(batches):
+    """Rows sorted by block: adds the partitions' counters, which stay at 2 once there."""
+    block, seen = None, None
 
-    def run(batches):
-        block, seen, total = None, None, {}
+    def close():
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(seen >= 2, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
-        def close():
-            if block == HEAVY:
-                bits = np.array([a for a, n in total.items() if n >= hot], np.uint64).tobytes()
-            else:
-                bits = np.packbits(seen >= 2, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits], pa.binary())], ["block", "bits"])
+    for b in batches:
+        for k, once, twice in zip(b["block"].to_pylist(), b["once"].to_pylist(), b["twice"].to_pylist()):
+            if k != block:
+                if block is not None:
+                    yield close()
+                block, seen = k, np.zeros(BLOCK, np.uint8)
+            c = _unzip(once)
+            seen[c] = np.minimum(2, seen[c] + 1)
+            seen[_unzip(twice)] = 2
+    if block is not None:
+        yield close()
 
-        for b in batches:
-            for k, once, twice in zip(b["block"].to_pylist(), b["once"].to_pylist(), b["twice"].to_pylist()):
-                if k != block:
-                    if block is not None:
-                        yield close()
-                    block, seen = k, np.zeros(BLOCK, np.uint8)
-                if k == HEAVY:
-                    for a, n in zip(np.frombuffer(once, np.uint64).tolist(), np.frombuffer(twice, np.int64).tolist()):
-                        total[a] = total.get(a, 0) + n
-                    continue
-                c = _unzip(once)
-                seen[c] = np.minimum(2, seen[c] + 1)
-                seen[_unzip(twice)] = 2
-        if block is not None:
-            yield close()
 
-    return run
+def width_for(n_bytes: int, max_width: int = MAX_WIDTH) -> int:
+    """Cells a row for a corpus of so many bytes: a power of two, BLOCK at least."""
+    return min(max_width, max(BLOCK, 1 << (max(1, n_bytes // BYTES_PER_CELL) - 1).bit_length()))
 
 
-def sketch(texts: DataFrame, depth: int = DEPTH, width: int = WIDTH, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """One bit a cell, whether its merged count is 2 or more, and the anchors that occur `hot` times or more (sorted).
-    texts: (doc_id, text)."""
+def sketch(texts: DataFrame, depth: int, width: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """One bit a cell, whether its merged count is 2 or more. texts: (doc_id, text)."""
     parts = texts.mapInArrow(_partial(depth, width, window, gram), "block long, once binary, twice binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge(hot), "block long, bits binary")
-    bits, heavy = np.zeros(depth * width // 8, np.uint8), np.zeros(0, np.uint64)
-    for r in merged.toLocalIterator():  # depth * width bits in all, a fixed number
-        if r["block"] == HEAVY:
-            heavy = np.sort(np.frombuffer(r["bits"], np.uint64))
-        else:
-            bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits, heavy
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits binary")
+    bits = np.zeros(depth * width // 8, np.uint8)
+    for r in merged.toLocalIterator():  # depth * width bits in all, of which max_width is the bound
+        bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
 
 def estimated_repeated(bits: np.ndarray, anchors: np.ndarray, depth: int, width: int) -> np.ndarray:
@@ -187,24 +175,24 @@ def repeated_runs(h: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.nda
 
 
 def _arrays(t: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    """h, doc_id, first, off, windows, all windows' 32 bits."""
-    h, doc, first, off = (t[c].to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t[c].to_numpy() for c in ("h", "doc_id", "first", "off"))
+    """h, first, off, windows, all windows' 32 bits."""
+    h, first, off = (t[c].to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t[c].to_numpy() for c in ("h", "first", "off"))
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32)
     n = np.asarray(pa.compute.binary_length(t["sig"])).astype(np.int64) // 4
-    return [h.view(np.uint64), doc, first.astype(np.int64), off.astype(np.int64), n, sig]
+    return [h.view(np.uint64), first.astype(np.int64), off.astype(np.int64), n, sig]
 
 
 def _single(batches):
     """Each window as a row of its own."""
     for b in batches:
-        h, doc, first, off, n, sig = _arrays(b)
+        h, first, off, n, sig = _arrays(b)
         key, row, j = window_keys(h, off, n, sig)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row]), pa.array(first[row] + j)], ["key", "doc_id", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["doc_id"].take(pa.array(row)), pa.array(first[row] + j)], ["key", "doc_id", "s"])
 
 
 def _hot_runs(rows: DataFrame) -> DataFrame:
     """repeated_runs() for frequent anchors, by window: counts combine before the shuffle, and a join that is skewed can be split."""
-    w = rows.mapInArrow(_single, "key long, doc_id long, s long")
+    w = rows.mapInArrow(_single, f"key long, doc_id {id_type(rows, 'doc_id')}, s long")
     held = w.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
     return w.join(held, "key").select("doc_id", "s", F.col("s").alias("e"), "copies", "first_doc")
 
@@ -215,8 +203,10 @@ def _exact(batches):
     rows = 0
 
     def work(t: pa.Table):
-        out = repeated_runs(*_arrays(t))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["doc_id", "s", "e", "copies", "first_doc"])
+        h, first, off, n, sig = _arrays(t)
+        doc, ids = id_codes(t["doc_id"])
+        d, s, e, copies, least = (x.astype(np.int64) for x in repeated_runs(h, doc, first, off, n, sig))
+        return pa.RecordBatch.from_arrays([ids(d), pa.array(s), pa.array(e), pa.array(copies), ids(least)], ["doc_id", "s", "e", "copies", "first_doc"])
 
     for b in batches:
         kept.append(pa.Table.from_batches([b]))
@@ -232,33 +222,34 @@ def _exact(batches):
         yield work(pa.concat_tables(kept))
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int | None = None, max_width: int = MAX_WIDTH, hot: int = HOT) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, copies (most documents that share one of the span's windows) and
-    first_doc (the least doc_id that holds one): a row for each maximal span of windows shared between documents."""
+    first_doc (the least doc_id that holds one): a row for each maximal span of windows shared between documents.
+
+    width: cells of a row of the sketch, by default as many as the bytes of the texts call for (width_for)."""
+    spark, kind = docs.sparkSession, id_type(docs, id_col)
     texts = exploded_id(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    counted, heavy = sketch(texts, depth, width, window, gram, hot)
-    bits = docs.sparkSession.sparkContext.broadcast(counted)
+    width = width or width_for(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, max_width)
+    bits = spark.sparkContext.broadcast(sketch(texts, depth, width, window, gram))
 
     def candidates(batches):
         seen = bits.value
         for b in batches:
-            ids = b["doc_id"].to_numpy(zero_copy_only=False)
             for at, run in slices(b["text"]):
                 text, first, n, off, h, sig = anchored_windows(run, window, gram)
                 ok = estimated_repeated(seen, h, depth, width)
                 own = sig[np.repeat(ok, n)]
                 ends = np.concatenate([[0], np.cumsum(n[ok])]).astype(np.int32) * 4
                 blob = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(own.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(ids[at + text[ok]].astype(np.int64)), pa.array(first[ok].astype(np.int32)), pa.array(off[ok].astype(np.int32)), blob], ["h", "doc_id", "first", "off", "sig"])
-
-    found = texts.mapInArrow(candidates, "h long, doc_id long, first int, off int, sig binary")
-    frequent = None
-    if len(heavy):  # at most one for each `hot` anchors of the corpus
-        spark = docs.sparkSession
-        these = F.broadcast(spark.createDataFrame([(x,) for x in heavy.view(np.int64).tolist()], "h long"))
-        found = materialize(found, "windows")
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), b["doc_id"].take(pa.array(at + text[ok])), pa.array(first[ok].astype(np.int32)), pa.array(off[ok].astype(np.int32)), blob], ["h", "doc_id", "first", "off", "sig"])
+
+    found = materialize(texts.mapInArrow(candidates, f"h long, doc_id {kind}, first int, off int, sig binary"), "windows")
+    heavy = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("h"), "frequent")
+    n_heavy, frequent = heavy.count(), None
+    if n_heavy:
+        these = F.broadcast(heavy) if n_heavy <= MOST_BROADCAST else heavy
         frequent, found = _hot_runs(found.join(these, "h", "left_semi")), found.join(these, "h", "left_anti")
-    runs = found.repartition("h").sortWithinPartitions("h").mapInArrow(_exact, "doc_id long, s long, e long, copies long, first_doc long")
+    runs = found.repartition("h").sortWithinPartitions("h").mapInArrow(_exact, f"doc_id {kind}, s long, e long, copies long, first_doc {kind}")
     if frequent is not None:
         runs = runs.unionByName(frequent)
     by_doc = W.partitionBy("doc_id").orderBy("s", "e")

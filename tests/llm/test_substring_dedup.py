@@ -56,13 +56,26 @@ def test_nothing_is_lost_when_the_sketch_is_full(docs):
 
 
 def test_frequent_anchors_by_window(docs, monkeypatch):
-    monkeypatch.setattr(S, "LOCALLY_MANY", 2)
     passage = words(1, 70)
     texts = [" ".join(words(50 + i, i % 9) + passage[: 55 + i % 16] + words(90 + i, 30)) for i in range(60)] + [" ".join(["same"] * 120)] * 2 + [" ".join(words(5, 80))] * 2
-    d = docs(texts)
-    heavy = S.sketch(d.select("doc_id", "text"), width=S.BLOCK, hot=20)[1]
-    assert len(heavy) >= 1
-    assert rows(S.shared_spans(d, width=S.BLOCK, hot=20)) == rows(S.shared_spans(d, width=S.BLOCK)) == brute(enumerate(texts))
+    d, seen = docs(texts), []
+    hot_runs = S._hot_runs
+    monkeypatch.setattr(S, "_hot_runs", lambda found: seen.append(found.count()) or hot_runs(found))
+    want = brute(enumerate(texts))
+    assert rows(S.shared_spans(d, width=S.BLOCK)) == want and not seen
+    assert rows(S.shared_spans(d, width=S.BLOCK, hot=20)) == want and seen[0] >= 20  # spread over partitions, no more than 20 in any
+    monkeypatch.setattr(S, "MOST_BROADCAST", 0)
+    assert rows(S.shared_spans(d, width=S.BLOCK, hot=2)) == want
+
+
+def test_string_ids(docs):
+    p = " ".join(words(1, 60))
+    d = docs([p, "x " + p, "short", p]).selectExpr("if(doc_id = 3, null, concat('d', doc_id)) as doc_id", "text")
+    assert rows(S.shared_spans(d)) == {("d0", 0, 60, 2, "d0"), ("d1", 1, 61, 2, "d0")}
+
+
+def test_width_follows_the_bytes():
+    assert S.width_for(0) == S.BLOCK and S.width_for(1 << 30) == 1 << 25 and S.width_for(1 << 50) == S.MAX_WIDTH and S.width_for((1 << 30) + 32) == 1 << 26
 
 
 def test_awkward_rows(docs):
@@ -79,7 +92,7 @@ def test_awkward_rows(docs):
 
 def test_sketch_never_underestimates(spark, docs):
     texts = [" ".join(words(i % 5, 90)) for i in range(20)]
-    bits, _ = S.sketch(docs(texts, extra=False).select("doc_id", "text"), width=S.BLOCK)
+    bits = S.sketch(docs(texts, extra=False).select("doc_id", "text"), S.DEPTH, S.BLOCK)
     text, first, n, off, h, sig = S.anchored_windows(texts)
     counts = dict(zip(*np.unique(h, return_counts=True)))
     repeated = np.array([counts[x] > 1 for x in h])
