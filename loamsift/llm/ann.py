@@ -1,17 +1,25 @@
 """Approximate nearest neighbours by balanced posting lists, for every row as a query.
 
-Vectors are clustered to lists of about `list_size`; a vector on a boundary is replicated to several of them. The centroids
-are searched by a graph in memory. A query takes the lists whose centroids are nearly as near as the nearest one, by the
-ratio of distances, and is compared with all their members. How many lists that takes depends on the data (near vectors of
-clustered data share a few lists, those of evenly spread data many), so it is measured, for a wanted recall.
-
-Lists whose centroids lie near each other form a shard, and a query travels once to each shard that holds one of its lists,
-not once for each list. The broadcast is the centroids and their graph: at most `max_centroids`, beyond which lists grow.
+Vectors are clustered to lists of about the square root of `list_rows` times their number, up to a bound of bytes; a vector on a
+boundary is replicated to several of them. The centroids are searched by a graph in memory. A query takes the lists whose
+centroids are nearly as near as the nearest one, by the ratio of distances. How many lists that takes depends on the data
+(near vectors of clustered data share a few lists, those of evenly spread data many), so it is measured, for a wanted recall.
+
+A list is searched in one task, where its members are clustered once more: groups of members that lie beyond the k-th
+neighbour found so far, by the triangle inequality, are passed over, so within the lists taken nothing is lost. On clustered
+data a query compares with a few groups, so the work grows little faster than the number of rows; vectors that are spread
+evenly have no near groups, there any index compares a fixed share of all pairs.
+
+Scale: the centroids and their graph are broadcast, about a row for each list: one for 65 536 vectors (fewer, if they are long)
+once there are 40 million. They are fitted on a sample of FIT_ROWS for each list; every vector is placed and searched. Equal
+vectors are one point that stands for the k + 1 least of their ids, which is all that a result can hold of them, so copies,
+however many, cost one search. Lists that the sample shows to be too full are cut, by members and by queries, and each two
+parts meet in a task of their own.
 
 Defined results. Null ids and vectors, vectors of another length than the commonest (of equally common ones the greatest), and those with a null or non-finite
 element: left out, as queries and as neighbours. A row is not its own neighbour; rows that share an id are one vector (the least in
-the order of arrays). Equal distances: the least id first. Fewer than k others: as many as there are. Empty tables give no
-rows. Other columns are not read.
+the order of arrays). Equal distances: the least id first. Fewer than k others: as many as there are. Ids are of any type that
+has an order. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, materialize
+from .common import col, id_codes, id_type, materialize, typed_id
 
-K, LIST_SIZE, MAX_CENTROIDS, ROUNDS = 10, 100, 1 << 20, 5
-REPLICAS, REPLICA_RATIO, BEAM = 8, 1.3, 96
-RECALL, SAMPLE = 0.95, 256
-DEGREE, LISTS_PER_SHARD, LEAST_LISTS = 32, 16, 8
+K, LIST_ROWS, MOST_ROWS, LIST_BYTES, ROUNDS = 10, 100, 1 << 16, 1 << 26, 5
+REPLICAS, REPLICA_RATIO, BEAM = 2, 1.03, 96
+RECALL, SAMPLE, FIT_ROWS, LEAST_FIT = 0.95, 256, 64, 1 << 16
+DEGREE, LEAST_LISTS, GROUP, QUERY_BLOCK = 32, 3, 256, 512
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -146,7 +154,7 @@ def build_graph(df: DataFrame, c: np.ndarray, degree: int = DEGREE) -> Graph:
 
 
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    raw = df.select(col(df, id_col).cast("long").alias("id"), col(df, vec_col).cast("array<float>").alias("a")).where("id is not null and a is not null and size(a) > 0")
+    raw = df.select(typed_id(df, id_col).alias("id"), col(df, vec_col).cast("array<float>").alias("a")).where("id is not null and a is not null and size(a) > 0")
     raw = raw.where(~F.exists("a", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     top = raw.groupBy(F.size("a").alias("n")).count().agg(F.max_by("n", F.struct("count", "n"))).first()[0]
     dim = top or 0
@@ -158,11 +166,11 @@ def _clean(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * (4 * dim)
             yield pa.RecordBatch.from_arrays([b["id"], pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(v.tobytes())])], ["id", "v"])
 
-    return materialize(one.mapInArrow(run, "id long, v binary"), "vectors"), dim
+    return materialize(one.mapInArrow(run, f"id {id_type(df, id_col)}, v binary"), "vectors"), dim
 
 
 def cluster(vectors: DataFrame, dim: int, n_lists: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Centroids by Lloyd's rounds over all vectors, begun from those of lowest hashed id. After each round the centroids of
+    """Centroids by Lloyd's rounds over the vectors, begun from those of lowest hashed id. After each round the centroids of
     lists far below the mean move next to those of the fullest lists, which balances them."""
     start = vectors.select("v").orderBy(F.xxhash64("id"), "id").limit(n_lists).collect()
     c = np.stack([np.frombuffer(r[0], np.float32) for r in start])
@@ -224,31 +232,33 @@ def probes(g: Graph, q: np.ndarray, most: int, ratio: float, least: int = LEAST_
 def nearest_of_sample(vectors: DataFrame, dim: int, k: int, n_queries: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(query, its k nearest others) of n_queries vectors compared with all vectors. They are drawn by another hash than
     the first centroids, near which the lists would look better than they are."""
-    rows = vectors.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(n_queries).collect()
-    ids, q = np.array([r["id"] for r in rows]), np.stack([np.frombuffer(r["v"], np.float32) for r in rows])
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    rows = vectors.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(n_queries).select("v").collect()
+    q = np.stack([np.frombuffer(r["v"], np.float32) for r in rows])
+    shared = vectors.sparkSession.sparkContext.broadcast(q)
 
     def run(batches):
-        ids, q = shared.value
-        kept: list[tuple[np.ndarray, ...]] = []
+        q = shared.value
+        best = None
         for b in batches:
-            own, v = b["id"].to_numpy(), _vectors(b, dim)
+            v = _vectors(b, dim)
             d = _squared(q, v)
-            d[ids[:, None] == own[None]] = np.inf
-            near = np.argpartition(d, k - 1, 1)[:, :k] if len(own) > k else np.tile(np.arange(len(own)), (len(q), 1))
-            kept.append((np.repeat(np.arange(len(q)), near.shape[1]), own[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        if kept:
-            i, o, d = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((d, i))
-            i, o, d = i[order], o[order], d[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            ok = (place < k) & np.isfinite(d)
-            yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(o[ok]), pa.array(d[ok].astype(np.float64))], ["q", "o", "d"])
-
-    best = vectors.mapInArrow(run, "q long, o long, d double").withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "o"))).where(F.col("r") <= k)
-    found = vectors.join(F.broadcast(best.select("q", "o")), F.col("id") == F.col("o")).select("q", "v").collect()  # n_queries * k rows at most
+            i, j = np.nonzero(d <= 1e-4 * (q * q).sum(1)[:, None])
+            itself = (q[i] == v[j]).all(1)  # no other vector equals it
+            d[i[itself], j[itself]] = np.inf
+            m = min(k, len(v))
+            near = np.argpartition(d, m - 1, 1)[:, :m]
+            own = np.take_along_axis(d, near, 1), v[near]
+            best = own if best is None else tuple(np.concatenate(x, 1) for x in zip(best, own))
+            if best[0].shape[1] > k:
+                at = np.argpartition(best[0], k - 1, 1)[:, :k]
+                best = np.take_along_axis(best[0], at, 1), np.take_along_axis(best[1], at[:, :, None], 1)
+        if best is not None:
+            i, j = np.nonzero(np.isfinite(best[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[0][i, j].astype(np.float64)), pa.array([x.tobytes() for x in best[1][i, j]], pa.binary())], ["q", "d", "v"])
+
+    best = vectors.mapInArrow(run, "q long, d double, v binary").withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "v"))).where(F.col("r") <= k)
     by: dict[int, list[np.ndarray]] = {}
-    for r in found:
+    for r in best.select("q", "v").collect():  # n_queries * k rows at most
         by.setdefault(r["q"], []).append(np.frombuffer(r["v"], np.float32))
     return [(q[i], np.stack(v)) for i, v in by.items()]
 
@@ -273,98 +283,164 @@ def calibrate(g: Graph, sample: list[tuple[np.ndarray, np.ndarray]], recall: flo
     return max(LEAST_LISTS, int(at(places)) + 1), at(ratios)
 
 
-def shards_of(c: np.ndarray, per_shard: int = LISTS_PER_SHARD) -> np.ndarray:
-    """Each list's shard: centroids are halved along their widest direction until few are left together."""
-    out, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
-    while todo:
-        own = todo.pop()
-        if len(own) <= per_shard:
-            out[own] = n
-            n += 1
-            continue
-        x = c[own] - c[own].mean(0)
-        axis = x[np.argmax((x * x).sum(1))]
-        for _ in range(5):
-            axis = x.T @ (x @ axis)
-            axis /= np.linalg.norm(axis) + 1e-30
-        order = own[np.argsort(x @ axis, kind="stable")]
-        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
-    return out
-
-
-def _search_shard(k: int, dim: int):
+def groups_of(v: np.ndarray, size: int = GROUP, rounds: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(centres, members, radii) of groups of about `size` vectors."""
+    n = max(1, len(v) // size)
+    c = v[np.linspace(0, len(v) - 1, n).astype(np.int64)].astype(np.float32)
+    for last in (*[False] * rounds, True):
+        own = np.concatenate([_squared(v[i : i + 4096], c).argmin(1) for i in range(0, len(v), 4096)])
+        order = np.argsort(own, kind="stable")
+        ids, at = np.unique(own[order], return_index=True)
+        if not last:
+            c[ids] = np.add.reduceat(v[order], at, axis=0) / np.diff(np.append(at, len(own)))[:, None]
+    members = np.split(order, at[1:])
+    radii = np.array([np.sqrt(((v[m].astype(np.float64) - c[i]) ** 2).sum(1).max()) for i, m in zip(ids, members)])
+    return c[ids], members, radii
+
+
+def nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, member row, distance) of each query's k nearest members, and of all that tie with the last. A member that
+    equals the query counts too."""
+    centres, members, radii = groups_of(v)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    norm = (v * v).sum(1)
+    to = [v[m] for m in members]
+    size = [norm[m] for m in members]
+    far = np.concatenate([np.sqrt(_squared(q[i : i + 4096], centres)) for i in range(0, len(q), 4096)]) if len(q) else np.zeros((0, len(centres)))
+    near_first = np.argsort(far.argmin(1), kind="stable")
+    for i in range(0, len(q), QUERY_BLOCK):
+        block = near_first[i : i + QUERY_BLOCK]
+        x, d = q[block], far[block]
+        xx = (x * x).sum(1)
+        slack = 1e-5 * xx + 1e-30  # what single precision may be off by
+        best = np.full((len(block), k), np.inf, np.float32)
+        rows, cols, dist = [], [], []
+        bound = (d - radii[None]) * 0.9999 - 1e-4 * np.sqrt(xx)[:, None]
+
+        def look(g: int, ask: np.ndarray) -> None:
+            s = np.maximum(0, xx[ask][:, None] - 2 * x[ask] @ to[g].T + size[g])
+            every = np.concatenate([best[ask], s], 1)
+            best[ask] = np.partition(every, k - 1, 1)[:, :k] if every.shape[1] > k else every
+            a, b = np.nonzero(s <= (best[ask].max(1) * 1.0001 + slack[ask])[:, None])
+            rows.append(ask[a])
+            cols.append(members[g][b])
+            dist.append(s[a, b])
+
+        first = d.argmin(1)
+        for g in np.unique(first):
+            look(g, np.flatnonzero(first == g))
+        for g in np.argsort(np.median(d, 0), kind="stable"):
+            ask = np.flatnonzero((bound[:, g] <= np.sqrt(best.max(1))) & (first != g))
+            if len(ask):
+                look(g, ask)
+        r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+        keep = s <= best.max(1)[r] * 1.0001 + slack[r]
+        r, c = r[keep], c[keep]
+        out.append((block[r], c, np.sqrt(((x[r].astype(np.float64) - v[c]) ** 2).sum(1))))
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _search_list(k: int, dim: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, query = table["id"].to_numpy(), table["query"].to_numpy(zero_copy_only=False)
+        ids, back = id_codes(table["id"])
+        query = table["query"].to_numpy()
         v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float32).reshape(-1, dim)
-        lists = table["lists"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        n = lists.value_lengths().to_numpy()
-        row, which = np.repeat(np.arange(len(ids)), n), lists.flatten().to_numpy()
-        order = np.argsort(which, kind="stable")
-        row, which = row[order], which[order]
-        cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo, hi in zip(cut, np.append(cut[1:], len(which))):
-            own = row[lo:hi]
-            members, asks = own[~query[own]], own[query[own]]
-            if not len(members) or not len(asks):
-                continue
-            top = min(k + 1, len(members))  # one more, for the query itself
-            for i in range(0, len(asks), 2048):
-                part = asks[i : i + 2048]
-                near = _squared(v[part], v[members])
-                last = np.partition(near, top - 1, 1)[:, top - 1 : top]
-                # all that tie with the last, as far as single precision tells
-                a, b = np.nonzero(near <= last * 1.0001 + 1e-5 * (v[part] ** 2).sum(1)[:, None])
-                a, b = part[a], members[b]
-                d = ((v[a].astype(np.float64) - v[b]) ** 2).sum(1)
-                keep = ids[a] != ids[b]
-                found.append((ids[a][keep], ids[b][keep], np.sqrt(d[keep])))
-        if not sum(len(f[0]) for f in found):
-            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        a, b, d = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((b, d, a))
-        a, b, d = a[order], b[order], d[order]
-        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # a replica has exactly the same distance
-        a, b, d = a[once], b[once], d[once]
-        begin = np.maximum.accumulate(np.where(np.append(True, a[1:] != a[:-1]), np.arange(len(a)), 0))
-        best = np.arange(len(a)) - begin < k
-        return pa.table({"id": pa.array(a[best]), "other": pa.array(b[best]), "d": pa.array(d[best])})
+        asks, members = np.flatnonzero(query), np.flatnonzero(~query)
+        a, b, d = ids[:0], ids[:0], np.zeros(0)
+        if len(asks) and len(members):
+            r, c, d = nearest(v[asks], v[members], min(k + 1, len(members)))  # one more, for the query itself
+            a, b = ids[asks[r]], ids[members[c]]
+            other = a != b
+            a, b, d = a[other], b[other], d[other]
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            begin = np.maximum.accumulate(np.where(np.append(True, a[1:] != a[:-1])[: len(a)], np.arange(len(a)), 0)) if len(a) else a
+            best = np.arange(len(a)) - begin < k
+            a, b, d = a[best], b[best], d[best]
+        return pa.table({"id": back(a).cast(table["id"].type), "other": back(b).cast(table["id"].type), "d": pa.array(d, pa.float64())})
 
     return run
 
 
-def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_size: int = LIST_SIZE, max_centroids: int = MAX_CENTROIDS, rounds: int = ROUNDS, recall: float = RECALL, sample: int = SAMPLE, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO) -> DataFrame:
+def _fullness(g: Graph, sample: DataFrame, dim: int, n_sample: int, n: int, lists: int, ratio: float, replica: tuple[int, float], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Into how many parts each list's members and queries are cut, by what the sample says of all."""
+    shared = sample.sparkSession.sparkContext.broadcast(g)
+
+    def run(batches):
+        for b in batches:
+            v = _vectors(b, dim)
+            for query, at in ((False, replicas(shared.value, v, *replica)[1]), (True, probes(shared.value, v, lists, ratio)[1])):
+                i, k = np.unique(at, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([query] * len(i)), pa.array(k)], ["i", "query", "k"])
+
+    out = np.ones((2, len(g.c)))
+    for r in sample.mapInArrow(run, "i long, query boolean, k long").groupBy("i", "query").agg(F.sum("k").alias("k")).toLocalIterator():
+        out[int(r["query"]), r["i"]] = max(1, np.ceil(r["k"] / max(1, n_sample) * n / (4 * rows)))
+    return out[0].astype(np.int64), out[1].astype(np.int64)
+
+
+def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_rows: int = LIST_ROWS, most_rows: int = MOST_ROWS, rounds: int = ROUNDS, recall: float = RECALL, sample: int = SAMPLE, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO) -> DataFrame:
     """id, neighbour_id, rank, distance: the k nearest others of every vector, by Euclidean distance.
 
     recall: what share of the true neighbours the search is set to find. The number of lists and the pruning ratio follow from
     it: `sample` queries are compared with all vectors, and the lists that hold their true neighbours tell.
     """
     vectors, dim = _clean(df, id_col, vec_col)
-    n = vectors.count()
-    spark = df.sparkSession
+    kind, spark = id_type(df, id_col), df.sparkSession
+    # equal vectors are one point: the least id stands for it, with as many of the next ones as a result can hold
+    few = vectors.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
+    points = materialize(few.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "points")
+    n = points.count()
     if not n:
-        return spark.createDataFrame([], "id long, neighbour_id long, rank int, distance double")
-    c = cluster(vectors, dim, max(1, min(max_centroids, -(-n // list_size))), rounds)
-    g = build_graph(vectors, c)
-    lists, list_ratio = calibrate(g, nearest_of_sample(vectors, dim, k, sample), recall, most_replicas, replica_ratio)
-    shared = spark.sparkContext.broadcast((g, shards_of(c)))
+        return spark.createDataFrame([], f"id {kind}, neighbour_id {kind}, rank int, distance double")
+    rows = int(max(list_rows, min((n * list_rows) ** 0.5, most_rows, LIST_BYTES // (4 * dim))))
+    n_lists = -(-n // rows)
+    want = max(LEAST_FIT, FIT_ROWS * n_lists)
+    fitted, n_fit = points.select("id", "v"), n
+    if n > 1.5 * want:
+        fitted = materialize(fitted.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < int(want / n * (1 << 30))), "fit")
+        n_fit = fitted.count()
+    c = cluster(fitted, dim, min(n_lists, n_fit), rounds)
+    g = build_graph(points, c)
+    lists, list_ratio = calibrate(g, nearest_of_sample(points, dim, k, sample), recall, most_replicas, replica_ratio)
+    parts = _fullness(g, fitted, dim, n_fit, n, lists, list_ratio, (most_replicas, replica_ratio), rows)
+    shared = spark.sparkContext.broadcast((g, *parts))
 
     def place(batches):
         for b in batches:
-            g, shard = shared.value
+            g, member_parts, query_parts = shared.value
             v = _vectors(b, dim)
+            salt = b["salt"].to_numpy()
             for query, (r, at) in ((False, replicas(g, v, most_replicas, replica_ratio)), (True, probes(g, v, lists, list_ratio))):
-                s = shard[at]
-                order = np.lexsort((s, r))
-                r, s, at = r[order], s[order], at[order]
-                cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1])))
-                which = pa.ListArray.from_arrays(np.append(cut, len(r)).astype(np.int32), pa.array(at.astype(np.int64)))
-                rows = pa.array(r[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(s[cut]), pa.array([query] * len(cut)), b["id"].take(rows), which, b["v"].take(rows)], ["shard", "query", "id", "lists", "v"])
-
-    sent = vectors.mapInArrow(place, "shard long, query boolean, id long, lists array<long>, v binary")
-    found = sent.groupBy("shard").applyInArrow(_search_shard(k, dim), "id long, other long, d double")
+                own, other = (query_parts, member_parts) if query else (member_parts, query_parts)
+                mine = salt[r] % own[at]
+                times = other[at]
+                r, at, mine = np.repeat(r, times), np.repeat(at, times), np.repeat(mine, times)
+                theirs = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                member, asks = (theirs, mine) if query else (mine, theirs)
+                for i in range(0, len(r), 20_000):
+                    part = slice(i, i + 20_000)
+                    chosen = pa.array(r[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int64)), pa.array(member[part].astype(np.int64)), pa.array(asks[part].astype(np.int64)), pa.array(np.full(len(chosen), query)), b["id"].take(chosen), b["v"].take(chosen)], ["list", "member", "asks", "query", "id", "v"])
+
+    sent = points.select("id", "v", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30)).alias("salt")).mapInArrow(place, f"list long, member long, asks long, query boolean, id {kind}, v binary")
+    spread = max(spark.sparkContext.defaultParallelism, min(2 * n_lists, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a number of its own: a list is few bytes but much work, so tasks aren't to be joined by their size
+    found = sent.repartition(spread, "list", "member", "asks").groupBy("list", "member", "asks").applyInArrow(_search_list(k, dim), f"id {kind}, other {kind}, d double")
     best = found.groupBy("id", "other").agg(F.min("d").alias("d"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("other").alias("neighbour_id"), "rank", F.round("d", 6).alias("distance"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    if n < vectors.count():
+        best = _expanded(best, points, vectors, k)
+    return best.select("id", F.col("other").alias("neighbour_id"), "rank", F.round("d", 6).alias("distance"))
+
+
+def _expanded(best: DataFrame, points: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """From the neighbours of points those of all ids: each point brings the ids it stands for, and its copies lie at no distance."""
+    ids = points.select(F.col("id").alias("other"), F.col("ids"))
+    near = best.select("id", "other", "d").unionByName(points.where("size(ids) > 1").select("id", F.col("id").alias("other"), F.lit(0.0).alias("d")))
+    near = near.join(ids, "other").select(F.col("id").alias("point"), "d", F.explode("ids").alias("other"))
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("point").orderBy("d", "other"))).where(F.col("r") <= k + 1).select("point", "d", "other")
+    own = vectors.join(points.select(F.col("id").alias("point"), "v"), "v").select("id", "point")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
+    return own.join(near, "point").where("id <> other").withColumn("rank", rank).where(F.col("rank") <= k)

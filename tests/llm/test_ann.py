@@ -34,7 +34,7 @@ def test_recall_of_every_row_against_brute_force(spark, kind):
     if kind == "clusters":
         x = x * 0.3 + r.normal(size=(8, dim)).astype(np.float32)[r.integers(0, 8, n)]
     ids = np.arange(n) * 7
-    got, want = collected(A.all_neighbours(frame(spark, ids.tolist(), x.tolist()))), exact(ids, x, 10)
+    got, want = collected(A.all_neighbours(frame(spark, ids.tolist(), x.tolist()), list_rows=20)), exact(ids, x, 10)
     recall = np.mean([len({i for _, i in got[q]} & {i for _, i in w}) / 10 for q, w in want.items()])
     assert set(got) == set(want) and all(len(g) == 10 for g in got.values()) and recall >= 0.95
     for q, g in got.items():
@@ -69,6 +69,48 @@ def test_lists_are_balanced(spark):
     assert size.max() < 8 * size.mean()
 
 
+@pytest.mark.parametrize("kind", ["clusters", "uniform", "grid", "one place"])
+def test_search_of_a_list_is_exact(kind):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(2500, 6)).astype(np.float32)
+    if kind == "clusters":
+        x = x * 0.01 + r.normal(size=(9, 6)).astype(np.float32)[r.integers(0, 9, len(x))]
+    if kind == "grid":  # many ties
+        x = np.unique(r.integers(0, 4, (2500, 6)).astype(np.float32), axis=0)
+    if kind == "one place":
+        x = np.full_like(x, 3) + (np.arange(len(x))[:, None] % 5 * 1e-3).astype(np.float32)
+    q = np.concatenate([x[:300], r.normal(size=(50, 6)).astype(np.float32)])
+    row, col, d = A.nearest(q, x, 11)
+    for i in range(len(q)):
+        full = np.sqrt(((q[i].astype(np.float64) - x) ** 2).sum(1))
+        own = {int(c): e for c, e in zip(col[row == i], d[row == i])}
+        assert len(own) == (row == i).sum() and all(own[c] == pytest.approx(full[c]) for c in own)
+        assert set(np.flatnonzero(full <= np.sort(full)[10] * (1 + 1e-7))) <= set(own)
+
+
+def test_full_lists_in_parts_lose_nothing(spark, monkeypatch):
+    """Members and queries of a list in parts give what the list as a whole gives; string ids too."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(900, 8)) * 0.02, r.normal(size=(300, 8))]).astype(np.float32)
+    df = frame(spark, range(1200), x.tolist())
+    whole = collected(A.all_neighbours(df, list_rows=10))
+    cut = A._fullness
+    monkeypatch.setattr(A, "_fullness", lambda *a: tuple(p + 2 for p in cut(*a)))
+    assert collected(A.all_neighbours(df, list_rows=10)) == whole
+    named = A.all_neighbours(df.withColumn("vec_id", F.format_string("v%04d", "vec_id")), list_rows=10)
+    assert {int(q[1:]): len(g) for q, g in collected(named).items()} == {q: len(g) for q, g in whole.items()}
+
+
+def test_many_copies_are_one_point(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(60, 4)).astype(np.float32)
+    rows = np.concatenate([x, np.repeat(x[:2], 200, 0), x[5:9]])
+    ids = r.permutation(len(rows))
+    got, want = collected(A.all_neighbours(frame(spark, ids.tolist(), rows.tolist()), list_rows=10, recall=1.0)), exact(ids, rows, 10)
+    assert set(got) == set(want)
+    assert np.mean([[i for _, i in got[q]] == [i for _, i in w] for q, w in want.items()]) > 0.97
+
+
 def test_awkward_rows(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(40, 4)).tolist()
