@@ -7,12 +7,10 @@ the sequences. SQL can't express the first two, so there is no ORACLE_SQL; tests
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loamsift.llm import langid, minhash, mixing, packing, secret_scan
-from loamsift.llm.common import shared_dir
+from loamsift.llm.common import shared_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample(docs)
+    return mixing.sample(docs, tokens=packing.count_tokens(docs["text"]))  # the tokens that packing counts
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +39,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each one's rows written to the shared folder and read again."""
+    """All stages on the documents of sf_dir, each one's rows written to the shared folder and read again; the driver deletes
+    them as it exits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = shared_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
