@@ -84,20 +84,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows and columns, with each live-looking secret in a text replaced by <SECRET:kind>.
 
-    Only documents that hold a candidate are shuffled; all others pass straight through. n_chars, if there is one, follows.
+    Only documents that may hold a candidate are shuffled, by fixed strings; all others pass straight through, so the patterns
+    run once over each text. n_chars, if there is one, follows.
     """
     text, has = col(docs, text_col), fresh(docs, "_candidates")
-    marked = docs.withColumn(has, F.size(candidates(text)))
+    marked = docs.withColumn(has, may_hold(text.cast("string")))
     live = scan(docs, id_col, text_col, with_secret=True, **options).where("verdict = 'live'")
     k, lives = fresh(docs, "_secret_id"), fresh(docs, "_lives")
     # longest first, so that a secret within another one doesn't break it up
     per_doc = live.groupBy(F.col("doc_id").alias(k)).agg(F.sort_array(F.collect_list(F.struct(F.length("secret").alias("n"), "secret", "kind")), asc=False).alias(lives))
-    touched = marked.where(F.col(has) > 0).join(per_doc, col(marked, id_col).eqNullSafe(F.col(k)), "left")
+    touched = marked.where(F.col(has)).join(per_doc, col(marked, id_col).eqNullSafe(F.col(k)), "left")
     cleaned = F.aggregate(F.coalesce(lives, F.array().cast("array<struct<n:int,secret:string,kind:string>>")), col(touched, text_col), lambda t, s: F.replace(t, s["secret"], F.concat(F.lit("<SECRET:"), s["kind"], F.lit(">"))))
     out = touched.withColumn(text_col, cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(col(out, text_col)).cast(docs.schema["n_chars"].dataType))
-    return marked.where(~(F.coalesce(F.col(has), F.lit(0)) > 0)).drop(has).unionByName(out.select(*[col(out, c) for c in docs.columns]))
+    return marked.where(~F.col(has)).drop(has).unionByName(out.select(*[col(out, c) for c in docs.columns]))
 
 
 def _sql() -> str:
