@@ -37,7 +37,7 @@ from .common import col, id_codes, id_type, materialize, typed_id
 K, LIST_ROWS, MOST_ROWS, LIST_BYTES, ROUNDS = 10, 100, 1 << 16, 1 << 26, 5
 REPLICAS, REPLICA_RATIO, BEAM = 2, 1.03, 96
 RECALL, SAMPLE, FIT_ROWS, LEAST_FIT = 0.95, 256, 64, 1 << 16
-DEGREE, LEAST_LISTS, GROUP, QUERY_BLOCK = 32, 3, 256, 512
+DEGREE, LEAST_LISTS, GROUP, QUERY_BLOCK = 32, 3, 64, 512
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -283,10 +283,27 @@ def calibrate(g: Graph, sample: list[tuple[np.ndarray, np.ndarray]], recall: flo
     return max(LEAST_LISTS, int(at(places)) + 1), at(ratios)
 
 
+def halves(v: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in parts of at most `most`: halved along their widest direction until few are left together."""
+    out, todo = [], [np.arange(len(v))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        x = v[own] - v[own].mean(0)
+        axis = x[np.argmax((x * x).sum(1))]
+        for _ in range(3):
+            axis = x.T @ (x @ axis)
+            axis = axis / (np.linalg.norm(axis) + 1e-30)
+        order = own[np.argsort(x @ axis, kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return out
+
+
 def groups_of(v: np.ndarray, size: int = GROUP, rounds: int = 2) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(centres, members, radii) of groups of about `size` vectors."""
-    n = max(1, len(v) // size)
-    c = v[np.linspace(0, len(v) - 1, n).astype(np.int64)].astype(np.float32)
+    """(centres, members, radii) of groups of about `size` vectors: parts by halving, which then settle by Lloyd's rounds."""
+    c = np.stack([v[own].mean(0) for own in halves(v, size)]).astype(np.float32)
     for last in (*[False] * rounds, True):
         own = np.concatenate([_squared(v[i : i + 4096], c).argmin(1) for i in range(0, len(v), 4096)])
         order = np.argsort(own, kind="stable")
@@ -300,43 +317,52 @@ def groups_of(v: np.ndarray, size: int = GROUP, rounds: int = 2) -> tuple[np.nda
 
 def nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, member row, distance) of each query's k nearest members, and of all that tie with the last. A member that
-    equals the query counts too."""
-    centres, members, radii = groups_of(v)
+    equals the query counts too.
+
+    Single precision only sorts out, with room for what it may be off by; it works on vectors less their mean, so that room
+    stays small far from the origin. The distances are worked out anew in double precision."""
+    mean = v.mean(0, dtype=np.float64)
+    qc, vc = ((x - mean).astype(np.float32) for x in (q, v))
+    off = 1e-5 * max(1.0, v.shape[1] / 64) ** 0.5
+    least = v.shape[1] * (2e-7 * max(np.abs(v).max(), np.abs(q).max() if len(q) else 0)) ** 2 + 1e-35
+    centres, members, radii = groups_of(vc)
+    to = [vc[m] for m in members]
+    size = [(x * x).sum(1) for x in to]
+    middle = (centres * centres).sum(1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    norm = (v * v).sum(1)
-    to = [v[m] for m in members]
-    size = [norm[m] for m in members]
-    far = np.concatenate([np.sqrt(_squared(q[i : i + 4096], centres)) for i in range(0, len(q), 4096)]) if len(q) else np.zeros((0, len(centres)))
-    near_first = np.argsort(far.argmin(1), kind="stable")
+    first_of = np.concatenate([_squared(qc[i : i + 4096], centres).argmin(1) for i in range(0, len(q), 4096)]) if len(q) else np.zeros(0, np.int64)
+    near_first = np.argsort(first_of, kind="stable")
     for i in range(0, len(q), QUERY_BLOCK):
         block = near_first[i : i + QUERY_BLOCK]
-        x, d = q[block], far[block]
+        x, first = qc[block], first_of[block]
         xx = (x * x).sum(1)
-        slack = 1e-5 * xx + 1e-30  # what single precision may be off by
         best = np.full((len(block), k), np.inf, np.float32)
         rows, cols, dist = [], [], []
-        bound = (d - radii[None]) * 0.9999 - 1e-4 * np.sqrt(xx)[:, None]
+        d = _squared(x, centres)
+        bound = np.sqrt(np.maximum(0, d - off * (xx[:, None] + middle) - least)) * 0.9999 - radii * 1.0001
 
         def look(g: int, ask: np.ndarray) -> None:
             s = np.maximum(0, xx[ask][:, None] - 2 * x[ask] @ to[g].T + size[g])
             every = np.concatenate([best[ask], s], 1)
             best[ask] = np.partition(every, k - 1, 1)[:, :k] if every.shape[1] > k else every
-            a, b = np.nonzero(s <= (best[ask].max(1) * 1.0001 + slack[ask])[:, None])
+            a, b = np.nonzero(s <= best[ask].max(1)[:, None] * 1.0001 + off * (xx[ask][:, None] + size[g]) + least)
             rows.append(ask[a])
             cols.append(members[g][b])
-            dist.append(s[a, b])
+            dist.append(s[a, b] - off * (xx[ask[a]] + size[g][b]))
 
-        first = d.argmin(1)
         for g in np.unique(first):
             look(g, np.flatnonzero(first == g))
-        for g in np.argsort(np.median(d, 0), kind="stable"):
-            ask = np.flatnonzero((bound[:, g] <= np.sqrt(best.max(1))) & (first != g))
+        bound[np.arange(len(block)), first] = np.inf
+        within = lambda b: b <= np.sqrt(best.max(1) + 2 * off * xx + least)
+        open_ = np.flatnonzero(within(bound.T).any(1))  # groups that some query of the block can't pass over
+        for g in open_[np.argsort(np.median(d[:, open_], 0), kind="stable")]:
+            ask = np.flatnonzero(within(bound[:, g]))
             if len(ask):
                 look(g, ask)
         r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
-        keep = s <= best.max(1)[r] * 1.0001 + slack[r]
+        keep = s <= best.max(1)[r] * 1.0001 + least
         r, c = r[keep], c[keep]
-        out.append((block[r], c, np.sqrt(((x[r].astype(np.float64) - v[c]) ** 2).sum(1))))
+        out.append((block[r], c, np.sqrt(((q[block[r]].astype(np.float64) - v[c]) ** 2).sum(1))))
     return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 

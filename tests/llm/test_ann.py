@@ -41,6 +41,16 @@ def test_recall_of_every_row_against_brute_force(spark, kind):
         assert [d for d, _ in g] == sorted(d for d, _ in g)
 
 
+def test_recall_of_a_small_scattered_group(spark):
+    """Dense clusters hold nearly all vectors; the few between them are found as well."""
+    r = np.random.default_rng(5)
+    dense = r.normal(size=(5, 16))[r.integers(0, 5, 3800)] + r.normal(size=(3800, 16)) * 0.02
+    x = np.concatenate([dense, r.normal(size=(200, 16))]).astype(np.float32)
+    got, want = collected(A.all_neighbours(frame(spark, range(4000), x.tolist()))), exact(np.arange(4000), x, 10)
+    recall = {q: len({i for _, i in got[q]} & {i for _, i in w}) / 10 for q, w in want.items()}
+    assert np.mean([recall[i] for i in range(3800)]) >= 0.95 and np.mean([recall[i] for i in range(3800, 4000)]) >= 0.9
+
+
 def test_table_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
@@ -69,7 +79,7 @@ def test_lists_are_balanced(spark):
     assert size.max() < 8 * size.mean()
 
 
-@pytest.mark.parametrize("kind", ["clusters", "uniform", "grid", "one place"])
+@pytest.mark.parametrize("kind", ["clusters", "uniform", "grid", "one place", "far away"])
 def test_search_of_a_list_is_exact(kind):
     r = np.random.default_rng(6)
     x = r.normal(size=(2500, 6)).astype(np.float32)
@@ -79,6 +89,8 @@ def test_search_of_a_list_is_exact(kind):
         x = np.unique(r.integers(0, 4, (2500, 6)).astype(np.float32), axis=0)
     if kind == "one place":
         x = np.full_like(x, 3) + (np.arange(len(x))[:, None] % 5 * 1e-3).astype(np.float32)
+    if kind == "far away":
+        x = (x * 0.01 + r.normal(size=(9, 6))[r.integers(0, 9, len(x))] + 300).astype(np.float32)
     q = np.concatenate([x[:300], r.normal(size=(50, 6)).astype(np.float32)])
     row, col, d = A.nearest(q, x, 11)
     for i in range(len(q)):
