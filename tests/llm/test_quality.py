@@ -89,3 +89,10 @@ def test_awkward_rows(spark, docs):
     ones = Q.score(d, labels.where("quality = 1")).collect()
     assert all(r["probability"] == 1 for r in ones)
     assert Q.score(d.limit(0), labels).collect() == []
+
+
+def test_string_ids(spark, docs):
+    d = docs([f"Good words number {i}, in a sentence." if i % 2 else "BAD!! %%% ***" for i in range(40)]).selectExpr("concat('d', doc_id) as doc_id", "text")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
+    got = {r["doc_id"]: r["keep"] for r in Q.score(d, labels).collect()}
+    assert got == {f"d{i}": bool(i % 2) for i in range(40)}
