@@ -156,8 +156,18 @@ def syllables(word: Column) -> Column:
     return let(w, lambda x: F.greatest(F.lit(1), runs(x) - F.when(F.endswith(x, F.lit("e")) & (runs(x) > 1), 1).otherwise(0)))
 
 
+_W, _NO_VOWEL = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_&&[^aeiouy]]"
+
+
 def syllable_total(t: Column) -> Column:
-    return F.aggregate(extract_words(t), F.lit(0).cast("long"), lambda a, w: a + syllables(w))
+    """The sum of syllables() over the words, by patterns on the whole text, each of which passes over it once: the runs of
+    vowels, less the words with a silent e (one behind another sign, before which there is a vowel), and one for each word
+    without a vowel."""
+    # a capital I with a dot would become two signs, of which the second is no letter
+    bare = F.regexp_replace(F.lower(F.replace(t, F.lit("İ"), F.lit("iƛ"))), rf"(?:e[sd]|ing)(?!{_W})", "")
+    n = lambda x, p: F.regexp_count(x, F.lit(p)).cast("long")
+    last_e = rf"[aeiouy]*+(?<=e)(?!{_W})"
+    return let(bare, lambda x: count_words(t).cast("long") + n(x, "[aeiouy]+") - n(x, rf"[aeiouy]{_W}*+") - n(x, _NO_VOWEL + last_e) + n(x, rf"(?<!{_W}){_NO_VOWEL}++{last_e}"))
 
 
 def readability(t: Column) -> Column:

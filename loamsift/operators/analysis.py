@@ -133,8 +133,9 @@ def dependency_rollup(featured: DataFrame, order_col: str = "ord") -> DataFrame:
     i = i.select("language", order_col, "seq", F.col("i.module").alias("module")).where("module <> ''")
     per = i.groupBy("language", "module").agg(F.count("*").alias("n"), F.min(F.struct(order_col, "seq")).alias("first"))
     rank = F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "first"))
-    all_of = W.partitionBy("language")
-    return per.select("language", "module", "n", rank.alias("rank"), F.sum("n").over(all_of).alias("total_imports"), F.count("*").over(all_of).alias("unique_imports"))
+    total = per.groupBy("language").agg(F.sum("n").alias("total_imports"), F.count("*").alias("unique_imports"))
+    ranked = per.select("language", "module", "n", rank.alias("rank"))  # a filter on rank, as for a report, reaches the window
+    return ranked.join(total, "language").select("language", "module", "n", "rank", "total_imports", "unique_imports")
 
 
 def overall(featured: DataFrame, order_col: str = "ord") -> DataFrame:

@@ -22,6 +22,8 @@ _PERSONAL = {k: (re.compile(p, re.I if fold else 0), mark) for k, (p, fold, mark
 _VOID = [re.compile(p, re.I) for p in VOID_COMMENTS]
 _NOTICES = [re.compile(p, re.I) for p in NOTICES]
 _ENDING = re.compile("(?:" + "|".join(COMPANY_ENDINGS) + r")\b", re.I)
+_ENDINGS = tuple(e.lower() for e in COMPANY_ENDINGS)
+_FOLDED = str.maketrans("İıſ", "iis")  # what equals an ASCII letter but for case, beyond lower()
 _RUN = re.compile(r"[\w\s]+")
 
 
@@ -29,7 +31,19 @@ def _organizations(text: str):
     """The pattern's matches, sought only where they can be: from a run's start to its last company ending. Elsewhere the
     pattern would try every start against the whole run."""
     p = _PERSONAL["organization"][0]
-    endings = [m.end() for m in _ENDING.finditer(text)]
+    low = text.lower() if text.isascii() else text.translate(_FOLDED).lower()
+    if len(low) != len(text):  # no letter known does that
+        endings = [m.end() for m in _ENDING.finditer(text)]
+    else:
+        ends = set()
+        for e in _ENDINGS:
+            at = low.find(e)
+            while at >= 0:
+                at += len(e)
+                if at == len(text) or not (text[at].isalnum() or text[at] == "_"):
+                    ends.add(at)
+                at = low.find(e, at)
+        endings = sorted(ends)
     if not endings:
         return
     i = 0
@@ -43,11 +57,30 @@ def _organizations(text: str):
             yield from p.finditer(text, run.start(), min(len(text), last + 1))
 
 
+_THREE, _NUMBERED = re.compile(r"\d{3}"), re.compile(r"(?:[^\W\d]|[:-])\d{3}")
+#: What a text needs for a match of a kind, quick to look for; most texts lack it and are spared the pattern.
+_SIGNS: dict[str, Callable[[str], object]] = {
+    "url": lambda t: "://" in t,
+    "email": lambda t: "@" in t,
+    "id_card": re.compile(r"\d{15}").search,
+    "phone": re.compile(r"\d{7}").search,
+    "ip_address": re.compile(r"\d\.\d").search,
+    "employee_id": lambda t: _THREE.search(t) and _NUMBERED.search(t),
+    "datetime": re.compile(r"\d[-/:]\d").search,
+}
+
+
+def _matches(kind: str, p: re.Pattern, text: str):
+    if kind == "organization":
+        return _organizations(text)
+    return p.finditer(text) if kind not in _SIGNS or _SIGNS[kind](text) else ()
+
+
 def personal_spans(text: str) -> list[tuple[int, int, str]]:
     """All matches of all kinds, by start; of equal starts the earlier kind first."""
     out = []
     for kind, (p, mark) in _PERSONAL.items():
-        out += [(m.start(), m.end(), mark) for m in (_organizations(text) if kind == "organization" else p.finditer(text))]
+        out += [(m.start(), m.end(), mark) for m in _matches(kind, p, text)]
     return sorted(out, key=lambda s: s[0])
 
 

@@ -235,6 +235,16 @@ def test_organizations_are_those_of_the_plain_pattern():
         assert [m.span() for m in masking._organizations(t)] == [m.span() for m in p.finditer(t)], t
 
 
+def test_signs_spare_no_match():
+    """What is looked for first never hides a match of the pattern itself."""
+    r = random.Random(12)
+    parts = ["http", "https://a.b/c", "x@y.org", "@", "1", "12", "123", "4567890", "110101199003074567", "13812345678", "0571-12345678", "010 1234567", "1.2.3.4", "256.1.1.1", "EMP123", "id:4567", "staff-99", "ab12", "ſTAFF123", "2024-01-15", "1/2/1999", "12:30:45", "9:1", ".", "-", "_", " ", "\n", "é", "Inc", "LIMITED", "lİmited", "Corp.", "公司", "A B", "Ann Lee", "٣٤٥٦٧٨٩"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 9)))
+        plain = sorted([(m.start(), m.end(), mark) for p, mark in masking._PERSONAL.values() for m in p.finditer(t)], key=lambda s: s[0])
+        assert masking.personal_spans(t) == plain, t
+
+
 def test_long_text_without_stops_is_quick():
     t = "word and words " * 20_000
     assert masking.mask(t) == t

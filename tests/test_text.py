@@ -103,6 +103,14 @@ def test_readability_and_syllables(one):
     assert (r[1]["flesch"], r[1]["fk"], r[2]["flesch"]) == (0, 0, 0)
 
 
+def test_syllables_of_a_text_are_those_of_its_words(one):
+    r = random.Random(8)
+    parts = ["e", "es", "ed", "ing", "a", "u", "b", "t", "the", "E", "ES", " ", " ", "-", "1", "_", "é", "İ", "y", "\n", "'s", "eee", "bre", "ae"]
+    own = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(1500)] + ["x" * 30_000 + "e", "ae" * 20_000, ""]
+    want = one(lambda t: F.aggregate(text.extract_words(t), F.lit(0).cast("long"), lambda a, w: a + text.syllables(w)), own)
+    assert one(text.syllable_total, own) == want
+
+
 def test_keywords_tie_by_first(one):
     got = one(lambda t: text.extract_keywords(t, 2), ["zeta alpha zeta beta alpha beta the the the", "", None])
     assert [(p["word"], p["count"]) for p in got[0]] == [("zeta", 2), ("alpha", 2)]
