@@ -25,8 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def once(value: Column) -> Column:
     """The value, marked so that no optimizer rule copies it to each place that reads it, such as a filter pushed below it.
 
-    The mark is a test that always holds, on a number the optimizer can't foresee (it does foresee a comparison with rand)."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    The mark is a test that always holds, on a number the optimizer can't foresee (it does foresee a comparison with rand) and
+    that streams have too."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def lines(t: Column) -> Column:

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loamsift.operators import cleaning
+from loamsift.operators import cleaning, metrics
 from loamsift.plans import pipeline
 from loamsift.plans.config import Config, coerce, execution_order, pipeline_errors
 from loamsift.sources import files, jsonl
@@ -220,13 +220,13 @@ def test_streams(spark, tmp_path):
     rows = [{"content": c, "language": "text", "ts": f"2024-01-01T00:0{m}:00Z"} for c, m in (("a\n\nb", 0), ("a\n\nb", 1), ("c", 6))]
     (src / "1.json").write_text("\n".join(map(json.dumps, rows)))
     stream = incremental.read_records(spark, str(src), "content string, language string, ts timestamp")
-    for name, df, mode in (("clean", cleaning.clean_records(stream, cleaning.Rules(remove_blank_lines=True)).select("content"), "append"), ("firsts", incremental.first_of_content(stream, "ts").select("content"), "append"), ("counts", incremental.windowed_counts(stream, "ts", "language"), "complete")):
+    for name, df, mode in (("clean", cleaning.clean_records(stream, cleaning.Rules(remove_blank_lines=True)).select("content"), "append"), ("firsts", incremental.first_of_content(stream, "ts").select("content"), "append"), ("counts", incremental.windowed_counts(stream, "ts", "language"), "complete"), ("metered", metrics.with_metrics(stream).select("action"), "append")):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
         q.processAllAvailable()
         q.stop()
     assert sorted(r[0] for r in spark.table("clean").collect()) == ["a\nb", "a\nb", "c"]
     assert sorted(r[0] for r in spark.table("firsts").collect()) == ["a\n\nb", "c"]
-    assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 2]
+    assert sorted(r["n"] for r in spark.table("counts").collect()) == [1, 2] and spark.table("metered").count() == 3
 
 
 def test_entry_points(spark):
