@@ -39,13 +39,13 @@ LANGUAGES = ("python", "javascript", "java", "cpp", "html", "css", "text", "type
 EXTENSIONS = {"python": ".py", "javascript": ".js", "java": ".java", "cpp": ".cpp", "html": ".html", "css": ".css", "text": ".txt", "typescript": ".TS", "c": ".c"}
 _N = "cast(doc_id % 4 AS int)"
 _CODE = {
-    "python": _lines("import os, sys # two {id}", "from a.b{id} import c as d", "", f"=repeat({_lines('def run{id}(a, b):', '    if a and b:', '        return a # both', '  # short')}, {_N})", "class C{id}(Base):", "    x = 1", "for y in z:", "    pass", f"=CASE WHEN doc_id % 4 = 3 THEN {_lines('if x:', 'def after(): pass')} ELSE '' END", "LIMIT = 'a#b'", "", "", "", "", "end = {id}"),
-    "javascript": _lines("import {a} from 'm{id}';", "const q = require('r{id}')", f"=repeat({_lines('function f{id}(a) {', '  if (a && b || c) { return a ? b : c; }', '}', 'const g = (x) => x')}, {_N})", "class K{id} {", "}", "let n = {id}", "call()", "// line {id}", "/* block", " of two */ run();", "url = 'http://x.org/{id}'"),
-    "java": _lines("=CASE WHEN doc_id % 2 = 0 THEN 'package p;' || chr(10) ELSE '' END", "import java.util.List{id};", "public final class J{id} {", f"=repeat({_lines('  public static int run(int a) throws E {', '    for (;;) { while (a) { switch (a) {} } }', '    try {} catch (E e) {}', '  }')}, {_N})", "  void none();", "} // end {id}"),
+    "python": _lines("import os, sys # two {id}", "from a.b{id} import c as d", "", f"=repeat({_lines('def run{id}(a, b):', '    if a and b:', '        return a # both', '  # short')}, {_N})", "class C{id}(Base):", "    x = 1", "for y in z:", "    pass", f"=CASE WHEN doc_id % 4 = 3 THEN {_lines('if x:', 'def after(): pass')} ELSE '' END", "LIMIT = 'a#b'", "# TODO later {id}", "w = 2 # ask me.{id}@mail.example.org", "", "", "", "", "end = {id}"),
+    "javascript": _lines("import {a} from 'm{id}';", "const q = require('r{id}')", f"=repeat({_lines('function f{id}(a) {', '  if (a && b || c) { return a ? b : c; }', '}', 'const g = (x) => x')}, {_N})", "class K{id} {", "}", "let n = {id}", "call()", "// line {id}", "/* block", " of two */ run();", "// fixme {id}", "/* by user.{id}@mail.example.org */", "url = 'http://x.org/{id}'"),
+    "java": _lines("=CASE WHEN doc_id % 2 = 0 THEN 'package p;' || chr(10) ELSE '' END", "import java.util.List{id};", "public final class J{id} {", f"=repeat({_lines('  public static int run(int a) throws E {', '    for (;;) { while (a) { switch (a) {} } }', '    try {} catch (E e) {}', '  }')}, {_N})", "  void none(); // todo {id}", "} // end {id}"),
     "cpp": _lines("#include <vector>", '#include "own{id}.h"', "class P{id} : public Q {", "};", f"=repeat({_lines('int add(int a, int b) const {', '  return a > b ? a : b; /* larger */', '}')}, {_N})", "// done {id}", "using namespace std;"),
-    "html": _lines("<html><!-- head {id} -->", "<p>text {id}</p>", "<!-- two", "lines --></html>"),
-    "css": _lines("/* top {id} */", ".a { color: red; } /* in", "two lines */", "#id{id} { margin: 0 }"),
-    "text": _lines("# title {id}", "// slash {id}", "plain words {id}", "=repeat('wide ', 30) || chr(10)"),
+    "html": _lines("<html><!-- head {id} -->", "<p>text {id}</p>", "<!-- two", "lines --></html>", "<!-- todo {id} -->", "<!-- of a.{id}@mail.example.org -->"),
+    "css": _lines("/* top {id} */", ".a { color: red; } /* in", "two lines */", "#id{id} { margin: 0 }", "/* hack {id} */", "/* by c.{id}@mail.example.org */"),
+    "text": _lines("# title {id}", "// slash {id}", "plain words {id}", "# TODO {id}", "=repeat('wide ', 30) || chr(10)"),
 }
 _CODE["typescript"], _CODE["c"] = _CODE["javascript"], _CODE["cpp"]
 #: Which language a document plays, its code, path and further columns.

@@ -226,6 +226,15 @@ def file_metrics_by_extension(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("average") or "percentage" in c})
 
 
+_SIGNED = "CASE language WHEN 'python' THEN 4 + 2 * (doc_id % 4) WHEN 'javascript' THEN 6 WHEN 'java' THEN 2 WHEN 'cpp' THEN 1 + doc_id % 4 WHEN 'c' THEN 1 + doc_id % 4 WHEN 'html' THEN 5 WHEN 'css' THEN 5 WHEN 'text' THEN 2 ELSE 0 END"
+
+
+@query(f"WITH {made.CODE_SQL} SELECT path, ({_SIGNED})::INT AS comment_lines FROM made")
+def comment_lines_by_extension(spark, sf):
+    """Comment lines of made-up code by the signs of its extension, which minds case: `.TS` is no known one."""
+    return code(spark, sf).select("path", metrics.comment_lines_by_extension(F.col("content"), F.col("extension")).alias("comment_lines"))
+
+
 # ---- text
 
 on_documents("text_basic_stats", lambda t: {c: F.round(text.basic_stats(t)[c], 6) if c.startswith("average") else text.basic_stats(t)[c] for c in ("total_lines", "non_empty_lines", "total_words", "total_characters", "characters_no_spaces", "average_line_length", "average_word_length", "longest_line", "shortest_line")}, f"""len(ls)::INT AS total_lines, len({sql_full('ls')})::INT AS non_empty_lines, {_WORDS}::INT AS total_words, length(text)::INT AS total_characters, length(replace(text, ' ', ''))::INT AS characters_no_spaces,
@@ -364,6 +373,12 @@ def pii_record_clean(spark, sf):
     return out.select("path", F.md5("content").alias("content"), "has_sensitive_info", "sensitive_info_removed", "comments_removed", "comments_desensitized")
 
 
+@query(f"WITH {made.CODE_SQL} SELECT path, CASE WHEN NOT is_binary THEN CASE WHEN language IN ('cpp', 'c') THEN 0 ELSE 1 END END::BIGINT AS comments_removed, CASE WHEN NOT is_binary THEN CASE WHEN language IN ('cpp', 'c', 'java', 'text') THEN 0 ELSE 1 END END::BIGINT AS comments_desensitized FROM made")
+def comment_cleaning_counts(spark, sf):
+    """Void comments removed from made-up code of each language, and comments in which personal data was masked."""
+    return masking.clean_records(code(spark, sf)).select("path", "comments_removed", "comments_desensitized")
+
+
 @query()
 def pii_totals(spark, sf):
     return masking.cleaning_totals(masking.clean_records(records(spark, sf)))
