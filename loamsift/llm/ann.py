@@ -37,7 +37,7 @@ from .common import col, id_codes, id_type, materialize, typed_id
 K, LIST_ROWS, MOST_ROWS, LIST_BYTES, ROUNDS = 10, 100, 1 << 16, 1 << 26, 5
 REPLICAS, REPLICA_RATIO, BEAM = 2, 1.03, 96
 RECALL, SAMPLE, FIT_ROWS, LEAST_FIT = 0.95, 256, 64, 1 << 16
-DEGREE, LEAST_LISTS, GROUP, QUERY_BLOCK = 32, 3, 64, 512
+DEGREE, LEAST_LISTS, GROUP, TOGETHER, QUERY_BLOCK = 32, 3, 64, 8, 512
 
 
 def _vectors(b: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -341,24 +341,31 @@ def nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         d = _squared(x, centres)
         bound = np.sqrt(np.maximum(0, d - off * (xx[:, None] + middle) - least)) * 0.9999 - radii * 1.0001
 
-        def look(g: int, ask: np.ndarray) -> None:
-            s = np.maximum(0, xx[ask][:, None] - 2 * x[ask] @ to[g].T + size[g])
+        def look(groups: list[int], ask: np.ndarray) -> None:
+            y, yy, own = (a[groups[0]] if len(groups) == 1 else np.concatenate([a[g] for g in groups]) for a in (to, size, members))
+            s = np.maximum(0, xx[ask][:, None] - 2 * x[ask] @ y.T + yy)
+            if len(groups) > 1:  # each query has seen its own nearest group
+                s[first[ask][:, None] == np.repeat(groups, [len(members[g]) for g in groups])] = np.inf
             every = np.concatenate([best[ask], s], 1)
             best[ask] = np.partition(every, k - 1, 1)[:, :k] if every.shape[1] > k else every
-            a, b = np.nonzero(s <= best[ask].max(1)[:, None] * 1.0001 + off * (xx[ask][:, None] + size[g]) + least)
+            a, b = np.nonzero((s <= best[ask].max(1)[:, None] * 1.0001 + off * (xx[ask][:, None] + yy) + least) & (s < np.inf))
             rows.append(ask[a])
-            cols.append(members[g][b])
-            dist.append(s[a, b] - off * (xx[ask[a]] + size[g][b]))
+            cols.append(own[b])
+            dist.append(s[a, b] - off * (xx[ask[a]] + yy[b]))
 
         for g in np.unique(first):
-            look(g, np.flatnonzero(first == g))
+            look([g], np.flatnonzero(first == g))
         bound[np.arange(len(block)), first] = np.inf
-        within = lambda b: b <= np.sqrt(best.max(1) + 2 * off * xx + least)
-        open_ = np.flatnonzero(within(bound.T).any(1))  # groups that some query of the block can't pass over
-        for g in open_[np.argsort(np.median(d[:, open_], 0), kind="stable")]:
-            ask = np.flatnonzero(within(bound[:, g]))
+        within = lambda b: b <= np.sqrt(best.max(1) + 2 * off * xx + least)[:, None]
+        may = within(bound)
+        open_ = np.flatnonzero(may.any(0))  # groups that some query of the block can't pass over
+        open_ = open_[np.argsort(np.median(d[:, open_], 0), kind="stable")]
+        together = TOGETHER if may[:, open_].sum() > 0.5 * len(block) * len(open_) else 1  # where most can't, several at once cost less
+        for j in range(0, len(open_), together):
+            groups = open_[j : j + together]
+            ask = np.flatnonzero(within(bound[:, groups]).any(1))
             if len(ask):
-                look(g, ask)
+                look(list(groups), ask)
         r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
         keep = s <= best.max(1)[r] * 1.0001 + least
         r, c = r[keep], c[keep]
