@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by balanced posting lists, for every row as a query.
+"""Approximate nearest neighbours by balanced posting lists: every row is indexed, every row or one in `every` is a query.
 
 Vectors are clustered to lists of about the square root of `list_rows` times their number, up to a bound of bytes; a vector on a
 boundary is replicated to several of them. The centroids are searched by a graph in memory. A query takes the lists whose
@@ -13,13 +13,14 @@ evenly have no near groups, there any index compares a fixed share of all pairs.
 Scale: the centroids and their graph are broadcast, about a row for each list: one for 65 536 vectors (fewer, if they are long)
 once there are 40 million. They are fitted on a sample of FIT_ROWS for each list; every vector is placed and searched. Equal
 vectors are one point that stands for the k + 1 least of their ids, which is all that a result can hold of them, so copies,
-however many, cost one search. Lists that the sample shows to be too full are cut, by members and by queries, and each two
-parts meet in a task of their own.
+however many, cost one search; it is a query if any of its copies is. Lists that the sample shows to be too full are cut, by
+members and by queries, and each two parts meet in a task of their own.
 
 Defined results. Null ids and vectors, vectors of another length than the commonest (of equally common ones the greatest), and those with a null or non-finite
 element: left out, as queries and as neighbours. A row is not its own neighbour; rows that share an id are one vector (the least in
 the order of arrays). Equal distances: the least id first. Fewer than k others: as many as there are. Ids are of any type that
-has an order. Empty tables give no rows. Other columns are not read.
+has an order; queries are those divisible by `every`, or where ids are no numbers those whose hash is. Empty tables, and those
+without a query, give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import col, id_codes, id_type, materialize, typed_id
 
@@ -395,8 +397,8 @@ def _search_list(k: int, dim: int):
     return run
 
 
-def _fullness(g: Graph, sample: DataFrame, dim: int, n_sample: int, n: int, lists: int, ratio: float, replica: tuple[int, float], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Into how many parts each list's members and queries are cut, by what the sample says of all."""
+def _fullness(g: Graph, sample: DataFrame, dim: int, n_sample: int, n: int, asked: int, lists: int, ratio: float, replica: tuple[int, float], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Into how many parts each list's members (n in all) and queries (`asked` in all) are cut, by what the sample says of all."""
     shared = sample.sparkSession.sparkContext.broadcast(g)
 
     def run(batches):
@@ -408,12 +410,19 @@ def _fullness(g: Graph, sample: DataFrame, dim: int, n_sample: int, n: int, list
 
     out = np.ones((2, len(g.c)))
     for r in sample.mapInArrow(run, "i long, query boolean, k long").groupBy("i", "query").agg(F.sum("k").alias("k")).toLocalIterator():
-        out[int(r["query"]), r["i"]] = max(1, np.ceil(r["k"] / max(1, n_sample) * n / (4 * rows)))
+        out[int(r["query"]), r["i"]] = max(1, np.ceil(r["k"] / max(1, n_sample) * (asked if r["query"] else n) / (4 * rows)))
     return out[0].astype(np.int64), out[1].astype(np.int64)
 
 
-def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_rows: int = LIST_ROWS, most_rows: int = MOST_ROWS, rounds: int = ROUNDS, recall: float = RECALL, sample: int = SAMPLE, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO) -> DataFrame:
-    """id, neighbour_id, rank, distance: the k nearest others of every vector, by Euclidean distance.
+def _asks(vectors: DataFrame, every: int) -> Column:
+    """Whether an id is a query."""
+    number = F.col("id") if isinstance(vectors.schema["id"].dataType, NumericType) else F.xxhash64("id")
+    return F.pmod(number, F.lit(every)) == 0 if every > 1 else F.lit(True)
+
+
+def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, list_rows: int = LIST_ROWS, most_rows: int = MOST_ROWS, rounds: int = ROUNDS, recall: float = RECALL, sample: int = SAMPLE, most_replicas: int = REPLICAS, replica_ratio: float = REPLICA_RATIO, every: int = 1) -> DataFrame:
+    """id, neighbour_id, rank, distance: the k nearest others, among all vectors, of every vector whose id is divisible by `every`, by
+    Euclidean distance.
 
     recall: what share of the true neighbours the search is set to find. The number of lists and the pruning ratio follow from
     it: `sample` queries are compared with all vectors, and the lists that hold their true neighbours tell.
@@ -422,9 +431,13 @@ def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     kind, spark = id_type(df, id_col), df.sparkSession
     # equal vectors are one point: the least id stands for it, with as many of the next ones as a result can hold
     few = vectors.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
-    points = materialize(few.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")), "points")
-    n = points.count()
-    if not n:
+    points = few.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"))
+    queries = vectors.where(_asks(vectors, every))
+    if every > 1:  # a query may be a copy beyond those that a result can hold, so its point is marked by its vector
+        points = points.join(queries.select("v").distinct().withColumn("asks", F.lit(True)), "v", "left")
+    points = materialize(points.withColumn("asks", F.coalesce("asks", F.lit(False)) if every > 1 else F.lit(True)), "points")
+    n, asked = points.agg(F.count("*"), F.count_if("asks")).first()
+    if not asked:
         return spark.createDataFrame([], f"id {kind}, neighbour_id {kind}, rank int, distance double")
     rows = int(max(list_rows, min((n * list_rows) ** 0.5, most_rows, LIST_BYTES // (4 * dim))))
     n_lists = -(-n // rows)
@@ -436,7 +449,7 @@ def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     c = cluster(fitted, dim, min(n_lists, n_fit), rounds)
     g = build_graph(points, c)
     lists, list_ratio = calibrate(g, nearest_of_sample(points, dim, k, sample), recall, most_replicas, replica_ratio)
-    parts = _fullness(g, fitted, dim, n_fit, n, lists, list_ratio, (most_replicas, replica_ratio), rows)
+    parts = _fullness(g, fitted, dim, n_fit, n, asked, lists, list_ratio, (most_replicas, replica_ratio), rows)
     shared = spark.sparkContext.broadcast((g, *parts))
 
     def place(batches):
@@ -444,19 +457,21 @@ def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             g, member_parts, query_parts = shared.value
             v = _vectors(b, dim)
             salt = b["salt"].to_numpy()
-            for query, (r, at) in ((False, replicas(g, v, most_replicas, replica_ratio)), (True, probes(g, v, lists, list_ratio))):
+            asks = np.flatnonzero(b["asks"].to_numpy(zero_copy_only=False))
+            r, at = probes(g, v[asks], lists, list_ratio)
+            for query, (r, at) in ((False, replicas(g, v, most_replicas, replica_ratio)), (True, (asks[r], at))):
                 own, other = (query_parts, member_parts) if query else (member_parts, query_parts)
                 mine = salt[r] % own[at]
                 times = other[at]
                 r, at, mine = np.repeat(r, times), np.repeat(at, times), np.repeat(mine, times)
                 theirs = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                member, asks = (theirs, mine) if query else (mine, theirs)
+                member, part_of_asks = (theirs, mine) if query else (mine, theirs)
                 for i in range(0, len(r), 20_000):
                     part = slice(i, i + 20_000)
                     chosen = pa.array(r[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int64)), pa.array(member[part].astype(np.int64)), pa.array(asks[part].astype(np.int64)), pa.array(np.full(len(chosen), query)), b["id"].take(chosen), b["v"].take(chosen)], ["list", "member", "asks", "query", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[part].astype(np.int64)), pa.array(member[part].astype(np.int64)), pa.array(part_of_asks[part].astype(np.int64)), pa.array(np.full(len(chosen), query)), b["id"].take(chosen), b["v"].take(chosen)], ["list", "member", "asks", "query", "id", "v"])
 
-    sent = points.select("id", "v", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30)).alias("salt")).mapInArrow(place, f"list long, member long, asks long, query boolean, id {kind}, v binary")
+    sent = points.select("id", "v", "asks", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30)).alias("salt")).mapInArrow(place, f"list long, member long, asks long, query boolean, id {kind}, v binary")
     spread = max(spark.sparkContext.defaultParallelism, min(2 * n_lists, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # a number of its own: a list is few bytes but much work, so tasks aren't to be joined by their size
     found = sent.repartition(spread, "list", "member", "asks").groupBy("list", "member", "asks").applyInArrow(_search_list(k, dim), f"id {kind}, other {kind}, d double")
@@ -464,16 +479,16 @@ def all_neighbours(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     rank = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
     best = best.withColumn("rank", rank).where(F.col("rank") <= k)
     if n < vectors.count():
-        best = _expanded(best, points, vectors, k)
+        best = _expanded(best, points, queries, k)
     return best.select("id", F.col("other").alias("neighbour_id"), "rank", F.round("d", 6).alias("distance"))
 
 
-def _expanded(best: DataFrame, points: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """From the neighbours of points those of all ids: each point brings the ids it stands for, and its copies lie at no distance."""
+def _expanded(best: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """From the neighbours of points those of all queries: each point brings the ids it stands for, and its copies lie at no distance."""
     ids = points.select(F.col("id").alias("other"), F.col("ids"))
-    near = best.select("id", "other", "d").unionByName(points.where("size(ids) > 1").select("id", F.col("id").alias("other"), F.lit(0.0).alias("d")))
+    near = best.select("id", "other", "d").unionByName(points.where("asks and size(ids) > 1").select("id", F.col("id").alias("other"), F.lit(0.0).alias("d")))
     near = near.join(ids, "other").select(F.col("id").alias("point"), "d", F.explode("ids").alias("other"))
     near = near.withColumn("r", F.row_number().over(W.partitionBy("point").orderBy("d", "other"))).where(F.col("r") <= k + 1).select("point", "d", "other")
-    own = vectors.join(points.select(F.col("id").alias("point"), "v"), "v").select("id", "point")
+    own = queries.join(points.select(F.col("id").alias("point"), "v"), "v").select("id", "point")
     rank = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
     return own.join(near, "point").where("id <> other").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamsift.llm import ann as A
+from loamsift.llm import queries
 
 
 def frame(spark, ids, vectors):
@@ -145,3 +146,44 @@ def test_commonest_length_is_the_dimension(spark):
     assert dim == 2 and sorted(r["id"] for r in vectors.collect()) == [1, 2, 3]
     tied = frame(spark, [0, 1], [[9.0], [0.0, 1.0]])
     assert A._clean(tied, "vec_id", "embedding")[1] == 2 and A._clean(tied.limit(0), "vec_id", "embedding")[1] == 0
+
+
+def test_queries_are_the_ids_divisible_by_100(spark):
+    """The registered query asks for these alone, against all rows."""
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32)
+    got, want = collected(queries.op4_posting_list_ann(spark, folder)), {q: w for q, w in exact(ids, x, 10).items() if q % 100 == 0}
+    assert set(got) == set(want) and all(len(g) == 10 for g in got.values())
+    assert np.mean([len({i for _, i in got[q]} & {i for _, i in w}) / 10 for q, w in want.items()]) >= 0.9
+    assert any(i % 100 for g in got.values() for _, i in g)
+
+
+@pytest.mark.parametrize("list_rows", [10, 100])
+def test_some_queries_get_what_they_get_among_all(spark, list_rows):
+    """Copies too, even where the query is beyond the ids that a result can hold; negative ids and ids of other types."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(600, 4)).astype(np.float32)
+    rows = np.concatenate([x, np.repeat(x[:3], 200, 0)])
+    ids = np.arange(len(rows)) - 400
+    df = frame(spark, ids.tolist(), rows.tolist())
+    every = collected(A.all_neighbours(df, list_rows=list_rows))
+    some = collected(A.all_neighbours(df, list_rows=list_rows, every=100))
+    assert some == {q: g for q, g in every.items() if q % 100 == 0} and len(some) == 12
+    decimals = df.withColumn("vec_id", F.col("vec_id").cast("decimal(20,0)"))
+    assert {int(q) for q in collected(A.all_neighbours(decimals, list_rows=list_rows, every=100))} == set(some)
+    named = df.withColumn("vec_id", F.format_string("v%04d", F.col("vec_id") + 400))
+    asked = {r[0] for r in named.where("pmod(xxhash64(vec_id), 100) = 0").select("vec_id").collect()}
+    assert asked and set(collected(A.all_neighbours(named, list_rows=list_rows, every=100))) == asked
+    assert A.all_neighbours(df.where("vec_id % 100 <> 0"), every=100).collect() == []
+
+
+def test_parts_of_queries_follow_their_number(spark):
+    """Queries are cut by how many there are, not by how many rows there are: each further part ships the members again."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(4000, 8)).astype(np.float32)
+    vectors, dim = A._clean(frame(spark, range(len(x)), x.tolist()), "vec_id", "embedding")
+    g = A.build_graph(vectors, x[:8].copy())
+    parts = lambda asked: A._fullness(g, vectors, dim, 4000, 4000, asked, 8, 9.0, (2, 1.03), 100)
+    (members, many), (same, few) = parts(4000), parts(40)
+    assert many.min() > 1 and (few == 1).all() and (members == same).all()
