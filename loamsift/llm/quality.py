@@ -2,11 +2,13 @@
 
 The features approximate a Gaussian kernel over the standardised statistics. Each partition of labelled rows sums its own
 normal equations; the sums are added on executors and a fixed number of them reaches the driver, which solves one small
-system. Rows held out of the fit calibrate the scores: counts by score bin, then pool-adjacent-violators.
+system. Rows held out of the fit calibrate the scores: counts by score bin, then pool-adjacent-violators, with straight lines
+over the scores between two steps, where no such row lies.
 
 Defined results. Null and empty texts: statistics of 0, scored like any other row. Null doc_id: scored, never a training
 row. Labels that are null: ignored; repeated labels: each counts. No labels, or only one class: every score is the mean
-label (null without any), and `keep` is true where there is nothing to go by. Ties of scores share one probability. Empty
+label (null without any), and `keep` is true where there is nothing to go by. Where the rows held out, or the others, lack one of
+two classes, all labelled rows take their place. Ties of scores share one probability. Empty
 tables give no rows. Texts are read whole. Ids are of any type; the labels' take that of the documents. Other columns are not read.
 """
 
@@ -102,7 +104,7 @@ class Model:
         return self.features(x) @ self.beta
 
     def probability(self, score: np.ndarray) -> np.ndarray:
-        return self.p[np.clip(np.searchsorted(self.edges, score, "right") - 1, 0, len(self.p) - 1)]
+        return np.interp(score, self.edges, self.p)
 
 
 def isotonic(score: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +119,13 @@ def isotonic(score: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.nda
     return np.array([s[0] for s in steps]), np.array([s[2] / s[1] for s in steps])
 
 
+def curve(b: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the steps over ascending bins, and the probability there: a step is level from its first bin to the end of its last."""
+    first, p = isotonic(b, n, good)
+    last = b[np.append(np.searchsorted(b, first[1:]) - 1, len(b) - 1)] + 1
+    return np.stack([first, last], 1).ravel(), np.repeat(p, 2)
+
+
 def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
 
@@ -170,11 +179,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         z, y = model.features(_matrix(b["x"])), b["y"].to_numpy()
         return np.concatenate([(z.T @ z).ravel(), z.T @ y])
 
-    use = rows.where("not held")
-    s = _summed(use.select("x", "y"), normal)
-    if s is None:
-        use = rows
-        s = _summed(use.select("x", "y"), normal)
+    both = {r["held"] for r in rows.groupBy("held").agg(F.min("y").alias("low"), F.max("y").alias("high")).collect() if r["low"] < r["high"]}
+    s = _summed((rows.where("not held") if False in both else rows).select("x", "y"), normal)
     penalty = np.eye(d) * ridge
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(s[: d * d].reshape(d, d) + penalty, s[d * d :])
@@ -184,13 +190,11 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.floor(model.score(_matrix(b["x"])) * bins).astype(np.int64)), b["y"]], ["bin", "y"])
 
-    held = rows.where("held")
-    if held.isEmpty():
-        held = rows
+    held = rows.where("held") if True in both else rows
     # scores lie near 0 to 1, so there are a few thousand bins, however many rows
     table = held.select("x", "y").mapInArrow(scored, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("good")).orderBy("bin").collect()
-    edges, p = isotonic(np.array([t[0] / bins for t in table]), np.array([t[1] for t in table], float), np.array([t[2] for t in table], float))
-    return Model(model.mean, model.scale, model.w, model.b, beta, 0.0, edges, p)
+    ends, p = curve(np.array([t[0] for t in table]), np.array([t[1] for t in table], float), np.array([t[2] for t in table], float))
+    return Model(model.mean, model.scale, model.w, model.b, beta, 0.0, ends / bins, p)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:

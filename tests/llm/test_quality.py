@@ -96,3 +96,25 @@ def test_string_ids(spark, docs):
     labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(30)], "doc_id string, quality int")
     got = {r["doc_id"]: r["keep"] for r in Q.score(d, labels).collect()}
     assert got == {f"d{i}": bool(i % 2) for i in range(40)}
+
+
+def test_scores_between_two_steps():
+    """Where no calibrating row lies the probability rises along a line, so a score just below the good ones is nearly as good."""
+    b, n, good = np.array([1, 2, 3, 90, 91]), np.array([4.0, 4, 4, 4, 4]), np.array([0.0, 1, 1, 3, 4])
+    x, p = Q.curve(b, n, good)
+    at = lambda s: np.interp(s, x, p)
+    assert at([-5, 1.5, 2, 3.9, 4]) == pytest.approx([0, 0, 0.25, 0.25, 0.25])
+    assert at([47, 89, 90, 90.9, 91, 99]) == pytest.approx([0.5, 0.75 - 0.5 / 86, 0.75, 0.75, 1, 1])
+    assert (np.diff(at(np.linspace(-1, 95, 999))) >= 0).all()
+
+
+@pytest.mark.parametrize("kind", ["held out bad", "held out good", "others good"])
+def test_rows_held_out_of_one_class(spark, docs, kind):
+    """All labelled rows count where those held out, or the others, are of one class."""
+    part = {r[0]: r[1] for r in spark.range(200).selectExpr("id", "pmod(xxhash64(id), 5) = 0").collect()}
+    held, others = [i for i in part if part[i]][:10], [i for i in part if not part[i]][:10]
+    bad = set({"held out bad": held, "held out good": others, "others good": held[::2]}[kind])
+    ids = held + others
+    d = docs(["BAD!! %%% ***" if i in bad else f"Good words number {i}, in a sentence." for i in ids], ids=ids)
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id long, quality int")
+    assert {r["doc_id"]: r["keep"] for r in Q.score(d, labels).collect()} == {i: i not in bad for i in ids}
