@@ -133,3 +133,12 @@ def test_encoding_and_basic_stats(one):
 
 def test_clean_text(one):
     assert one(text.clean_text, ["a\x00\x07b  c\r\nd \x7f"]) == ["ab c d"]
+
+
+def test_counts_of_a_text_are_those_of_its_parts(one):
+    r = random.Random(9)
+    own = [None, *texts(), *["".join(r.choice([*PIECES, "!", "?", "es", "ing", "É"]) for _ in range(r.randrange(40))) for _ in range(300)], "a. b" * 600_000, "c"]
+    read, lines = one(text._reading_counts, own), one(text.line_counts, own)
+    assert [x and x["sentences"] for x in read] == [None if t is None else sum(bool(s.strip()) for s in re.split("[.!?]+", t)) for t in own]
+    assert [x and x["words"] for x in read] == [None if t is None else len(re.findall(r"\w+", t)) for t in own]
+    assert [x and (x["all"], x["full"]) for x in lines] == [None if t is None else (len(t.splitlines()), sum(bool(x.strip()) for x in t.splitlines())) for t in own]
