@@ -168,11 +168,13 @@ def distributions(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in values.items()])
     per = df.select(F.inline(pairs)).where("v is not null").groupBy("metric", "v").agg(F.count("*").alias("k"))
     n, v, k = F.col("n"), F.col("v"), F.col("k")
-    steps = per.groupBy("metric", _step_of(v).alias("step")).agg(F.sum("k").alias("own"))
+    # marked, so that no filter on the step reaches below the counting: else its three readers would each count the texts anew
+    per = per.withColumn("step", once(_step_of(v)))
+    steps = per.groupBy("metric", "step").agg(F.sum("k").alias("own"))
     whole = W.partitionBy("metric")
     steps = steps.select("metric", "step", (F.sum("own").over(whole.orderBy("step")) - F.col("own")).alias("before"), F.sum("own").over(whole).alias("n"))
     upto = F.sum("k").over(W.partitionBy("metric", "step").orderBy("v"))
-    c = per.withColumn("step", _step_of(v)).join(steps, ["metric", "step"]).withColumn("upto", F.col("before") + upto)
+    c = per.join(steps, ["metric", "step"]).withColumn("upto", F.col("before") + upto)
     at = lambda place: F.min(F.when(F.col("upto") > place, v))
     mean = F.sum(v * k) / F.first("n")
     places = c.groupBy("metric", "n").agg(F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"), at(F.floor((n - 1) / 2)).alias("m0"), at(F.floor(n / 2)).alias("m1"), at(F.floor(n / 4)).alias("q1"), at(F.floor(n * 3 / 4)).alias("q3"))
