@@ -17,7 +17,7 @@ from .patterns import IDENTIFIER, MAIL, NUMBER, STOP_WORDS, WEB, WORD, java
 
 SPACE = r"[\s\x1c-\x1f]"
 _NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
-_BREAK = r"\R|[\x1c-\x1e]"
+BREAK = r"\R|[\x1c-\x1e]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,7 +35,7 @@ def once(value: Column) -> Column:
 
 def lines(t: Column) -> Column:
     """str.splitlines()"""
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, rf"(?:{_BREAK})\z", ""), _BREAK))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, rf"(?:{BREAK})\z", ""), BREAK))
 
 
 def n_lines(t: Column) -> Column:
@@ -140,26 +140,15 @@ def truncate_text(t: Column, most: int, suffix: str = "...") -> Column:
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(max(0, most - len(suffix)))), F.lit(suffix)))
 
 
-def wrap_line(line: str, width: int) -> list[str]:
-    """Greedy filling by words; the room for a word is what the line and its closing space leave."""
-    if len(line) <= width:
-        return [line]
-    out, now = [], ""
-    for word in line.split():
-        if now and len(now) + len(word) > width:
-            out.append(now.rstrip())
-            now = ""
-        now += word + " "
-    return out + [now.rstrip()] if now else out
-
-
-@arrow("string")
-def _wrapped(texts: pa.Array, width: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else "\n".join(x for line in t.splitlines() for x in wrap_line(line, w)) for t, w in zip(texts.to_pylist(), width.to_pylist())], pa.string())
+def _filled(line: Column, width: int) -> Column:
+    """Greedy filling by words; null for a blank line."""
+    rows = F.regexp_replace(normalize_whitespace(line), rf"(?s)\G([^ ]{{{width + 1},}}+|.{{1,{width}}})(?: |\z)", "$1\n")
+    return F.nullif(F.regexp_replace(rows, r"\n\z", ""), F.lit(""))
 
 
 def wrap_text(t: Column, width: int) -> Column:
-    return _wrapped(t, F.lit(width))
+    """Lines of more than `width` characters are filled by words; such a line without words is left out."""
+    return _join(F.transform(lines(t), lambda x: F.when(F.length(x) <= width, x).otherwise(_filled(x, width))))
 
 
 def syllables(word: Column) -> Column:

@@ -142,3 +142,39 @@ def test_counts_of_a_text_are_those_of_its_parts(one):
     assert [x and x["sentences"] for x in read] == [None if t is None else sum(bool(s.strip()) for s in re.split("[.!?]+", t)) for t in own]
     assert [x and x["words"] for x in read] == [None if t is None else len(re.findall(r"\w+", t)) for t in own]
     assert [x and (x["all"], x["full"]) for x in lines] == [None if t is None else (len(t.splitlines()), sum(bool(x.strip()) for x in t.splitlines())) for t in own]
+
+
+def test_wrap_text_is_plain_filling(one):
+    def plain(line, width):
+        if len(line) <= width:
+            return [line]
+        out, now = [], ""
+        for word in line.split():
+            if now and len(now) + len(word) > width:
+                out.append(now.rstrip())
+                now = ""
+            now += word + " "
+        return out + [now.rstrip()] if now else out
+
+    r = random.Random(10)
+    own = [None, "", " " * 30, "\n" + " " * 30 + "\na", *["".join(r.choice([*PIECES, "x" * r.randrange(1, 14), " "]) for _ in range(r.randrange(60))) for _ in range(300)]]
+    for width in (1, 12):
+        assert one(lambda t: text.wrap_text(t, width), own) == [None if t is None else "\n".join(x for line in t.splitlines() for x in plain(line, width)) for t in own]
+
+
+def test_functions_by_parts_see_no_more_than_a_part(monkeypatch):
+    import pyarrow as pa
+
+    from loamsift.functions import arrow
+
+    monkeypatch.setattr(arrow, "PART", 20)
+    seen = []
+
+    @arrow.by_parts
+    def f(texts, other):
+        seen.append((len(texts), texts.nbytes and sum(len(t or "") for t in texts.to_pylist())))
+        return pa.array([None if t is None else t + str(x) for t, x in zip(texts.to_pylist(), other.to_pylist())], pa.string())
+
+    own = ["a" * 7, None, "b" * 50, "", "c" * 9, "d" * 9, "e" * 9, None]
+    assert f(pa.array(["z", *own]).slice(1), pa.array(range(8))).to_pylist() == [None if t is None else t + str(i) for i, t in enumerate(own)]
+    assert len(seen) > 2 and all(n == 1 or size <= 20 for n, size in seen)
