@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow
+from ..functions.arrow import arrow, by_parts
 from ..functions.patterns import HEX
-from ..functions.text import let, lines, not_blank, once
+from ..functions.text import BREAK, SPACE, let, lines, not_blank, once
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,7 @@ def comment_line_count(rows: list[str], extension: str | None) -> int:
 
 
 @arrow("int")
+@by_parts
 def comment_lines_by_extension(texts: pa.Array, extensions: pa.Array) -> pa.Array:
     return pa.array([None if t is None else comment_line_count(t.splitlines(), e) for t, e in zip(texts.to_pylist(), extensions.to_pylist())], pa.int32())
 
@@ -176,24 +177,16 @@ def with_file_metrics(records: DataFrame, thresholds: Thresholds = Thresholds())
     return with_metrics(records, thresholds, file_metrics(F.col("content"), F.col("extension")))
 
 
-def wrap_long_line(line: str, most: int) -> list[str]:
-    """Cut after the last blank or sign within the 50 characters before `most`, or else at `most`."""
-    out = []
-    while len(line) > most:
-        low = max(0, most - 50) + 1
-        cut = next((i + 1 for i in range(most - 1, low - 1, -1) if line[i] in ",.:;!? \t"), most)
-        out.append(line[:cut].rstrip())
-        line = line[cut:].lstrip()
-    return [*out, line]
-
-
-@arrow("string")
-def _wrapped(texts: pa.Array, most: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else "\n".join(x for line in t.splitlines() for x in wrap_long_line(line, m)) for t, m in zip(texts.to_pylist(), most.to_pylist())], pa.string())
-
-
 def wrap_long_lines(t: Column, most: int = 500) -> Column:
-    return _wrapped(t, F.lit(int(most)))
+    """The lines, cut after the last blank or sign within the 50 characters before `most`, or else at `most`, while more than that
+    is left. Patterns on the whole text: once line ends are line feeds, a vertical tab can stand for a cut."""
+    most = int(most)
+    low = max(0, most - 50) + 1
+    signed = rf"[^\n]{{{low},{most - 1}}}[,.:;!? \t]|" if low < most else ""
+    space = SPACE[1:-1]
+    rows = F.regexp_replace(F.regexp_replace(t, BREAK, "\n"), r"\n\z", "")
+    rows = F.regexp_replace(rows, rf"(?:\G|(?<=\n))(?=[^\n]{{{most + 1}}})({signed}[^\n]{{{most}}})(?U:[{space}&&[^\n]]*+)", "$1\u000b")
+    return F.replace(F.regexp_replace(rows, rf"(?U)[{space}&&[^\n\x0b]]+\x0b", "\u000b"), F.lit("\v"), F.lit("\n"))
 
 
 def clean_by_metrics(records: DataFrame, thresholds: Thresholds = Thresholds(), keep_ignored: bool = False) -> DataFrame:
