@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow
+from ..functions.arrow import arrow, by_parts
 from ..functions.patterns import COMPANY_ENDINGS, NOTICES, PERSONAL, VOID_COMMENTS, java
 from .cleaning import C_FAMILY
 
@@ -186,6 +186,7 @@ def clean_text(text: str, language: str, comments: bool = True, personal: bool =
 
 def masked(t: Column, language: Column, comments: bool = True, personal: bool = True) -> Column:
     @F.arrow_udf(RESULT)
+    @by_parts
     def run(texts: pa.Array, languages: pa.Array) -> pa.Array:
         rows = [None if t is None else dict(zip(("content", "found", "comments_removed", "comments_desensitized"), clean_text(t, x or "unknown", comments, personal))) for t, x in zip(texts.to_pylist(), languages.to_pylist())]
         return pa.array(rows, pa.struct([("content", pa.string()), *((k, pa.int64()) for k in ("found", "comments_removed", "comments_desensitized"))]))
@@ -194,11 +195,13 @@ def masked(t: Column, language: Column, comments: bool = True, personal: bool =
 
 
 @arrow("string")
+@by_parts
 def mask_text(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else mask(t) for t in texts.to_pylist()], pa.string())
 
 
 @arrow("int")
+@by_parts
 def organization_count(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else sum(1 for _ in _organizations(t)) for t in texts.to_pylist()], pa.int32())
 
